@@ -71,7 +71,7 @@ def is_invisible(ch: str) -> bool:
     if ch in "\n ":
         return False
     cat = unicodedata.category(ch)
-    return cat in ("Cf", "Co", "Cn", "Cs") or (cat == "Cc" and ch not in "\t\r\x0b\x0c\x85") or 0xFE00 <= ord(ch) <= 0xFE0F or ch in "͏ᅟᅠㅤﾠ"
+    return cat == "Cf" or (cat == "Cc" and ch not in "\t\r\x0b\x0c\x85") or 0xFE00 <= ord(ch) <= 0xFE0F or ch in "͏ᅟᅠㅤﾠ"
 
 
 def plain_space(ch: str) -> str:

@@ -47,7 +47,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray],
             if len(base) > 1:
                 several[cp] = base
             script[cp] = script_of(ch)
-        elif cat[0] == "M" or (is_invisible(ch) and cat != "Cn") or ch in EDITORIAL:
+        elif cat[0] == "M" or is_invisible(ch) or ch in EDITORIAL:
             kind[cp] = SKIP
     kind[ord(".")] = DOT
     kind[0x1E] = SEP
