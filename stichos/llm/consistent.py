@@ -40,7 +40,7 @@ def pairs() -> Iterator[tuple[str, str]]:
             yield ch, unicodedata.normalize("NFD", ch)
             yield ch, unicodedata.normalize("NFC", ch)
             yield from ((ch, v) for v in variants(unicodedata.normalize("NFD", ch)))
-        elif d.split(" ")[0] in SAME_LOOK and (unicodedata.category(ch)[0] in "LN" or d.startswith(("<wide>", "<narrow>"))) and not unicodedata.category(ch).startswith("Z"):
+        elif other_width(ch) and unicodedata.category(ch)[0] != "Z":
             yield ch, unicodedata.normalize("NFKC", ch)
     for g in groups():
         yield from itertools.pairwise(g.values())
@@ -59,7 +59,21 @@ def variants(nfd: str) -> list[str]:
 
 def standard(s: str) -> bool:
     """Whether a string is in standard form, apart from the script of its neighbours."""
-    return unicodedata.normalize("NFC", s) == s and all(c in OWN_LOOK or unicodedata.category(c)[0] not in "LN" or unicodedata.decomposition(c)[:1] != "<" or unicodedata.decomposition(c).split(" ")[0] not in SAME_LOOK for c in s) and not any(is_invisible(c) for c in s)
+    return unicodedata.normalize("NFC", s) == s and not any(is_invisible(c) or other_width(c) for c in s)
+
+
+def other_width(c: str) -> bool:
+    """Whether a character is a wide, narrow, styled or joined writing of ordinary ones."""
+    kind = unicodedata.decomposition(c).split(" ")[0]
+    return c not in OWN_LOOK and (kind in ("<wide>", "<narrow>") or (kind in SAME_LOOK and unicodedata.category(c)[0] in "LN"))
+
+
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, each followed by ROW_END, and where each text begins."""
+    big = tv.ROW_END.join(texts) + tv.ROW_END
+    cp = np.minimum(np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32), LIMIT - 1)
+    size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    return cp, np.cumsum(size) - size
 
 
 class Rewriter:
@@ -95,6 +109,11 @@ class Rewriter:
         change["\r\n"] = "\n"
         self.change = {a: b for a, b in change.items() if a != b}
         self.automaton = self._automaton(self.change)
+        self.trigger = np.zeros(LIMIT, bool)
+        self.trigger[[min(ord(a[-1]), LIMIT - 1) for a in self.change]] = True
+        self.trigger[[ord("\n"), ord(tv.ROW_END)]] = False  # "\r\n" has its "\r"; the end of a row is looked for apart
+        # marks that compose with a letter before them, in sequences too long for the patterns
+        self.trigger[[cp for cp in range(0x300, LIMIT) if unicodedata.combining(chr(cp)) and chr(cp) != UNDERDOT]] = True
         self.script_rate = {bit: sum(n for c, n in frequency.items() if script_of(chr(c)) == bit) for bit in SCRIPTS.values()}
         self.by_script = {}
         for bit, table in to_script().items():
@@ -107,33 +126,47 @@ class Rewriter:
 
     @staticmethod
     def _automaton(change: dict[str, str]) -> ahocorasick.Automaton:
+        """An automaton over UTF-8 bytes (as Latin-1 characters): its nodes stay narrow, whatever the number of letters."""
         a = ahocorasick.Automaton()
         for old, new in change.items():
-            a.add_word(old, (len(old), new))
+            key = old.encode().decode("latin-1")
+            a.add_word(key, (len(key), new.encode().decode("latin-1")))
         a.make_automaton()
         return a
 
     @staticmethod
     def _apply(automaton: ahocorasick.Automaton, text: str) -> str:
         out, done = [], 0
-        for end, (n, new) in automaton.iter_long(text):
-            out += (text[done : end + 1 - n], new)
+        raw = text.encode("utf-8", "surrogatepass").decode("latin-1")
+        for end, (n, new) in automaton.iter_long(raw):
+            out += (raw[done : end + 1 - n], new)
             done = end + 1
-        return "".join((*out, text[done:])) if done else text
+        return "".join((*out, raw[done:])).encode("latin-1").decode("utf-8", "surrogatepass") if done else text
 
     def rewrite(self, texts: list[str]) -> list[str]:
-        """The texts in consistent form."""
-        out = [self._apply(self.automaton, t) for t in texts]
-        out = [t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in out]
-        for i, at in self._mixed(out).items():
-            out[i] = self._one_script(out[i], at)
+        """The texts in consistent form.
+
+        The automaton runs over the texts with a code point that only patterns have (its last one; marks, odd spaces, ...), the
+        search for mixed words over those with letters of several scripts: no other text can change.
+        """
+        if not texts:
+            return []
+        cp, starts = _flat(texts)
+        out = list(texts)
+        own = np.logical_or.reduceat(self.trigger[cp], starts) | np.fromiter((tv.ROW_END in t for t in texts), bool, len(texts))
+        for i in np.flatnonzero(own):
+            new = self._apply(self.automaton, out[i])
+            out[i] = new if unicodedata.is_normalized("NFC", new) else unicodedata.normalize("NFC", new)
+        scripts = np.bitwise_or.reduceat(tv.tables()[2][cp], starts)
+        several = np.flatnonzero((scripts & (scripts - 1)) != 0).tolist()
+        for i, at in self._mixed([out[i] for i in several]).items():
+            out[several[i]] = self._one_script(out[several[i]], at)
         return out
 
     @staticmethod
     def _mixed(texts: list[str]) -> dict[int, list[np.ndarray]]:
         """Positions of the letters of each word with several scripts, by text."""
-        big = tv.ROW_END.join(t.replace(tv.ROW_END, " ") for t in texts) + tv.ROW_END
-        cp = np.minimum(np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32), LIMIT - 1)
+        cp, starts = _flat(texts)
         kind, script = tv.classes(cp), tv.tables()[2][cp]
         keep = np.flatnonzero((kind == tv.LETTER) & (script > 0))
         found: dict[int, list[np.ndarray]] = {}
@@ -144,11 +177,9 @@ class Rewriter:
         odd = np.unique(seps[1:][(script[keep][1:] != script[keep][:-1]) & (seps[1:] == seps[:-1])])
         if not len(odd):
             return found
-        ends = np.flatnonzero(cp == 0x1E)
-        starts = np.r_[0, ends[:-1] + 1]
         for s in odd:
             at = keep[np.searchsorted(seps, s) : np.searchsorted(seps, s, "right")]
-            row = int(np.searchsorted(ends, at[0]))
+            row = int(np.searchsorted(starts, at[0], "right")) - 1
             found.setdefault(row, []).append(at - starts[row])
         return found
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import language
+from . import consistent, contamination, language
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,5 +16,25 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.blocks(table(spark, d, "ab"), table(spark, d, "language_codes"), table(spark, d, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.found(p2_leaks(spark, d))
+
+
+def p2_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(table(spark, d, "ab"), table(spark, d, "test_abs"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.without_leaked_spans(table(spark, d, "ab"), table(spark, d, "test_abs")).select("id", "training_text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return consistent.found(p3_texts(spark, d))
+
+
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    return consistent.rewritten(consistent.records(table(spark, d, "ab"), table(spark, d, "dev_case")), ["table_name", "rec_key"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts)}
 SQL: dict[str, str] = {}
