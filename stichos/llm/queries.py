@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import consistent, contamination, language
+from ..session import cut, table
+from . import consistent, contamination, language, overlap
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,5 +36,18 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     return consistent.rewritten(consistent.records(table(spark, d, "ab"), table(spark, d, "dev_case")), ["table_name", "rec_key"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.found(p5_overlaps(spark, d))
+
+
+def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    ab, dev = table(spark, d, "ab"), table(spark, d, "dev_case")
+    return overlap.members(cut(overlap.overlaps(ab, dev)), ab, dev)
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.counts(p5_overlaps(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts, p5_found, p5_overlaps, p5_counts)}
 SQL: dict[str, str] = {}
