@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut, table
-from . import consistent, contamination, language, overlap
+from . import consistent, contamination, language, overlap, splits
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,5 +49,18 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.counts(p5_overlaps(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts, p5_found, p5_overlaps, p5_counts)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.found(splits.grouped(splits.file_names(table(spark, d, "ab"), table(spark, d, "dev_case")), "file", table(spark, d, "file_links")))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    records = splits.records(table(spark, d, "ab"), table(spark, d, "dev_case"), table(spark, d, "file_links"))
+    return splits.assign(records, table(spark, d, "split_shares")).select("kind", "rec_key", "corpus_id", "file", "component", "split_name")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.achieved(p6_splits(spark, d), table(spark, d, "split_shares"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts, p5_found, p5_overlaps, p5_counts, p6_found, p6_splits, p6_shares)}
 SQL: dict[str, str] = {}
