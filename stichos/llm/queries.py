@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import consistent, contamination, language, overlap, splits
+from . import consistent, contamination, language, mixing, overlap, packing, splits, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,5 +63,40 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.achieved(p6_splits(spark, d), table(spark, d, "split_shares"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts, p5_found, p5_overlaps, p5_counts, p6_found, p6_splits, p6_shares)}
+def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.records(*(table(spark, d, t) for t in ("ab", "documents", "corpora", "language_codes")))
+
+
+def p4_totals(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.totals(p4_tokens(spark, d))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(cut(packing.sized(table(spark, d, "documents"))), table(spark, d, "pack_sizes"))
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused(p7_containers(spark, d), table(spark, d, "pack_sizes"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return cut(tokens.counted(table(spark, d, "documents"), "text", {"doc_id": F.col("doc_id"), "source": F.col("source")}))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized, targets = _sized(spark, d), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixture(sized, targets), sized, targets)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts, p4_tokens, p4_totals, p5_found, p5_overlaps, p5_counts),
+        *(p6_found, p6_splits, p6_shares, p7_containers, p7_unused, p8_mixture, p8_shares),
+    )
+}
 SQL: dict[str, str] = {}
