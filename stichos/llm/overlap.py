@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import textvec as tv
 
 U64 = np.uint64
@@ -158,7 +159,7 @@ def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", ca
     triple, around = F.when(F.col("kind") == 0, F.col("b")), F.max(F.when(F.col("kind") == 1, 1).otherwise(0))
     covered = met.groupBy("case", "t", "n", "m").agg(F.size(F.collect_set(triple)).alias("places"), around.alias("around"))
     likely = covered.filter((F.col("places") >= F.greatest(F.lit(1), 2 * F.abs(n - m) - 2)) | ((F.col("around") == 1) & (F.abs(n - m) <= 1)))
-    likely = likely.select(F.col("case").alias("c"), "t")
+    likely = cut(likely.select(F.col("case").alias("c"), "t"))
     # the strings of the likely pairs; copies of one string are the same pair
     own_cases = cases.select(F.xxhash64("x").alias("c"), "x").join(likely.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
     own_texts = texts.select(F.xxhash64("y").alias("t"), "y").join(likely.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
