@@ -6,10 +6,12 @@ texts: a bit table of all passages sorts out most words of a text at once, the r
 The matched places of a case and a text are merged into a coverage, pairs with too little of it for their lengths are
 dropped, and the longest common sequence decides.
 
-No pair of ten or more words is lost.  Let N be the longer word number, L >= 0.8 N the common sequence, in b + 1 runs of
-words that are neighbours in both.  The n + m - 2 L words outside it make all breaks, so at least L - 2 (b + 1) >=
-2 |n - m| - 2 triples stay whole.  If none does, all runs are pairs and nearly each break is one extra word: then the case
-has two pairs around one word that stand together in the text, or n - L < 2.
+No pair is lost.  Let N be the longer of the word numbers n (case) and m (text), L >= 0.8 N the common sequence, lying in
+b + 1 runs of words that are neighbours in both.  T = L - 2 (b + 1) + o triples stay whole, o being the number of runs of
+one word.  Of the breaks, g consist of one extra word of the case alone; all but 2 o of them stand between two whole pairs
+of words, which the text has together.  The n - L and m - L words outside L make the breaks: b <= m - L + (n - L + g) / 2.
+So T plus half of those places is at least L - 2 (m - L) - 1.5 (n - L) - 2 >= 3.6 N - 2 m - 1.5 n - 2.  For texts of up to
+SHORT words, where that may be nothing, pairs of neighbours are looked up as well: at least 2.4 N - n - m - 1 stay whole.
 """
 
 from __future__ import annotations
@@ -28,26 +30,34 @@ U64 = np.uint64
 #: Share of the longer word number that the common sequence has at least, as a fraction of integers.
 PART, WHOLE = 4, 5
 #: Bits of the broadcast table of passages: fixed, whatever the number of cases.
-TABLE_BITS = 26
+TABLE_BITS = 27
+#: Word number up to which texts are also compared by pairs of neighbours.
+SHORT = 31
 ANCHOR = "h long, t long, at int, n int, kind int"
 
 
 def passages(w: tv.Words, case: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, first word, hash) of the passages of a case or of the stretches of a text that can match one."""
+    """(kind, first word, hash) of the passages of a case, or of the stretches of a text that can match one.
+
+    Kind 0: three words; 1: two pairs around one word of the case; 2: two words, and 3: one word, of short texts.
+    """
     with np.errstate(over="ignore"):
         at, h = tv.windows(w, 3)
         yield 0, at, h
-        if not case:
-            at, h = tv.windows(w, 4)
-            yield 1, at, h
-            return
-        n = len(w.row) - 4
-        if n > 0:
+        if case:
+            n = max(0, len(w.row) - 4)
             at = np.flatnonzero((w.row[:n] == w.row[4:]) & w.ok[:n] & w.ok[1 : n + 1] & w.ok[3 : n + 3] & w.ok[4 : n + 4])
             h = np.zeros(len(at), U64)
             for k in (0, 1, 3, 4):
                 h = h * tv.P_WORD + w.hash[at + k]
             yield 1, at, tv.mix(h)
+        else:
+            yield 1, *tv.windows(w, 4)
+        count = np.diff(w.first)
+        for kind, k, most in ((2, 2, SHORT), (3, 1, 1)):
+            at, h = tv.windows(w, k)
+            short = count[w.row[at]] <= most
+            yield kind, at[short], h[short]
 
 
 def anchors(texts: DataFrame, text: str, case: bool, table: np.ndarray | None = None) -> DataFrame:
@@ -138,35 +148,41 @@ def compare(pairs: DataFrame) -> DataFrame:
     return pairs.select("c", "t", "x", "y").mapInPandas(run, "c long, t long, case_words int, text_words int, common int")
 
 
+def _met(texts: DataFrame, cases: DataFrame) -> DataFrame:
+    """(c, t) of the pairs of a case's and a text's string that share enough passages for their word numbers."""
+    ours = anchors(cases, "x", True)
+    theirs = anchors(texts, "y", False, bit_table(ours))
+    # place, words and kind in one number: rows of three longs are what is shuffled
+    small = F.shiftleft(F.col("at").cast("long"), 34).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 2)).bitwiseOR(F.col("kind").cast("long"))
+    ours = ours.select("h", F.col("t").alias("c"), small.alias("p")).repartition("h").distinct()
+    theirs = theirs.select("h", "t", small.alias("q")).repartition("h").distinct()
+    words = lambda c: F.shiftright(c, 2).bitwiseAND(F.lit((1 << 32) - 1))
+    n, m, ahead = words("p"), words("q"), F.shiftright("p", 34) - F.shiftright("q", 34)
+    most = F.greatest(n, m)
+    near = (PART * most <= WHOLE * F.least(n, m)) & (WHOLE * ahead <= WHOLE * n - PART * most) & (-WHOLE * ahead <= WHOLE * m - PART * most)
+    kind = F.col("p").bitwiseAND(F.lit(3))
+    pairs = theirs.join(ours, "h").filter(near).select("c", "t", F.shiftleft(n, 32).bitwiseOR(m).alias("nm"), kind.alias("kind"))
+    # matched places merged into a coverage of each case by each text, in half places
+    half, short = F.sum(F.when(F.col("kind") == 0, 2).when(F.col("kind") == 1, 1).otherwise(0)), F.sum(F.when(F.col("kind") >= 2, 1).otherwise(0))
+    covered = pairs.groupBy("c", "t", "nm").agg(half.alias("half"), short.alias("short"))
+    n, m = F.shiftright("nm", 32), F.col("nm").bitwiseAND(F.lit((1 << 32) - 1))
+    most = F.greatest(n, m)
+    whole = (F.col("half") > 0) & (10 * F.col("half") >= 72 * most - 40 * m - 30 * n - 40)
+    brief = (F.col("short") > 0) & (10 * F.col("short") >= 24 * most - 10 * n - 10 * m - 10)
+    return covered.filter(whole | brief).select("c", "t")
+
+
 def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
-    """Pairs of different strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common.
+    """Pairs of strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common.
 
     Copies of a string are compared once. Null and empty strings, and strings without an undamaged word, overlap with nothing.
     """
     texts = texts.filter(F.length(text) > 0).select(F.col(text).alias("y"))
     cases = cases.filter(F.length(case_text) > 0).select(F.col(case_text).alias("x"))
-    ours = anchors(cases, "x", True)
-    table = bit_table(ours)
-    theirs = anchors(texts, "y", False, table).withColumnsRenamed({"t": "c", "at": "b", "n": "m"})
-    n, m = F.col("n"), F.col("m")
-    most = F.greatest(n, m)
-    ahead = F.col("at") - F.col("b")
-    near = (PART * most <= WHOLE * F.least(n, m)) & (WHOLE * ahead <= WHOLE * n - PART * most) & (-WHOLE * ahead <= WHOLE * m - PART * most)
-    ours = ours.select("h", "kind", F.col("t").alias("case"), "at", "n").repartition("h", "kind").distinct()
-    theirs = theirs.select("h", "kind", F.col("c").alias("t"), "b", "m").repartition("h", "kind").distinct()
-    met = theirs.join(ours, ["h", "kind"]).filter(near)
-    # matched places merged into a coverage: the distinct places of the text where a passage of three words begins
-    triple, around = F.when(F.col("kind") == 0, F.col("b")), F.max(F.when(F.col("kind") == 1, 1).otherwise(0))
-    covered = met.groupBy("case", "t", "n", "m").agg(F.size(F.collect_set(triple)).alias("places"), around.alias("around"))
-    likely = covered.filter((F.col("places") >= F.greatest(F.lit(1), 2 * F.abs(n - m) - 2)) | ((F.col("around") == 1) & (F.abs(n - m) <= 1)))
-    likely = cut(likely.select(F.col("case").alias("c"), "t"))
-    # the strings of the likely pairs; copies of one string are the same pair
+    likely = cut(_met(texts, cases))
     own_cases = cases.select(F.xxhash64("x").alias("c"), "x").join(likely.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
     own_texts = texts.select(F.xxhash64("y").alias("t"), "y").join(likely.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
-    same = cases.select(F.xxhash64("x").alias("c"), "x").join(texts.select(F.xxhash64("y").alias("c")).distinct(), "c", "left_semi").dropDuplicates(["c"])
-    equal = compare(same.select("c", F.col("c").alias("t"), "x", F.col("x").alias("y")))
-    pairs = likely.filter("c <> t").join(own_cases, "c").join(own_texts, "t")
-    return compare(pairs).unionByName(equal)
+    return compare(likely.join(own_cases, "c").join(own_texts, "t"))
 
 
 def members(overlaps_: DataFrame, texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
