@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import consistent, contamination, language, mixing, overlap, packing, splits, tokens
+from . import consistent, contamination, language, mixing, overlap, packing, quality, splits, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,11 +92,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mixture(sized, targets), sized, targets)
 
 
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    described = cut(quality.described(table(spark, d, "documents"), table(spark, d, "common_words")))
+    return quality.judged(described, quality.fitted(described))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.found(p9_statistics(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         *(p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts, p4_tokens, p4_totals, p5_found, p5_overlaps, p5_counts),
-        *(p6_found, p6_splits, p6_shares, p7_containers, p7_unused, p8_mixture, p8_shares),
+        *(p6_found, p6_splits, p6_shares, p7_containers, p7_unused, p8_mixture, p8_shares, p9_found, p9_statistics),
     )
 }
 SQL: dict[str, str] = {}
