@@ -9,19 +9,23 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lacuna import SUPPLEMENT, mask_cases
 from ..schemas import BLOCK, EVALUATION
 from ..settings import FILE_LIMIT_MB
 
-BAD = "_corrupt"
+def read_corpus(spark: SparkSession, folder: str, test_file: str = "test_abs.json") -> tuple[DataFrame, DataFrame]:
+    """(blocks, bad): all JSON arrays of a folder but the test set; bad has the names of files that can't be read."""
+    raw = spark.read.option("wholetext", True).text(os.path.join(folder, "*.json"))
+    raw = raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", f"array<struct<{_nested(BLOCK)}>>").alias("rows"))
+    raw = raw.filter(F.col("file") != test_file)
+    return raw.select(F.explode("rows").alias("r")).select("r.*"), raw.filter(F.col("rows").isNull()).select("file")
 
 
-def read_corpus(spark: SparkSession, folder: str, test_file: str = "test_abs.json") -> tuple[DataFrame, DataFrame]:
-    """(blocks, bad): all JSON arrays of a folder but the test set; rows that can't be read are returned apart, with their file."""
-    raw = spark.read.schema(f"{BLOCK}, {BAD} string").option("multiLine", True).option("columnNameOfCorruptRecord", BAD).json(os.path.join(folder, "*.json"))
-    raw = raw.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).filter(F.col("_file") != test_file)
-    return raw.filter(F.col(BAD).isNull()).drop(BAD, "_file"), raw.filter(F.col(BAD).isNotNull()).select("_file", BAD)
+def _nested(schema: str) -> str:
+    """The columns of a schema as fields of a struct."""
+    return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
 
 
 def read_test_set(spark: SparkSession, path: str) -> DataFrame:
