@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..settings import ALPHA, BETA, DELTA, LAMBDA, LM_TYPE, MAX_BEAM_SIZE, MIN_BEAM_SIZE, SPECIALS, N
 from .ngram import SEP, log_score, scored
 
@@ -91,6 +92,6 @@ def predictions(cases: DataFrame, general: DataFrame, domain: DataFrame, counts:
     found = successors(cases, counts, size, n)
     if alpha > 0:
         found = losses(found, general, domain, n, weight, lm_type)
-    best = beam(scores(found, alpha, beta, delta), size).filter(F.col("rank") <= k)
+    best = cut(beam(scores(found, alpha, beta, delta), size).filter(F.col("rank") <= k))
     with_loss = best if alpha > 0 else losses(best, general, domain, n, weight, lm_type)
     return with_loss.select("case_id", "rank", "word", "score", F.pow(F.lit(2.0), -F.col("nll")).alias("probability"))
