@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -205,6 +205,6 @@ def totals(records_: DataFrame) -> DataFrame:
     ).filter("table_name is not null")
 
 
-def tokenizer(spark: SparkSession, vocabulary: str = VOCABULARY) -> Counter:
+def tokenizer(vocabulary: str = VOCABULARY) -> Counter:
     """A counter for single texts on the driver."""
     return Counter(Merges(vocabulary))
