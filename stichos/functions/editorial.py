@@ -15,6 +15,11 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 METRE = "⏑⏑‒|‒⏑⏑‒|‒⏑⏑|⏑|‒"
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def words(text: Column) -> Column:
     """Tokens between white space, without empty ones."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
@@ -108,8 +113,10 @@ def dashes(text: Column) -> Column:
             .otherwise(state(F.when(bare != "", F.array_append(out, bare)).otherwise(out), none))
         )
 
-    folded = F.aggregate(words(text), empty, step, lambda s: F.array_join(F.when(s["glue"].isNotNull(), F.array_append(s["out"], s["glue"])).otherwise(s["out"]), " "))
-    return F.when(text.contains("-"), folded).otherwise(text)
+    def folded(t: Column) -> Column:
+        return F.aggregate(words(t), empty, step, lambda s: F.array_join(F.when(s["glue"].isNotNull(), F.array_append(s["out"], s["glue"])).otherwise(s["out"]), " "))
+
+    return once(text, lambda t: F.when(t.contains("-"), folded(t)).otherwise(t))
 
 
 #: The rules in their order.

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..settings import BOS, EOS, GAP, UNK, Compat
-from .editorial import editorial, words
+from .editorial import editorial, once, words
 from .normalize import normalize_greek, remove_punctuation
 
 #: A supplement: square brackets and what is in them, over line ends too.
@@ -56,10 +56,9 @@ def clean_lacunae(token: Column) -> Column:
 def clean_tokens(text: Column, case_folding: bool = True, normalize: bool = True) -> Column:
     """Tokens of a text without editorial marks; tokens with gaps become unknown words."""
     plain = (lambda t: normalize_greek(t, case_folding)) if normalize else (lambda t: t)
-    tokens = words(text)
-    mended = F.flatten(F.transform(tokens, lambda t: F.when(contains_lacunae(t), clean_lacunae(t)).otherwise(F.array(t))))
+    mended = lambda tokens: F.flatten(F.transform(tokens, lambda t: F.when(contains_lacunae(t), clean_lacunae(t)).otherwise(F.array(t))))
     # only texts with a sign of a gap are looked at token by token
-    out = F.when(text.rlike("(?i)\\.|<gap/>|none"), mended).otherwise(tokens)
+    out = once(text, lambda x: F.when(x.rlike("(?i)\\.|<gap/>|none"), mended(words(x))).otherwise(words(x)))
     return F.transform(out, lambda t: F.when(t == UNK, t).otherwise(plain(t))) if normalize else out
 
 
@@ -94,7 +93,7 @@ def single_supplement(case: Column) -> Column:
 
 
 def _clear(part: Column) -> Column:
-    return F.when(contains_lacunae(part), F.lit(None)).otherwise(remove_punctuation(transpile(part)))
+    return once(part, lambda p: F.when(contains_lacunae(p), F.lit(None)).otherwise(remove_punctuation(transpile(p))))
 
 
 def head(case: Column) -> Column:
