@@ -108,4 +108,25 @@ QUERIES = {
         *(p6_found, p6_splits, p6_shares, p7_containers, p7_unused, p8_mixture, p8_shares, p9_found, p9_statistics),
     )
 }
-SQL: dict[str, str] = {}
+
+
+def _key(name: str) -> str:
+    """SQL of a file's series, volume and number, as splits.file_key reads them."""
+    parts = f"list_filter(string_split_regex(regexp_replace(lower(trim({name})), '\\.xml$', ''), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    romans = "[" + ", ".join(f"'{splits.roman(i)}'" for i in range(1, splits.ROMANS + 1)) + "]"
+    volume = f"CASE WHEN regexp_full_match(p[-2], '\\d+') THEN p[-2]::BIGINT ELSE list_position({romans}, p[-2]) END"
+    number = "regexp_extract(p[-1], '^0*(\\d+)', 1) || regexp_extract(p[-1], '\\p{L}*$')"
+    shaped = f"len(p) >= 3 AND regexp_full_match(p[-1], '\\d+\\p{{L}}*') AND ({volume}) > 0"
+    plain = f"regexp_replace(lower(trim({name})), '\\.xml$', '')"
+    return f"(SELECT CASE WHEN {shaped} THEN array_to_string(p[1:-3], '.') || '.' || ({volume}) || '.' || {number} WHEN len(p) > 0 THEN {plain} END FROM (SELECT {parts} AS p))"
+
+
+SQL: dict[str, str] = {
+    "p6_found": "WITH RECURSIVE files AS (SELECT DISTINCT f FROM (SELECT split_part(id, '/', 2) AS f FROM ab UNION ALL SELECT file_id FROM dev_case) WHERE length(f) > 0), "
+    f"keyed AS (SELECT f, {_key('f')} AS k FROM files), "
+    f"links AS (SELECT {_key('from_file')} AS a, {_key('to_file')} AS b FROM file_links WHERE link_type IN ('reprint-of', 'joins', 'duplicate-of')), "
+    "e AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b), "
+    "r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a), "
+    "g AS (SELECT f, coalesce(c, k) AS c FROM keyed LEFT JOIN c ON k = a WHERE k IS NOT NULL) "
+    "SELECT x.f AS file_a, y.f AS file_b FROM g x JOIN g y USING (c) WHERE x.f < y.f",
+}

@@ -192,7 +192,7 @@ def test_quality(spark):
     assert d.count() == 9
     assert quality.described(docs.limit(0), common).collect() == []
     one = {r.doc_id: r for r in d.collect()}[1]
-    assert one.n_words == 40
+    assert one.n_words == 41
     assert one.line_end_share == 1
 
 
