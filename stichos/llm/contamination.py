@@ -6,13 +6,15 @@ compared as textvec reads them.  The test set is taken in shards of bounded size
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import textvec as tv
 
 U64 = np.uint64
@@ -107,33 +109,59 @@ def without_leaked_texts(texts: DataFrame, leaks_: DataFrame, key: str = "id") -
     return texts.join(leaks_.select(key).distinct(), key, "left_anti").select(texts.columns)
 
 
-def cut_spans(text: str | None, tests: list[TestSet]) -> str | None:
-    """text without the stretches that it shares with the test items, from the first letter of a stretch to its last."""
-    if not text:
-        return text
-    grown = np.array([len(tv.codes([c])) - 1 for c in text]) if len(tv.codes([text])) != len(text) + 1 else np.ones(len(text), np.int64)
-    origin = np.repeat(np.arange(len(text)), grown)
+def leaked_letters(text: str, tests: TestSet) -> list[tuple[int, int]]:
+    """First letter and end of each stretch that a text shares with the test items."""
     cp = tv.codes([text])
+    if len(cp) != len(text) + 1:  # letters that fold to several
+        grown = np.array([len(tv.codes([c])) - 1 for c in text])
+        origin = np.repeat(np.arange(len(text)), grown)
+    else:
+        origin = np.arange(len(text))
     kind = tv.classes(cp)
     keep = np.flatnonzero((kind == tv.LETTER) | (kind == tv.LOST))
     w = tv.words([text])
-    gone = np.zeros(len(text), bool)
-    for t in tests:
-        for _, _, a, n, _ in t.hits(w):
-            last = a + n - 1
-            gone[origin[keep[w.start[a]]] : origin[keep[w.start[last] + w.size[last] - 1]] + 1] = True
-    return "".join(c for c, g in zip(text, gone, strict=True) if not g)
+    out = []
+    for _, _, a, n, _ in tests.hits(w):
+        last = a + n - 1
+        out.append((int(origin[keep[w.start[a]]]), int(origin[keep[w.start[last] + w.size[last] - 1]]) + 1))
+    return out
+
+
+def without(text: str, spans: list) -> str:
+    """text without the letters of the spans."""
+    out, done = [], 0
+    for a, b in sorted(spans):
+        out.append(text[done : max(done, a)])
+        done = max(done, b)
+    return "".join((*out, text[done:]))
+
+
+def _finder(shared: Broadcast, kind: str) -> Callable[[Column], Column]:
+    @F.pandas_udf(kind)
+    def find(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: [{"a": a, "b": b} for a, b in leaked_letters(t, shared.value)] if t else [])
+
+    return find
 
 
 def without_leaked_spans(texts: DataFrame, tests: DataFrame, text: str = "training_text", test_key: str = "id", test_text: str = "training_text", window: int = WINDOW) -> DataFrame:
-    """The texts with leaked stretches removed in place, all columns and rows; null and empty texts stay as they are."""
-    shared = texts.sparkSession.sparkContext.broadcast([TestSet(i, t, window) for i, t in shards(tests, test_key, test_text)])
+    """The texts with leaked stretches removed in place, all columns and rows; null and empty texts stay as they are.
+
+    Shards of the test set are looked for one after the other, each in a stage of its own, so that one is held at a time.
+    """
+    span = "array<struct<a:int,b:int>>"
+    own = texts.withColumn("_leaked", F.array().cast(span))
+    all_ = shards(tests, test_key, test_text)
+    for ids, items in all_:
+        find = _finder(texts.sparkSession.sparkContext.broadcast(TestSet(ids, items, window)), span)
+        own = own.withColumn("_leaked", F.concat("_leaked", find(F.col(text))))
+        own = cut(own) if len(all_) > 1 else own
 
     @F.pandas_udf("string")
-    def cut(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: cut_spans(t, shared.value), na_action="ignore")
+    def remove(column: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([without(t, [(s["a"], s["b"]) for s in own]) if t and len(own) else t for t, own in zip(column, spans, strict=True)])
 
-    return texts.withColumn(text, cut(text))
+    return own.withColumn(text, remove(F.col(text), F.col("_leaked"))).drop("_leaked")
 
 
 def found(leaks_: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def counted(texts: DataFrame, text: str, keys: dict[str, Column], vocabulary: st
 
 def language_of(label: Column, language_codes: DataFrame) -> Column:
     """The language that a label names, `und` where it names none; the labels are a fixed table."""
-    known = {r.label: r.lang_code for r in language_codes.filter("label is not null and lang_code is not null").orderBy("lang_code").limit(10_000).collect()}
+    known = {r.label: r.lang_code for r in language_codes.filter("label is not null and lang_code is not null").orderBy("lang_code").collect()}
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.lit(None)
     return F.coalesce(F.try_element_at(table, label), F.lit("und")) if known else F.lit("und")
 
