@@ -14,6 +14,10 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Metrical signs that stand for lost verse, in the order in which they are tried.
 METRE = "⏑⏑‒|‒⏑⏑‒|‒⏑⏑|⏑|‒"
 
+#: One pass from the left over tokens with single spaces: a lone hyphen; a token ending in one and a next one with one; such a
+#: token and a next one without; such a token at the end.
+DIVIDED = r"(?<!\S)(?:-(?!\S)|\S*-(?!\S) \S*-\S*|-*(\S*)-(?!\S) ([^\s-]+)(?!\S)|-*(\S*)-$)"
+
 
 def once(value: Column, f: Callable[[Column], Column]) -> Column:
     """f(value) with value computed once, however often f uses it."""
@@ -96,27 +100,12 @@ def dashes(text: Column) -> Column:
     A lone hyphen goes; a word ending in one takes the next word, unless that has a hyphen itself, which removes both; a word
     starting with one joins the word before; others lose theirs.
     """
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("glue"))
-    state = lambda out, glue: F.struct(out.alias("out"), glue.cast("string").alias("glue"))
-
-    def step(s: Column, w: Column) -> Column:
-        out, glue, bare, none = s["out"], s["glue"], F.replace(w, F.lit("-"), F.lit("")), F.lit(None)
-        n = F.size(out)
-        joined = F.concat(F.slice(out, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.coalesce(F.get(out, n - 1), F.lit("")), bare)))
-        return (
-            F.when(glue.isNotNull() & w.contains("-"), state(out, none))
-            .when(glue.isNotNull(), state(F.array_append(out, F.concat(glue, w)), none))
-            .when(~w.contains("-"), state(F.array_append(out, w), none))
-            .when(w == "-", state(out, none))
-            .when(w.endswith("-"), state(out, bare))
-            .when(w.startswith("-"), state(joined, none))
-            .otherwise(state(F.when(bare != "", F.array_append(out, bare)).otherwise(out), none))
-        )
-
-    def folded(t: Column) -> Column:
-        return F.aggregate(words(t), empty, step, lambda s: F.array_join(F.when(s["glue"].isNotNull(), F.array_append(s["out"], s["glue"])).otherwise(s["out"]), " "))
-
-    return once(text, lambda t: F.when(t.contains("-"), folded(t)).otherwise(t))
+
+    def joined(t: Column) -> Column:
+        plain = F.regexp_replace(F.array_join(words(t), " "), DIVIDED, "$1$2$3")
+        return F.translate(F.replace(F.trim(F.regexp_replace(plain, " +", " ")), F.lit(" -"), F.lit("")), "-", "")
+
+    return once(text, lambda t: F.when(t.contains("-"), joined(t)).otherwise(t))
 
 
 #: The rules in their order.

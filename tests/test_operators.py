@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stichos.operators import candidates as C
-from stichos.operators import components, datasets, infill, metrics, ngram, splits
+from stichos.operators import components, datasets, evaluation, infill, metrics, ngram, splits
 
 SENTENCES = [["A", "B", "A"], ["A", "C"], ["B"]]
 
@@ -184,3 +184,23 @@ def test_components(spark):
     got = {r.node: r.component for r in components.connected(spark.createDataFrame(links, "a string, b string"), "a", "b").collect()}
     assert got == {x: find(x) for x in parent}
     assert components.connected(spark.createDataFrame([], "a string, b string"), "a", "b").collect() == []
+
+
+def test_evaluation(spark):
+    cases = spark.createDataFrame([(1, "αβ γδ [.] αβ"), (2, "nichts")], "case_id int, text string")
+    gold = spark.createDataFrame([(1, "β"), (2, "x")], "case_id int, word string")
+    rows = {r.window: r.top_10 for r in evaluation.ablation(cases, gold, Toy, (-1, 1)).collect()}
+    assert rows == {-1: 50.0, 1: 50.0}
+    pairs = spark.createDataFrame([(1, "ab", "ab"), (1, "x", "ab"), (2, "a", "b"), (3, None, "b")], "case_id int, word string, gold string")
+    scored = evaluation.similarity(pairs, lambda: lambda a, b: np.array([float(x == y) for x, y in zip(a, b, strict=True)]))
+    assert evaluation.mean_best_similarity(scored).first()[0] == 0.5
+    best = evaluation.search(lambda x, y: -((x - 0.3) ** 2) - (y - 2) ** 2, {"x": (0, 1), "y": (0, 4)}, rounds=40)[0]
+    assert best[0] > -0.05
+
+
+def test_works_without_the_training_data_folder():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['stichos.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'transpile' in q and not any(n[:2] == 'p1' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
