@@ -23,8 +23,17 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
     )
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where it lies, whatever the working folder is."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    own = env.get("PYTHONPATH", "")
+    if root not in own.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, own) if p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
+    reachable(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
