@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import editorial, lacuna, normalize
 from ..operators import candidates, datasets, infill, metrics, ngram, splits
-from ..session import cut, table
+from ..session import cut, table, text_table
 from ..sources import corpus, tei
 from . import oracle as O
 
@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable:
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """(k, x): every text of ab once for each id, sharp s written out, as capitals of engines differ for it."""
-    ab = table(spark, d, "ab").filter("training_text is not null and id is not null")
+    ab = text_table(spark, d, "ab").filter("training_text is not null and id is not null")
     return ab.groupBy(F.col("id").alias("k")).agg(F.replace(F.min("training_text"), F.lit("ß"), F.lit("ss")).alias("x"))
 
 
@@ -125,7 +125,7 @@ def transpile(spark, d):
 
 @query(f"WITH docs AS (SELECT doc_id AS k, replace(text, 'ß', 'ss') AS x FROM documents WHERE text IS NOT NULL), {O.plain('p', 'docs')} SELECT k, x AS plain FROM p")
 def transpile_documents(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = text_table(spark, d, "documents").filter("text is not null")
     return docs.select(F.col("doc_id").alias("k"), lacuna.transpile(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("plain"))
 
 
@@ -143,7 +143,7 @@ def lacuna_tokens(spark, d):
 
 def greek(spark: SparkSession, d: str, domain: bool = False) -> DataFrame:
     """(k, x) of the Greek texts, or of those of the domain, once for each id."""
-    ab = table(spark, d, "ab").filter("training_text is not null and id is not null and language = 'grc'")
+    ab = text_table(spark, d, "ab").filter("training_text is not null and id is not null and language = 'grc'")
     own = ab.filter(F.col("title").contains(DOMAIN)) if domain else ab
     return own.groupBy(F.col("id").alias("k")).agg(F.replace(F.min("training_text"), F.lit("ß"), F.lit("ss")).alias("x"))
 
@@ -422,7 +422,7 @@ def quality_sentences(spark, d):
 
 @query(f"WITH docs AS (SELECT doc_id, {O.words('text')} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(list_transform(range(0, len(w) // 50), lambda i: array_to_string(w[i * 50 + 1:i * 50 + 50], ' '))) AS chunk FROM docs")
 def chunk_sentences(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = text_table(spark, d, "documents").filter("text is not null")
     return docs.select("doc_id", F.explode(datasets.chunks(editorial.words(F.col("text")))).alias("c")).select("doc_id", F.array_join("c", " ").alias("chunk"))
 
 
@@ -434,7 +434,7 @@ def chunk_for_bert(spark, d):
 
 @query()
 def group_texts(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = text_table(spark, d, "documents").filter("text is not null")
     ids = docs.select(F.transform(editorial.words(F.col("text")), lambda w: F.length(w)).alias("ids"))
     return datasets.grouped_ids(ids, "ids")
 
