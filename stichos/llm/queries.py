@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, table, text_table
 from . import consistent, contamination, language, mixing, overlap, packing, quality, splits, tokens
 
 
@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.blocks(table(spark, d, "ab"), table(spark, d, "language_codes"), table(spark, d, "common_words"))
+    return language.blocks(text_table(spark, d, "ab"), table(spark, d, "language_codes"), table(spark, d, "common_words"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,11 +22,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.leaks(table(spark, d, "ab"), table(spark, d, "test_abs"))
+    return contamination.leaks(text_table(spark, d, "ab"), table(spark, d, "test_abs"))
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.without_leaked_spans(table(spark, d, "ab"), table(spark, d, "test_abs")).select("id", "training_text")
+    return contamination.without_leaked_spans(text_table(spark, d, "ab"), table(spark, d, "test_abs")).select("id", "training_text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
-    return consistent.rewritten(consistent.records(table(spark, d, "ab"), table(spark, d, "dev_case")), ["table_name", "rec_key"])
+    return consistent.rewritten(consistent.records(text_table(spark, d, "ab"), table(spark, d, "dev_case")), ["table_name", "rec_key"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    ab, dev = table(spark, d, "ab"), table(spark, d, "dev_case")
+    ab, dev = text_table(spark, d, "ab"), table(spark, d, "dev_case")
     return overlap.members(cut(overlap.overlaps(ab, dev)), ab, dev)
 
 
@@ -64,7 +64,7 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.records(*(table(spark, d, t) for t in ("ab", "documents", "corpora", "language_codes")))
+    return tokens.records(text_table(spark, d, "ab"), text_table(spark, d, "documents"), table(spark, d, "corpora"), table(spark, d, "language_codes"))
 
 
 def p4_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def p4_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(cut(packing.sized(table(spark, d, "documents"))), table(spark, d, "pack_sizes"))
+    return packing.packed(cut(packing.sized(text_table(spark, d, "documents"))), table(spark, d, "pack_sizes"))
 
 
 def p7_unused(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return cut(tokens.counted(table(spark, d, "documents"), "text", {"doc_id": F.col("doc_id"), "source": F.col("source")}))
+    return cut(tokens.counted(text_table(spark, d, "documents"), "text", {"doc_id": F.col("doc_id"), "source": F.col("source")}))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    described = cut(quality.described(table(spark, d, "documents"), table(spark, d, "common_words")))
+    described = cut(quality.described(text_table(spark, d, "documents"), table(spark, d, "common_words")))
     return quality.judged(described, quality.fitted(described))
 
 
