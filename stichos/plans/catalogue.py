@@ -510,7 +510,7 @@ def file_numbers(spark, d):
 
 
 @query()
-def hcb_beam_toy(spark, d):
+def masked_beam_toy(spark, d):
     """Fillings of the cases' gaps by a model of letters: how often one letter follows another in the training texts."""
     pairs = texts(spark, d).select(F.explode(F.split(F.lower(normalize.strip_diacritics(F.col("x"))), "")).alias("c")).filter(F.col("c").rlike(r"\p{L}")).groupBy("c").agg(F.count("*").alias("n"))
     common = [r.c for r in pairs.orderBy(F.desc("n"), "c").collect()]
