@@ -441,7 +441,7 @@ def group_texts(spark, d):
 
 @query()
 def dev_cases(spark, d):
-    return datasets.dev_cases(table(spark, d, "ab").filter("language = 'grc' and training_text is not null"), most=10)
+    return datasets.dev_cases(table(spark, d, "ab").filter("language = 'grc' and training_text is not null"))
 
 
 @query("SELECT corpus_id, count(*) AS n, avg(gap_length) AS mean_gap FROM (SELECT DISTINCT case_id, corpus_id, gap_length FROM dev_case) WHERE gap_length BETWEEN 1 AND 5 GROUP BY corpus_id")

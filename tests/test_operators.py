@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stichos.operators import candidates as C
 from stichos.operators import components, datasets, evaluation, infill, metrics, ngram, splits
+from stichos.plans import catalogue
 
 SENTENCES = [["A", "B", "A"], ["A", "C"], ["B"]]
 
@@ -124,6 +125,13 @@ def test_datasets(spark):
     assert [r[0] for r in crop.select(datasets.cropped(F.col("t"), 1)).collect()] == ["b c[..]d e", "no gap"]
 
 
+def test_dev_cases_of_any_length(spark, tmp_path):
+    rows = [("c", "f", "grc", "τὸν [πωλοῦντα] λόγον [στρατηγοῦντος] ἄλλον")]
+    spark.createDataFrame(rows, "corpus_id string, file_id string, language string, training_text string").write.parquet(str(tmp_path / "ab.parquet"))
+    got = catalogue.QUERIES["dev_cases"](spark, str(tmp_path)).collect()
+    assert sorted((r.y, r.gap_length) for r in got) == [("πωλοῦντα", 8), ("στρατηγοῦντος", 13)]
+
+
 class Toy:
     """A model of four tokens and a mask: each token likes certain followers."""
 
