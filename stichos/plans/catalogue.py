@@ -372,7 +372,8 @@ def topk_accuracy(spark, d):
 @query()
 def hit_in_beam(spark, d):
     own = gold(spark, d)
-    return metrics.topk_accuracy(metrics.gold_ranked(predicted(spark, d), own), own, 1)
+    whole = candidates.beam(candidates.scores(found(spark, d)), BOUNDARY)
+    return metrics.topk_accuracy(metrics.gold_ranked(whole, own), own, 1)
 
 
 @query()

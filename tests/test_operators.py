@@ -100,6 +100,17 @@ def test_metrics(spark):
     assert [r.token for r in metrics.nucleus(n, 0.5).collect()] == ["a"]
 
 
+def test_gold_word_far_down_in_the_beam(spark, monkeypatch):
+    counts = spark.createDataFrame([(3, "x\x01y", chr(65 + i) * 3, 1) for i in range(20)], "order int, ctx string, word string, cnt long")
+    cases = spark.createDataFrame([(1, ["x", "y"], "", "", 3), (2, ["x", "y"], "", "", 3)], "case_id int, context array<string>, head string, tail string, gap_len int")
+    own = spark.createDataFrame([(1, "OOO"), (2, "ZZZ")], "case_id int, word string")
+    monkeypatch.setattr(catalogue, "found", lambda spark, d: C.successors(cases, counts, catalogue.BOUNDARY))
+    monkeypatch.setattr(catalogue, "predicted", lambda spark, d: C.beam(C.scores(C.successors(cases, counts, catalogue.BOUNDARY)), 10))
+    monkeypatch.setattr(catalogue, "gold", lambda spark, d: own)
+    assert tuple(catalogue.QUERIES["topk_accuracy"](spark, "").first()) == (0, 2, 0.0)
+    assert tuple(catalogue.QUERIES["hit_in_beam"](spark, "").first()) == (1, 2, 0.5)
+
+
 def test_splits(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     assert splits.budget_sample(df, "k", 12.3).count() == 123
