@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from ..settings import ALPHA, BETA, DELTA, LAMBDA, LM_TYPE, MAX_BEAM_SIZE, MIN_BEAM_SIZE, SPECIALS, N
-from .ngram import SEP, log_score, scored
+from .ngram import SEP, known_contexts, log_score, merged, scored
 
 
 def beam_size(k: int, multiplier: int = 4) -> int:
@@ -19,6 +19,21 @@ def last(tokens: Column, k: int) -> Column:
     return F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - (k - 1), F.lit(1)), k), SEP) if k else F.lit("")
 
 
+def known_counts(cases: DataFrame, general: DataFrame, domain: DataFrame, n: int = N) -> DataFrame:
+    """(order, ctx, word, cnt) after the contexts of cases: words of a context that a model doesn't know are the unknown word for that
+    model; both are looked up apart, then the counts of a context and word are summed."""
+    asked = [cases.filter(F.size("context") >= order - 1).select(F.lit(order).alias("order"), last(F.col("context"), order - 1).alias("ctx")) for order in range(n, 1, -1)]
+    every = asked[0]
+    for a in asked[1:]:
+        every = every.unionByName(a)
+    every = cut(every.distinct())
+    found = [
+        every.join(known_contexts(every, m), "ctx").join(m.select("order", F.col("ctx").alias("k_ctx"), "word", "cnt"), ["order", "k_ctx"]).select("order", "ctx", "word", "cnt")
+        for m in (general, domain)
+    ]
+    return merged(*found)
+
+
 def successors(cases: DataFrame, counts: DataFrame, boundary: int, n: int = N) -> DataFrame:
     """Words seen after each case's context: the columns of cases, word, cnt and order.
 
@@ -83,13 +98,13 @@ def losses(found: DataFrame, general: DataFrame, domain: DataFrame, n: int = N,
     return asked.join(nll, ["ctx", "word"]).drop("ctx")
 
 
-def predictions(cases: DataFrame, general: DataFrame, domain: DataFrame, counts: DataFrame, k: int, n: int = N, weight: float = LAMBDA, lm_type: str = LM_TYPE, alpha: float = ALPHA, beta: float = BETA, delta: float = DELTA) -> DataFrame:
+def predictions(cases: DataFrame, general: DataFrame, domain: DataFrame, k: int, n: int = N, weight: float = LAMBDA, lm_type: str = LM_TYPE, alpha: float = ALPHA, beta: float = BETA, delta: float = DELTA) -> DataFrame:
     """The first k words for each case(case_id, context, head, tail, gap_len): case_id, rank, word, score, probability.
 
-    counts: the summed counts of both models. Cases without any known successor have no row.
+    Words of a context that a model doesn't know are the unknown word for it. Cases without any known successor have no row.
     """
     size = beam_size(k)
-    found = successors(cases, counts, size, n)
+    found = successors(cases, cut(known_counts(cases, general, domain, n)), size, n)
     if alpha > 0:
         found = losses(found, general, domain, n, weight, lm_type)
     best = cut(beam(scores(found, alpha, beta, delta), size).filter(F.col("rank") <= k))

@@ -77,13 +77,19 @@ def lidstone(cnt: Column, total: Column, v: Column, gamma: float = GAMMA) -> Col
     return (F.coalesce(cnt, F.lit(0)) + gamma) / (F.coalesce(total, F.lit(0)) + v * gamma)
 
 
+def known_contexts(contexts: DataFrame, model: DataFrame) -> DataFrame:
+    """(ctx, k_ctx) once for each of contexts(ctx): k_ctx has the words that the model doesn't know turned to the unknown word."""
+    words = vocabulary(model)
+    ctx = contexts.select("ctx").distinct().select("ctx", F.posexplode(F.split("ctx", SEP)).alias("p", "w"))
+    ctx = ctx.join(words.select(F.col("word").alias("w"), F.lit(True).alias("k")), "w", "left").withColumn("w", F.when(F.col("k") | (F.col("w") == ""), F.col("w")).otherwise(F.lit(UNK)))
+    return ctx.groupBy("ctx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]), SEP).alias("k_ctx"))
+
+
 def known(queries: DataFrame, model: DataFrame) -> DataFrame:
     """queries(order, ctx, word) with words and contexts that the model doesn't know turned to the unknown word, in columns k_ctx and k_word."""
     words = vocabulary(model)
     pairs = queries.select("ctx", "word").distinct()
-    ctx = pairs.select("ctx").distinct().select("ctx", F.posexplode(F.split("ctx", SEP)).alias("p", "w"))
-    ctx = ctx.join(words.select(F.col("word").alias("w"), F.lit(True).alias("k")), "w", "left").withColumn("w", F.when(F.col("k") | (F.col("w") == ""), F.col("w")).otherwise(F.lit(UNK)))
-    ctx = ctx.groupBy("ctx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]), SEP).alias("k_ctx"))
+    ctx = known_contexts(pairs, model)
     own = pairs.select("word").distinct().join(words.select("word", F.lit(True).alias("k")), "word", "left").select("word", F.when(F.col("k"), F.col("word")).otherwise(F.lit(UNK)).alias("k_word"))
     return queries.join(ctx, "ctx").join(own, "word")
 

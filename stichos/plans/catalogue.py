@@ -315,19 +315,26 @@ SUCCESSORS = (
 )
 
 
-def found(spark: SparkSession, d: str) -> DataFrame:
+def found_as_read(spark: SparkSession, d: str) -> DataFrame:
+    """Successors of the contexts as they stand, unknown words not mapped, as the SQL of the queries that use it."""
     counts = cut(ngram.merged(model(spark, d), model(spark, d, True)))
     return candidates.successors(asked(spark, d), counts, BOUNDARY, SIZE)
 
 
+def found(spark: SparkSession, d: str) -> DataFrame:
+    own = asked(spark, d)
+    counts = cut(candidates.known_counts(own, cut(model(spark, d)), cut(model(spark, d, True)), SIZE))
+    return candidates.successors(own, counts, BOUNDARY, SIZE)
+
+
 @query(f"WITH {SUCCESSORS} SELECT k, word, cnt, o AS \"order\" FROM suc")
 def backoff_candidates(spark, d):
-    return found(spark, d).select(F.col("case_id").alias("k"), "word", "cnt", "order")
+    return found_as_read(spark, d).select(F.col("case_id").alias("k"), "word", "cnt", "order")
 
 
 @query(f"WITH {SUCCESSORS} SELECT k, word, abs(length(word) - (gap_len + length(coalesce(head, '')) + length(coalesce(tail, '')))) AS penalty FROM suc JOIN ht USING (k)")
 def length_penalty(spark, d):
-    return found(spark, d).select(F.col("case_id").alias("k"), "word", candidates.length_penalty(F.col("word")).cast("long").alias("penalty"))
+    return found_as_read(spark, d).select(F.col("case_id").alias("k"), "word", candidates.length_penalty(F.col("word")).cast("long").alias("penalty"))
 
 
 @query()
@@ -342,7 +349,7 @@ def beam_topk(spark, d):
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
     g, s = cut(model(spark, d)), cut(model(spark, d, True))
-    return candidates.predictions(asked(spark, d), g, s, cut(ngram.merged(g, s)), 10, SIZE)
+    return candidates.predictions(asked(spark, d), g, s, 10, SIZE)
 
 
 @query()

@@ -84,6 +84,16 @@ def test_backoff_and_ranking(spark):
     assert [C.beam_size(k) for k in (1, 10, 50)] == [10, 40, 100]
 
 
+def test_unknown_context_words(spark):
+    schema = "order int, ctx string, word string, cnt long"
+    general = spark.createDataFrame([(1, "", "X", 1), (1, "", "Y", 1), (1, "", "AB", 1), (3, "X\x01Y", "AB", 2), (2, "Y", "AB", 2)], schema)
+    domain = spark.createDataFrame([(1, "", "Y", 1), (1, "", "<UNK>", 1), (3, "<UNK>\x01Y", "AB", 5), (3, "<UNK>\x01Y", "CD", 1), (2, "<UNK>", "EF", 4)], schema)
+    cases = spark.createDataFrame([(1, ["X", "Y"], "", "", 2), (2, ["Q", "Z"], "", "", 2)], "case_id int, context array<string>, head string, tail string, gap_len int")
+    found = C.successors(cases, C.known_counts(cases, general, domain), 10)
+    assert sorted((r.case_id, r.word, r.cnt, r.order) for r in found.collect()) == [(1, "AB", 7, 3), (1, "CD", 1, 3), (2, "EF", 4, 2)]
+    assert sorted((r.case_id, r.word) for r in C.predictions(cases, general, domain, 5).collect()) == [(1, "AB"), (1, "CD"), (2, "EF")]
+
+
 def test_metrics(spark):
     p = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (3, 1, "d e")], "case_id int, rank int, word string")
     g = spark.createDataFrame([(1, "b"), (2, "x"), (3, "DE"), (4, "y")], "case_id int, word string")

@@ -130,6 +130,13 @@ def test_registry(spark, tmp_path):
     assert r.table().count() == 0
 
 
+def test_registry_takes_unknown_context(spark, tmp_path):
+    s = spark.createDataFrame([("<UNK> ΛΟΓΟΝ ΚΑΙ".split(),), ("ΤΟΝ ΛΟΓΟΥ".split(),)], "tokens array<string>")
+    r = registry.Registry(spark, str(tmp_path / "models"))
+    m = r.add_ngrams(s, s, "LIDSTONE", 0.1, 2)
+    assert [g["token_str"] for g in r.suggest(m, "ξένον λόγο[.]", 5)] == ["λογον"]
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
