@@ -11,10 +11,15 @@ from ..operators.ngram import ngram_rows
 from ..schemas import BLOCK
 
 
-def blocks(spark: SparkSession, folder: str, watermark: str = "1 hour") -> DataFrame:
-    """A stream of blocks from JSON-lines files; a block that arrives again within the watermark counts once."""
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of blocks from JSON-lines files; a block that arrives again counts once, whenever it was exported.
+
+    No watermark: exports come in any order, and a watermark would discard the older ones. The ids seen so far are the query's state.
+    Blocks without an id are repeats only where all columns are equal.
+    """
     raw = spark.readStream.schema(f"{BLOCK}, exported_at timestamp").json(folder)
-    return raw.withWatermark("exported_at", watermark).dropDuplicatesWithinWatermark(["id"])
+    keyed = raw.withColumn("_id", F.when(F.col("id").isNull(), F.to_json(F.struct(*raw.columns))).otherwise(F.col("id")))
+    return keyed.dropDuplicates(["_id"]).drop("_id")
 
 
 def transpiled(stream: DataFrame) -> DataFrame:

@@ -146,3 +146,25 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("id").collect()
     assert [(r.id, r.plain) for r in got] == [("c/f/1", "ΤΟΝ ΛΟΓΟΝ."), ("c/f/2", "ΤΟΝ ΛΟΓΟΝ.")]
+
+
+def test_stream_keeps_late_blocks(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    batches = ([("c/f/1", "2022-01-01"), ("c/f/2", "2022-06-01")], [("c/f/1", "2022-01-01"), ("c/f/3", "2022-01-02"), ("c/f/4", "2022-06-02")], [("c/f/5", "2021-03-01"), (None, "2021-03-01"), (None, "2021-03-02"), ("c/f/3", "2023-01-01")])
+    for i, batch in enumerate(batches):
+        rows = [{"corpus_id": "c", "id": k, "training_text": "τὸν λόγον.", "exported_at": f"{day}T00:00:00"} for k, day in batch]
+        (src / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows), "utf-8")
+        ingest.write(ingest.blocks(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == [None, None, "c/f/1", "c/f/2", "c/f/3", "c/f/4", "c/f/5"]
+
+
+def test_stream_counts_late_blocks(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, (k, day) in enumerate([("c/f/1", "2022-06-01"), ("c/f/2", "2022-01-01"), ("c/f/1", "2022-06-01")]):
+        (src / f"{i}.json").write_text(json.dumps({"corpus_id": "c", "id": k, "training_text": "τὸν λόγον.", "exported_at": f"{day}T00:00:00"}), "utf-8")
+        q = ingest.counts(ingest.blocks(spark, str(src)), 2).writeStream.format("memory").queryName(f"late_{i}").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert {r.word: r.cnt for r in spark.table("late_2").filter("order = 1").collect()}["ΛΟΓΟΝ"] == 2
