@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from ..settings import ALPHA, BETA, DELTA, LAMBDA, LM_TYPE, MAX_BEAM_SIZE, MIN_BEAM_SIZE, SPECIALS, N
+from ..settings import ALPHA, BETA, DELTA, GAMMA, LAMBDA, LM_TYPE, MAX_BEAM_SIZE, MIN_BEAM_SIZE, SPECIALS, N
 from .ngram import SEP, known_contexts, log_score, merged, scored
 
 
@@ -89,16 +89,16 @@ def beam(scored_: DataFrame, size: int) -> DataFrame:
     return scored_.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy("score", "word"))).filter(F.col("rank") <= size)
 
 
-def losses(found: DataFrame, general: DataFrame, domain: DataFrame, n: int = N, weight: float = LAMBDA, lm_type: str = LM_TYPE) -> DataFrame:
+def losses(found: DataFrame, general: DataFrame, domain: DataFrame, n: int = N, weight: float = LAMBDA, lm_type: str = LM_TYPE, gamma: float | None = GAMMA) -> DataFrame:
     """found with nll: the negative log score of word after the last n - 1 tokens of context."""
     asked = found.withColumn("ctx", last(F.col("context"), n - 1))
     unique = asked.select(F.lit(n).alias("order"), "ctx", "word").distinct()
-    both = scored(scored(unique, general, "p_general", lm_type), domain, "p_domain", lm_type)
+    both = scored(scored(unique, general, "p_general", lm_type, gamma), domain, "p_domain", lm_type, gamma)
     nll = both.select("ctx", "word", (-log_score(F.col("p_domain"), F.col("p_general"), weight)).alias("nll"))
     return asked.join(nll, ["ctx", "word"]).drop("ctx")
 
 
-def predictions(cases: DataFrame, general: DataFrame, domain: DataFrame, k: int, n: int = N, weight: float = LAMBDA, lm_type: str = LM_TYPE, alpha: float = ALPHA, beta: float = BETA, delta: float = DELTA) -> DataFrame:
+def predictions(cases: DataFrame, general: DataFrame, domain: DataFrame, k: int, n: int = N, weight: float = LAMBDA, lm_type: str = LM_TYPE, alpha: float = ALPHA, beta: float = BETA, delta: float = DELTA, gamma: float | None = GAMMA) -> DataFrame:
     """The first k words for each case(case_id, context, head, tail, gap_len): case_id, rank, word, score, probability.
 
     Words of a context that a model doesn't know are the unknown word for it. Cases without any known successor have no row.
@@ -106,7 +106,7 @@ def predictions(cases: DataFrame, general: DataFrame, domain: DataFrame, k: int,
     size = beam_size(k)
     found = successors(cases, cut(known_counts(cases, general, domain, n)), size, n)
     if alpha > 0:
-        found = losses(found, general, domain, n, weight, lm_type)
+        found = losses(found, general, domain, n, weight, lm_type, gamma)
     best = cut(beam(scores(found, alpha, beta, delta), size).filter(F.col("rank") <= k))
-    with_loss = best if alpha > 0 else losses(best, general, domain, n, weight, lm_type)
+    with_loss = best if alpha > 0 else losses(best, general, domain, n, weight, lm_type, gamma)
     return with_loss.select("case_id", "rank", "word", "score", F.pow(F.lit(2.0), -F.col("nll")).alias("probability"))

@@ -110,7 +110,7 @@ class Registry:
         """(case_id, rank, sentence, token_str, score) for cases(case_id, text), a gap `[...]` each. Texts without exactly one gap have no row."""
         settings, general, domain = self.counts(model_id)
         own = asked(cases, settings["N"])
-        found = candidates.predictions(own, general, domain, k, settings["N"], lm_type=settings["LM_SCORE"])
+        found = candidates.predictions(own, general, domain, k, settings["N"], lm_type=settings["LM_SCORE"], gamma=settings["GAMMA"])
         out = found.join(cases, "case_id").withColumn("token_str", F.lower("word"))
         return out.select("case_id", "rank", splice(F.col("text"), F.col("token_str")).alias("sentence"), "token_str", F.col("probability").alias("score"))
 

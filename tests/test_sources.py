@@ -137,6 +137,16 @@ def test_registry_takes_unknown_context(spark, tmp_path):
     assert [g["token_str"] for g in r.suggest(m, "ξένον λόγο[.]", 5)] == ["λογον"]
 
 
+def test_registry_scores_with_the_models_gamma(spark, tmp_path):
+    s = spark.createDataFrame([("ΤΟΝ ΛΟΓΟΝ ΚΑΙ".split(),), ("ΤΟΝ ΛΟΓΟΥ".split(),)], "tokens array<string>")
+    r = registry.Registry(spark, str(tmp_path / "models"))
+    words = 7  # <s>, </s>, four words, unknown
+    for gamma in (0.1, 0.001):
+        got = r.suggest(r.add_ngrams(s, s, "LIDSTONE", gamma, 2), "τὸν λόγο[.]", 5)
+        assert [g["score"] for g in got] == pytest.approx([(1 + gamma) / (2 + words * gamma)] * 2)
+    assert [g["score"] for g in r.suggest(r.add_ngrams(s, s, "MLE", None, 2), "τὸν λόγο[.]", 5)] == pytest.approx([0.5, 0.5])
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
