@@ -121,8 +121,11 @@ def unlike(ws: list[str], lines: int, marked: bool, common: set[str]) -> tuple[f
         return float(marked and not total), 0.0
     if total < (0.1 if len(ws) >= 30 else 0.06) * len(ws):
         return 1.0, 0.0
-    bad = [sum(hits[i : i + WINDOW]) <= 1 for i in range(0, len(ws) - WINDOW + 1, WINDOW)]
-    return (sum(bad) / len(bad) if bad else 0.0), 0.0
+    if len(ws) < WINDOW:
+        return 0.0, 0.0
+    bad = WINDOW * sum(sum(hits[i : i + WINDOW]) <= 1 for i in range(0, len(ws) - WINDOW + 1, WINDOW))
+    rest = len(ws) % WINDOW  # judged by the last window, which ends with the run
+    return (bad + rest * (sum(hits[-WINDOW:]) <= 1)) / len(ws), 0.0
 
 
 KINDS = ("cell", "label", "bullet", "page", "number", "garbled", "encoding", "spaced", "long", "repeated", "rare", "listed")

@@ -196,6 +196,13 @@ def test_quality(spark):
     assert one.line_end_share == 1
 
 
+def test_end_of_a_run_is_judged():
+    prose = [f"w{i}" if i % 3 else "the" for i in range(24)]
+    junk = [f"x{i}" for i in range(47)]
+    assert quality.unlike(prose + junk, 5, False, {"the"}) == (pytest.approx(47 / 71), 0.0)
+    assert quality.unlike(prose + prose[:12], 5, False, {"the"}) == (0.0, 0.0)
+
+
 def test_holdout_and_trees():
     x, y = quality.holdout()
     assert len(x) >= 100
