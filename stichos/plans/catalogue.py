@@ -520,35 +520,45 @@ def file_numbers(spark, d):
 @query()
 def masked_beam_toy(spark, d):
     """Fillings of the cases' gaps by a model of letters: how often one letter follows another in the training texts."""
-    pairs = texts(spark, d).select(F.explode(F.split(F.lower(normalize.strip_diacritics(F.col("x"))), "")).alias("c")).filter(F.col("c").rlike(r"\p{L}")).groupBy("c").agg(F.count("*").alias("n"))
-    common = [r.c for r in pairs.orderBy(F.desc("n"), "c").collect()]
-    return infill.infill(cases(spark, d).select(F.col("k").alias("case_id"), "text"), _Letters.of(common), 5)
+    plain = texts(spark, d).select(F.lower(normalize.strip_diacritics(F.col("x"))).alias("x"))
+    count = lambda pattern: plain.select(F.explode(F.regexp_extract_all("x", F.lit(pattern), 1)).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    letters = [(r.c, r.n) for r in count(r"(\p{L})").orderBy(F.desc("n"), "c").collect()]
+    pairs = {r.c: r.n for r in count(r"(?=(\p{L}\p{L}))").collect()}
+    return infill.infill(cases(spark, d).select(F.col("k").alias("case_id"), "text"), _Letters.of(letters, pairs), 5)
 
 
 class _Letters:
-    """A scorer of letters, the more frequent the likelier, a vowel after a consonant likelier still."""
+    """A scorer of letters by how often each follows the letter before it, or by how often it occurs where no known letter stands there.
 
-    def __init__(self, letters: list[str]):
+    letters: with their counts; pairs: counts of two letters. A pair counts once more than seen; the mask has a fixed share.
+    """
+
+    MASK_SHARE = 0.01
+
+    def __init__(self, letters: list[tuple[str, int]], pairs: dict[str, int]):
         import numpy as np
 
-        self.letters, self.mask_id = letters, len(letters)
-        weight = np.array([1 / (i + 2) for i in range(len(letters))] + [0.01])
-        vowel = np.array([c in "aeiouαεηιουω" for c in letters] + [False])
-        self.rows = {v: np.log((w := weight * np.where(vowel, 0.5 if v else 2.0, 1.0)) / w.sum()) for v in (False, True)}
-        self.vowel = vowel
+        self.letters, self.mask_id = [c for c, _ in letters], len(letters)
+        self.at = {c: i for i, c in enumerate(self.letters)}
+        counts = np.ones((len(letters) + 1, len(letters)))  # the last row: after no letter
+        counts[-1] += [n for _, n in letters]
+        for (a, b), n in pairs.items():
+            counts[self.at[a], self.at[b]] += n
+        share = (1 - self.MASK_SHARE) * counts / counts.sum(1, keepdims=True)
+        self.rows = np.log(np.hstack([share, np.full((len(share), 1), self.MASK_SHARE)]))
 
     @classmethod
-    def of(cls, letters: list[str]) -> Callable[[], _Letters]:
-        return lambda: cls(letters)
+    def of(cls, letters: list[tuple[str, int]], pairs: dict[str, int]) -> Callable[[], _Letters]:
+        return lambda: cls(letters, pairs)
 
     def score(self, sequences, positions):
-        import numpy as np
-
-        return np.array([self.rows[bool(p and self.vowel[s[p - 1]])] for s, p in zip(sequences, positions, strict=True)])
+        return self.rows[[min(s[p - 1], self.mask_id) if p else self.mask_id for s, p in zip(sequences, positions, strict=True)]]
 
     def encode(self, text: str, masks: int) -> list[int]:
-        left = text.split("[")[0][-1:].lower()
-        return [self.letters.index(left) if left in self.letters else 0, *[self.mask_id] * masks]
+        import unicodedata
+
+        left = "".join(c for c in unicodedata.normalize("NFD", text.split("[")[0][-8:].lower()) if not unicodedata.combining(c))[-1:]
+        return [self.at.get(left, self.mask_id + 1), *[self.mask_id] * masks]
 
     def decode(self, ids: list[int]) -> str:
         return "".join((*self.letters, "?")[i] for i in ids)

@@ -188,6 +188,13 @@ def test_pivot_and_sampling():
     assert infill.mask_tokens([5, 6, 7], [1], 4) == ([5, 4, 7], [6])
 
 
+def test_letters_follow_letters(spark, tmp_path):
+    rows = [("a/b/1", "grc", "εεε εεε κακακα", [("a/b/1/1", "κ[.]")])]
+    spark.createDataFrame(rows, "id string, language string, training_text string, test_cases array<struct<id: string, test_case: string>>").write.parquet(str(tmp_path / "ab.parquet"))
+    got = catalogue.QUERIES["masked_beam_toy"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert got[0].token_str == "ακ"
+
+
 def test_infill(spark):
     cases = spark.createDataFrame([(1, "α [...] β"), (2, "nichts"), (3, None)], "case_id int, text string")
     got = infill.infill(cases, Toy, k=5).orderBy("rank").collect()
