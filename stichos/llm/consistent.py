@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .lookalikes import LIMIT, SCRIPTS, UNDERDOT, UnionFind, groups, is_invisible, plain_space, script_of, to_script
+from .lookalikes import LIMIT, SCRIPTS, UNDERDOT, UnionFind, groups, is_invisible, is_space, plain_space, script_of, to_script
 
 #: Decompositions of Unicode that keep the look of a letter.
 SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<font>")
@@ -28,10 +29,10 @@ OWN_LOOK = "ſϐϑϒϓϔϕϖϰϱϲϴϵϹẛ"
 
 
 def pairs() -> Iterator[tuple[str, str]]:
-    """Pairs of strings that print alike, by rule."""
-    for cp in range(0x80, LIMIT):
-        if 0x3400 <= cp <= 0xF8FF or 0x20000 <= cp:
-            continue
+    """Pairs of strings that print alike, by rule. Syllables and ideographs have no other spelling than NFC finds."""
+    own = ~tv.of_category("Cn", "Co", "Cs")
+    own[:0x80] = own[0x3400:0xF900] = own[0x20000:] = False
+    for cp in np.flatnonzero(own).tolist():
         ch = chr(cp)
         d = unicodedata.decomposition(ch)
         if not d or ch in OWN_LOOK:
@@ -71,7 +72,7 @@ def other_width(c: str) -> bool:
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by ROW_END, and where each text begins."""
     big = tv.ROW_END.join(texts) + tv.ROW_END
-    cp = np.minimum(np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32), LIMIT - 1)
+    cp = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     return cp, np.cumsum(size) - size
 
@@ -95,25 +96,23 @@ class Rewriter:
                         best[s] = m
             for m in members:
                 s = script_of(m[0])
-                if m not in best.values() and not standard(m):
+                if m not in best.values():
                     change[m] = best.get(s) or unicodedata.normalize("NFC", m)
         for m, to in list(change.items()):
             if len(m) > 1 and unicodedata.combining(m[-1]):  # an under-dot may stand between a letter and its marks
                 change.setdefault(m[0] + UNDERDOT + m[1:], unicodedata.normalize("NFC", to + UNDERDOT))
-        for cp in range(LIMIT):
+        for cp in np.flatnonzero(tv.of_category("C", "Z", "Mn", "Lo", "So") & ~tv.of_category("Cn", "Co", "Cs")).tolist():
             ch = chr(cp)
             if is_invisible(ch):
                 change[ch] = ""
-            elif (ch.isspace() or unicodedata.category(ch)[0] == "Z") and ch not in " \n":
+            elif is_space(ch) and ch not in " \n":
                 change[ch] = plain_space(ch)
         change["\r\n"] = "\n"
         self.change = {a: b for a, b in change.items() if a != b}
         self.automaton = self._automaton(self.change)
         self.trigger = np.zeros(LIMIT, bool)
-        self.trigger[[min(ord(a[-1]), LIMIT - 1) for a in self.change]] = True
+        self.trigger[[ord(a[-1]) for a in self.change]] = True
         self.trigger[[ord("\n"), ord(tv.ROW_END)]] = False  # "\r\n" has its "\r"; the end of a row is looked for apart
-        # marks that compose with a letter before them, in sequences too long for the patterns
-        self.trigger[[cp for cp in range(0x300, LIMIT) if unicodedata.combining(chr(cp)) and chr(cp) != UNDERDOT]] = True
         self.script_rate = {bit: sum(n for c, n in frequency.items() if script_of(chr(c)) == bit) for bit in SCRIPTS.values()}
         self.by_script = {}
         for bit, table in to_script().items():
@@ -146,14 +145,14 @@ class Rewriter:
     def rewrite(self, texts: list[str]) -> list[str]:
         """The texts in consistent form.
 
-        The automaton runs over the texts with a code point that only patterns have (its last one; marks, odd spaces, ...), the
+        The automaton runs over the texts that are not composed or have a code point that only patterns have (odd spaces, ...), the
         search for mixed words over those with letters of several scripts: no other text can change.
         """
         if not texts:
             return []
         cp, starts = _flat(texts)
         out = list(texts)
-        own = np.logical_or.reduceat(self.trigger[cp], starts) | np.fromiter((tv.ROW_END in t for t in texts), bool, len(texts))
+        own = np.logical_or.reduceat(self.trigger[cp], starts) | np.fromiter((tv.ROW_END in t or not unicodedata.is_normalized("NFC", t) for t in texts), bool, len(texts))
         for i in np.flatnonzero(own):
             new = self._apply(self.automaton, out[i])
             out[i] = new if unicodedata.is_normalized("NFC", new) else unicodedata.normalize("NFC", new)
@@ -208,7 +207,7 @@ def frequencies(texts: DataFrame, text: str = "text") -> dict[int, int]:
         for batch in batches:
             for _, part in tv.chunks(batch["t"].tolist(), 4_000_000):
                 cp = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
-                total += np.bincount(np.minimum(cp, LIMIT - 1), minlength=LIMIT)
+                total += np.bincount(cp, minlength=LIMIT)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cp": at, "n": total[at]})
 
@@ -216,6 +215,12 @@ def frequencies(texts: DataFrame, text: str = "text") -> dict[int, int]:
     return {r.cp: r.n for r in rows.collect()}
 
 
+@lru_cache(maxsize=2)
+def _rewriter(frequency: tuple[tuple[int, int], ...]) -> Rewriter:
+    """The automata of a worker, built once for all its tasks."""
+    return Rewriter(dict(frequency))
+
+
 def rewritten(texts: DataFrame, keys: list[str], text: str = "text", frequency: dict[int, int] | None = None) -> DataFrame:
     """The key columns, text in consistent form and changed (whether it was not); one row per text that is not null.
 
@@ -225,7 +230,7 @@ def rewritten(texts: DataFrame, keys: list[str], text: str = "text", frequency:
     schema = ", ".join(f"k{i} {texts.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rewriter = Rewriter(shared.value)
+        rewriter = _rewriter(tuple(sorted(shared.value.items())))
         for batch in batches:
             own = batch["t"].tolist()
             new = [t for _, part in tv.chunks(own) for t in rewriter.rewrite(part)]

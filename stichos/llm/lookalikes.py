@@ -19,13 +19,28 @@ a α а ⲁ|c ϲ с ⲥ|e - е -|h - һ -|i ι і ⲓ|j - ј -|k κ к ⲕ|o ο
 - β - ⲃ|- ε - ⲉ|- φ ф ⲫ|- ω - ⲱ
 """
 
-#: Scripts in the order of ALIKE, with their bit.
-SCRIPTS = {"LATIN": 1, "GREEK": 2, "CYRILLIC": 4, "COPTIC": 8}
+#: Letters of further scripts, each with the Latin letter that prints like it.
+ALIKE_LATIN = {
+    "ARMENIAN": "h հ|n ո|o օ|q զ|u ս|g ց|j յ|O Օ|S Տ|U Ս|L Լ",
+    "CHEROKEE": "A Ꭺ|B Ᏼ|C Ꮯ|D Ꭰ|E Ꭼ|G Ꮐ|H Ꮋ|J Ꭻ|K Ꮶ|L Ꮮ|M Ꮇ|P Ꮲ|R Ꭱ|S Ꮪ|T Ꭲ|V Ꮩ|W Ꮃ|Y Ꭹ|Z Ꮓ|i Ꭵ|d Ꮷ|b Ꮟ",
+    "LISU": "A ꓮ|B ꓐ|C ꓚ|D ꓓ|E ꓰ|F ꓝ|G ꓖ|H ꓧ|I ꓲ|J ꓙ|K ꓗ|L ꓡ|M ꓟ|N ꓠ|O ꓳ|P ꓑ|R ꓣ|S ꓢ|T ꓔ|U ꓴ|V ꓦ|W ꓪ|X ꓫ|Y ꓬ|Z ꓜ",
+}
+
+#: Scripts in the order of ALIKE and ALIKE_LATIN, with their bit.
+SCRIPTS = {"LATIN": 1, "GREEK": 2, "CYRILLIC": 4, "COPTIC": 8, "ARMENIAN": 16, "CHEROKEE": 32, "LISU": 64}
 
 #: Characters that may stand in a text although they are marks: the under-dot of a damaged letter.
 UNDERDOT = "̣"
 
-LIMIT = 0x30000
+#: Number of code points that Unicode has.
+LIMIT = 0x110000
+
+#: Invisible characters of other categories than controls and format signs - grapheme joiner, fillers, inherent vowels,
+#: and the selectors of variants, as ranges of code points.
+FILLERS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
+SELECTORS = ((0x180B, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
+#: A character without ink that is as wide as a letter, in no category of spaces.
+BLANK = "\u2800"
 
 
 class UnionFind:
@@ -67,26 +82,39 @@ def script_of(ch: str) -> int:
 
 
 def is_invisible(ch: str) -> bool:
-    """Characters without ink that are no space: zero-width, joiners, soft hyphen, controls, direction marks, variation selectors."""
+    """Characters without ink that are no space: zero-width, joiners, soft hyphen, controls, direction marks, tags, variation selectors."""
     if ch in "\n ":
         return False
     cat = unicodedata.category(ch)
-    return cat == "Cf" or (cat == "Cc" and ch not in "\t\r\x0b\x0c\x85") or 0xFE00 <= ord(ch) <= 0xFE0F or ch in "͏ᅟᅠㅤﾠ"
+    return cat == "Cf" or (cat == "Cc" and ch not in "\t\r\x0b\x0c\x85") or ch in FILLERS or any(a <= ord(ch) <= b for a, b in SELECTORS)
+
+
+def is_space(ch: str) -> bool:
+    """White space, or a character that prints as nothing but room."""
+    return ch.isspace() or ch == BLANK or unicodedata.category(ch)[0] == "Z"
 
 
 def plain_space(ch: str) -> str:
     """The ordinary space or line end that a white-space character looks like."""
-    return "\n" if ch in "\r\x0b\x0c\x85  " else " "
+    return "\n" if ch in "\r\x0b\x0c\x85\u2028\u2029" else " "
 
 
 @lru_cache(maxsize=1)
 def groups() -> list[dict[int, str]]:
     """The script table: for each group the letter by script bit."""
+    bits = list(SCRIPTS.values())
     out = []
     for entry in ALIKE.replace("\n", "|").split("|"):
         letters = entry.split()
         if letters:
-            out.append({bit: c for bit, c in zip(SCRIPTS.values(), letters, strict=True) if c != "-"})
+            out.append({bit: c for bit, c in zip(bits[:4], letters, strict=True) if c != "-"})
+    by_latin = {g[1]: g for g in out if 1 in g}
+    for script, pairs in ALIKE_LATIN.items():
+        for latin, c in (pair.split(" ") for pair in pairs.split("|")):
+            if latin not in by_latin:
+                by_latin[latin] = {1: latin}
+                out.append(by_latin[latin])
+            by_latin[latin][SCRIPTS[script]] = c
     return out
 
 

@@ -27,6 +27,22 @@ P_WORD = U64(0xD6E8FEB86659FD93)
 EDITORIAL = "[](){}<>⟦⟧⟨⟩'’ʼ"
 
 
+@lru_cache(maxsize=1)
+def categories() -> np.ndarray:
+    """The two letters of each code point's general category."""
+    every = "".join(map(unicodedata.category, map(chr, range(LIMIT))))
+    return np.frombuffer(every.encode("ascii"), np.uint8).reshape(LIMIT, 2)
+
+
+def of_category(*names: str) -> np.ndarray:
+    """Whether each code point is of one of the categories, which are given by one letter or both."""
+    kind = categories()
+    out = np.zeros(LIMIT, bool)
+    for name in names:
+        out |= (kind[:, : len(name)] == np.frombuffer(name.encode("ascii"), np.uint8)).all(1)
+    return out
+
+
 @lru_cache(maxsize=1)
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray], dict[int, str]]:
     """kind, folded letter and script of each code point; the replacement tables by script; letters that fold to several."""
@@ -34,21 +50,19 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray],
     fold = np.arange(LIMIT, dtype=np.uint32)
     script = np.zeros(LIMIT, np.uint8)
     several: dict[int, str] = {}
-    for cp in range(LIMIT):
+    letter = of_category("L", "N")
+    kind[letter] = LETTER
+    kind[of_category("M")] = SKIP
+    kind[[cp for cp in np.flatnonzero(~letter & ~of_category("Z", "Cn", "Co", "Cs")).tolist() if is_invisible(chr(cp)) or chr(cp) in EDITORIAL]] = SKIP
+    letter[0x3400:0xA490] = letter[0xAC00:0xD800] = letter[0x20000:] = False  # ideographs and syllables fold to themselves
+    for cp in np.flatnonzero(letter).tolist():
         ch = chr(cp)
-        cat = unicodedata.category(ch)
-        if cat[0] == "L" or cat[0] == "N":
-            kind[cp] = LETTER
-            if 0x3400 <= cp <= 0xD7FF or cp >= 0x20000:
-                continue
-            base = "".join(c for c in unicodedata.normalize("NFKD", ch) if unicodedata.category(c)[0] in "LN").lower()
-            base = "".join(c for c in unicodedata.normalize("NFKD", base) if unicodedata.category(c)[0] in "LN").replace("ς", "σ").replace("ϲ", "σ").replace("ß", "ss")
-            fold[cp] = ord(base[0]) if base else cp
-            if len(base) > 1:
-                several[cp] = base
-            script[cp] = script_of(ch)
-        elif cat[0] == "M" or is_invisible(ch) or ch in EDITORIAL:
-            kind[cp] = SKIP
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if unicodedata.category(c)[0] in "LN").lower()
+        base = "".join(c for c in unicodedata.normalize("NFKD", base) if unicodedata.category(c)[0] in "LN").replace("ς", "σ").replace("ϲ", "σ").replace("ß", "ss")
+        fold[cp] = ord(base[0]) if base else cp
+        if len(base) > 1:
+            several[cp] = base
+        script[cp] = script_of(ch)
     kind[ord(".")] = DOT
     kind[0x1E] = SEP
     kind[ord("\n")] = SEP
@@ -57,7 +71,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray],
         table = np.arange(LIMIT, dtype=np.uint32)
         # an accented look-alike turns by its base letter
         base_of = {ord(a): b for a, b in pairs.items()}
-        for cp in [c for c in range(0x2D00) if script[c] and script[c] != bit]:
+        for cp in np.flatnonzero((script > 0) & (script != bit)).tolist():
             base = unicodedata.normalize("NFKD", chr(cp))[0]
             if ord(base) in base_of:
                 table[cp] = ord(base_of[ord(base)])
@@ -76,13 +90,14 @@ class Words:
     """The words of a chunk.
 
     row: text of each word; hash: its 64-bit hash; ok: no letter lost or masked; start, size: its part of letters (folded
-    code points); first: index of each text's first word, with the number of words at the end.
+    code points) and of place (where they stand in codes(texts)); first: index of each text's first word, with the number of words
+    at the end.
     """
 
-    __slots__ = ("first", "hash", "letters", "ok", "row", "size", "start")
+    __slots__ = ("first", "hash", "letters", "ok", "place", "row", "size", "start")
 
-    def __init__(self, row, hash_, ok, start, size, letters, n_rows):
-        self.row, self.hash, self.ok, self.start, self.size, self.letters = row, hash_, ok, start, size, letters
+    def __init__(self, row, hash_, ok, start, size, letters, place, n_rows):
+        self.row, self.hash, self.ok, self.start, self.size, self.letters, self.place = row, hash_, ok, start, size, letters, place
         self.first = np.searchsorted(row, np.arange(n_rows + 1))
 
     def text(self, i: int) -> str:
@@ -110,12 +125,23 @@ def codes(texts: list[str]) -> np.ndarray:
     if "ß" in big:
         big = big.replace("ß", "ss")
     cp = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
-    cp = np.minimum(cp, LIMIT - 1)
-    if _several()[cp].any():
-        cp = np.minimum(np.frombuffer(big.translate(tables()[4]).encode("utf-32-le", "surrogatepass"), np.uint32), LIMIT - 1)
+    grown = cp[_several()[cp]]
+    if len(grown):
+        for c in np.unique(grown).tolist():
+            big = big.replace(chr(c), tables()[4][c])
+        cp = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), np.uint32)
     return cp
 
 
+def origins(texts: list[str]) -> np.ndarray:
+    """For each position of codes(texts) the place of its character in the texts, each of which is followed by one more place."""
+    cp = np.frombuffer((ROW_END.join(texts) + ROW_END).encode("utf-32-le", "surrogatepass"), np.uint32)
+    grown = np.where(cp == ord("ß"), 2, 1)
+    for c in np.unique(cp[_several()[cp]]).tolist():
+        grown[cp == c] = len(tables()[4][c])
+    return np.repeat(np.arange(len(cp)), grown)
+
+
 def _followed(cp: np.ndarray, at: np.ndarray, word: str) -> np.ndarray:
     """Those of the positions where word stands."""
     at = at[at + len(word) <= len(cp)]
@@ -164,23 +190,28 @@ def unify(letters: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     """Letters with each word in one script: words of several scripts turn to the one that can print all their letters, the most frequent of those."""
     _, _, script, turn, _ = tables()
     s = script[letters]
-    mixed = np.bitwise_or.reduceat(s, start)
-    mixed = np.flatnonzero((mixed & (mixed - 1)) != 0)
+    scripts = np.bitwise_or.reduceat(s, start)
+    mixed = np.flatnonzero((scripts & (scripts - 1)) != 0)
     if not len(mixed):
         return letters
+    # the letters of mixed words as one array, tried in each script at once
+    n = size[mixed]
+    begin = np.cumsum(n) - n
+    at = np.repeat(start[mixed] - begin, n) + np.arange(int(n.sum()))
+    own, ws = letters[at], s[at]
+    best = np.full(len(mixed), np.iinfo(np.int64).max)
+    out = own.copy()
+    for bit in SCRIPTS.values():
+        turned = np.where((ws == bit) | (ws == 0), own, turn[bit][own])
+        left = np.add.reduceat(((script[turned] != bit) & (ws != 0)).astype(np.int64), begin)
+        mine = np.add.reduceat((ws == bit).astype(np.int64), begin)
+        # fewest letters left, then most of its own, then the first script
+        key = np.where(mine > 0, (left << 40) - (mine << 8) + bit, np.iinfo(np.int64).max)
+        better = key < best
+        best = np.where(better, key, best)
+        out = np.where(np.repeat(better, n), turned, out)
     letters = letters.copy()
-    for w in mixed:
-        part = slice(start[w], start[w] + size[w])
-        own, ws = letters[part], s[part]
-        best = None
-        for bit in SCRIPTS.values():
-            turned = np.where(ws == bit, own, turn[bit][own])
-            left = int(((script[turned] != bit) & (ws != 0)).sum())
-            key = (left, -int((ws == bit).sum()), bit)
-            if (ws == bit).any() and (best is None or key < best[0]):
-                best = (key, np.where(ws == 0, own, turned))
-        if best is not None:
-            letters[part] = best[1]
+    letters[at] = out
     return letters
 
 
@@ -207,7 +238,7 @@ def words(texts: list[str]) -> Words:
         n = len(texts)
         if not len(keep):
             none = np.zeros(0, np.int64)
-            return Words(none, none.astype(U64), none.astype(bool), none, none, none.astype(np.uint32), n)
+            return Words(none, none.astype(U64), none.astype(bool), none, none, none.astype(np.uint32), none, n)
         seps = np.cumsum(kind == SEP, dtype=np.int64)[keep]
         start = np.flatnonzero(np.r_[True, seps[1:] != seps[:-1]])
         size = np.diff(np.r_[start, len(keep)])
@@ -221,7 +252,7 @@ def words(texts: list[str]) -> Words:
         powers = _powers(int(P_CHAR), 1 << max(8, (longest - 1).bit_length()))
         value = (letters.astype(U64) + U64(0x51ED27)) * U64(0xA24BAED4963EE407)
         h = np.add.reduceat((value ^ (value >> U64(29))) * powers[position], start)
-        return Words(row, mix(h), ok, start, size, letters, n)
+        return Words(row, mix(h), ok, start, size, letters, keep, n)
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
