@@ -1,6 +1,6 @@
 """Language of each text and of each stretch of a mixed text, by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds a byte per slot, one bit per language: looking up an n-gram returns at once the set of
+A bit-sliced Bloom filter holds bytes per slot, one bit per language: looking up an n-gram returns at once the set of
 languages that use it.  Per word and language the hits are counted and corrected for the filter's false positives; a
 Viterbi pass over the words finds the stretches, and stretches too short to be a segment join their neighbours.
 """
@@ -21,12 +21,12 @@ U64 = np.uint64
 ORDERS = (3, 4)
 #: Slots of the filter (a power of two) and look-ups per n-gram.
 SLOTS, PROBES = 1 << 21, 2
-#: At most about so many labelled texts of a language are used to fill the filters.
-SAMPLE = 2000
+#: At most about so many labelled texts of a language, and code points of them, are used to fill the filters.
+SAMPLE, SAMPLE_CHARS = 2000, 1_000_000
 #: An n-gram belongs to a language where its rate is at least this part of its highest rate, and it occurs this often.
 LEAST_RATE, LEAST_COUNT = 0.15, 3
-#: Words that a segment has at least, before the uncertainty of a border; evidence in words that a change of language costs.
-SHORTEST, SWITCH = 7, 1.6
+#: Words that a segment has at least; words at a border that may be of either language; evidence in words that a change of language costs.
+SHORTEST, BORDER, SWITCH = 10, 3, 1.6
 #: What a text without any known n-gram is, by script bit.
 FALLBACK = {1: "la", 2: "grc", 8: "cop"}
 
@@ -61,34 +61,39 @@ def ngrams(w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageFilters:
-    """The filters: slots holds the language bits, noise the chance of a false hit by language."""
+    """The filters: a slice of bytes, a bit of each being a language, for every eight languages; noise: the chance of a false hit by language.
 
-    def __init__(self, languages: list[str], hashes: np.ndarray, masks: np.ndarray, slots: int = SLOTS):
+    numbers: the language of each n-gram of hashes, by its place in languages.
+    """
+
+    def __init__(self, languages: list[str], hashes: np.ndarray, numbers: np.ndarray, slots: int = SLOTS):
         self.languages = languages
-        self.slots = np.zeros(slots, np.uint8)
-        for at in self._at(hashes):
-            np.bitwise_or.at(self.slots, at, masks)
-        self.noise = np.array([((self.slots >> b) & 1).mean() ** PROBES for b in range(8)])
+        self.slices = np.zeros((max(1, -(-len(languages) // 8)), slots), np.uint8)
+        for k, own in enumerate(self.slices):
+            mine = numbers >> 3 == k
+            for at in self._at(hashes[mine]):
+                np.bitwise_or.at(own, at, (1 << (numbers[mine] & 7)).astype(np.uint8))
+        self.noise = np.array([((self.slices[b >> 3] >> (b & 7)) & 1).mean() ** PROBES for b in range(len(languages))])
 
     def _at(self, h: np.ndarray) -> list[np.ndarray]:
-        top = U64(len(self.slots) - 1)
+        top = U64(self.slices.shape[1] - 1)
         return [((h >> U64(32 * i)) & top).astype(np.int64) for i in range(PROBES)]
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Bits of the languages that contain each n-gram."""
+        """Bits of the languages that contain each n-gram: slices x n-grams."""
         a, b = self._at(h)
-        return self.slots[a] & self.slots[b]
+        return self.slices[:, a] & self.slices[:, b]
 
     def evidence(self, w: tv.Words) -> np.ndarray:
-        """Share of each word's n-grams in each language, less false hits, weaker for words with few n-grams: words x 8."""
-        out = np.zeros((len(w.row), 8))
+        """Share of each word's n-grams in each language, less false hits, weaker for words with few n-grams: words x languages."""
+        out = np.zeros((len(w.row), len(self.languages)))
         h, owner = ngrams(w)
         if not len(h):
             return out
         bits = self.lookup(h)
         n = np.bincount(owner, minlength=len(w.row)).astype(float)
         for b in range(len(self.languages)):
-            hits = np.bincount(owner, weights=(bits >> b) & 1, minlength=len(w.row))
+            hits = np.bincount(owner, weights=(bits[b >> 3] >> (b & 7)) & 1, minlength=len(w.row))
             out[:, b] = np.maximum(0, hits - self.noise[b] * n) / (1 - self.noise[b])
         return out / np.maximum(n, 6)[:, None]
 
@@ -98,12 +103,11 @@ def viterbi(score: np.ndarray, first: np.ndarray, k: int, switch: float = SWITCH
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     begin, length = first[:-1][order], length[order]
-    score = score[:, :k]
-    path = np.zeros(len(score), np.int8)
+    path = np.zeros(len(score), np.int16)
     if not len(score):
         return path
-    came = np.zeros((len(score), k), np.int8)
-    own = np.arange(k, dtype=np.int8)
+    came = np.zeros((len(score), k), np.int16)
+    own = np.arange(k, dtype=np.int16)
     value = np.zeros((len(order), k))
     steps = int(length[0])
     active = np.searchsorted(-length, -np.arange(steps), side="left")
@@ -114,7 +118,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, k: int, switch: float = SWITCH
         top = v.argmax(1)
         best = v[np.arange(a), top] - switch
         jump = v < best[:, None]
-        came[at] = np.where(jump, top[:, None].astype(np.int8), own) if t else own
+        came[at] = np.where(jump, top[:, None].astype(np.int16), own) if t else own
         value[:a] = np.maximum(v, best[:, None]) + score[at]
     state = value.argmax(1).astype(np.int64)
     for t in range(steps - 1, -1, -1):
@@ -125,8 +129,22 @@ def viterbi(score: np.ndarray, first: np.ndarray, k: int, switch: float = SWITCH
     return path
 
 
-def merge_short(runs: list[list[int]], score: np.ndarray, shortest: int = SHORTEST) -> list[list[int]]:
-    """Runs [language, first, end] of one text after the short ones joined a neighbour; score: running sums of evidence."""
+def merge_short(runs: list[list[int]], score: np.ndarray, shortest: int = SHORTEST, border: int = BORDER) -> list[list[int]]:
+    """Runs [language, first, end] of one text after the short ones joined a neighbour; score: running sums of evidence.
+
+    A run is long enough if it has `shortest` words together with up to `border` words on each side that fit it as well as their own run.
+    """
+    gain = lambda a, b, language: score[b, language] - score[a, language]
+
+    def length(i: int) -> int:
+        own, first, end = runs[i]
+        n = end - first
+        if i:
+            n += next((k for k in range(border) if first - k - 1 < runs[i - 1][1] or gain(first - k - 1, first - k, own) < gain(first - k - 1, first - k, runs[i - 1][0])), border)
+        if i + 1 < len(runs):
+            n += next((k for k in range(border) if end + k >= runs[i + 1][2] or gain(end + k, end + k + 1, own) < gain(end + k, end + k + 1, runs[i + 1][0])), border)
+        return n
+
     while True:
         i = 1
         while i < len(runs):
@@ -136,11 +154,12 @@ def merge_short(runs: list[list[int]], score: np.ndarray, shortest: int = SHORTE
                 i += 1
         if len(runs) == 1:
             return runs
-        i = min(range(len(runs)), key=lambda i: runs[i][2] - runs[i][1])
-        if runs[i][2] - runs[i][1] >= shortest:
+        short = [i for i in range(len(runs)) if runs[i][2] - runs[i][1] < shortest and length(i) < shortest]
+        if not short:
             return runs
+        i = min(short, key=lambda i: runs[i][2] - runs[i][1])
         near = [j for j in (i - 1, i + 1) if 0 <= j < len(runs)]
-        runs[i][0] = runs[max(near, key=lambda j: (score[runs[i][2], runs[j][0]] - score[runs[i][1], runs[j][0]], runs[j][2] - runs[j][1]))][0]
+        runs[i][0] = runs[max(near, key=lambda j: (gain(runs[i][1], runs[i][2], runs[j][0]), runs[j][2] - runs[j][1]))][0]
 
 
 def segments(texts: list[str], filters: LanguageFilters) -> list[tuple]:
@@ -153,7 +172,7 @@ def segments(texts: list[str], filters: LanguageFilters) -> list[tuple]:
     k = len(filters.languages)
     score = filters.evidence(w)
     path = viterbi(score, w.first, k)
-    total = np.vstack([np.zeros(8), np.cumsum(score, 0)])
+    total = np.vstack([np.zeros(k), np.cumsum(score, 0)])
     has = np.r_[0, np.cumsum(alpha)]
     change = np.flatnonzero((path[1:] != path[:-1]) & (w.row[1:] == w.row[:-1])) + 1
     several = set(w.row[change].tolist())
@@ -166,7 +185,7 @@ def segments(texts: list[str], filters: LanguageFilters) -> list[tuple]:
         else:
             runs = [[int(path[a]), a, b]]
         for n, (_, x, y) in enumerate(runs, 1):
-            sums = (total[y] - total[x])[:k]
+            sums = total[y] - total[x]
             top = int(sums.argmax())
             if sums[top] <= 0:
                 own = script[w.letters[w.start[x] : w.start[y - 1] + w.size[y - 1]]]
@@ -197,23 +216,24 @@ def _joined(rows: list[tuple]) -> list[tuple]:
 def learn(texts: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> LanguageFilters:
     """Filters from texts(id, lang_code, text), labels partly wrong.
 
-    About `sample` texts of each language, by a hash of id, are used; a text counts only if its words of common_words speak
+    About `sample` texts and SAMPLE_CHARS code points of each language, by a hash of id, are used; a text counts only if its words of common_words speak
     for its label more than for any other. Only n-gram counts of this bounded sample come to the driver.
     Null or empty texts and labels outside common_words are left out; without any usable text the filters are empty.
     """
     spark = texts.sparkSession
     common = [(r.lang_code, r.word) for r in common_words.select("lang_code", "word").distinct().collect() if r.lang_code and r.word]
     languages = sorted({c for c, _ in common})
-    if len(languages) > 8:
-        raise ValueError("the filters have room for eight languages")
-    known: dict[int, int] = {}
+    known: dict[int, set[int]] = {}
     for code, word in common:
         for h in tv.words([word]).hash.tolist():
-            known[h] = known.get(h, 0) | 1 << languages.index(code)
+            known.setdefault(h, set()).add(languages.index(code))
     keys = np.array(sorted(known), U64)
-    masks = np.array([known[k] for k in sorted(known)], np.uint8)
+    speaks = np.zeros((len(keys), len(languages)), bool)
+    for i, h in enumerate(keys.tolist()):
+        speaks[i, list(known[h])] = True
     texts = texts.filter(F.col("lang_code").isin(languages) & F.col("text").isNotNull())
-    share = {r.lang_code: min(1.0, sample / r.n) for r in texts.groupBy("lang_code").agg(F.count("*").alias("n")).collect()}
+    sizes = texts.groupBy("lang_code").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size")).collect()
+    share = {r.lang_code: min(1.0, sample / r.n, SAMPLE_CHARS / max(1, r.size)) for r in sizes}
     part = F.coalesce(*[F.when(F.col("lang_code") == c, F.lit(s)) for c, s in share.items()], F.lit(0.0)) if share else F.lit(0.0)
     chosen = texts.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)) < part).select("lang_code", "text")
 
@@ -225,8 +245,8 @@ def learn(texts: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> La
                 if not len(w.row):
                     continue
                 place = np.minimum(np.searchsorted(keys, w.hash), len(keys) - 1)
-                own = np.where(keys[place] == w.hash, masks[place], 0)
-                votes = np.stack([np.bincount(w.row, weights=(own >> b) & 1, minlength=len(part)) for b in range(len(languages))], 1)
+                own = speaks[place] & (keys[place] == w.hash)[:, None]
+                votes = np.stack([np.bincount(w.row, weights=own[:, b], minlength=len(part)) for b in range(len(languages))], 1)
                 label = np.array([languages.index(c) for c in codes[at : at + len(part)]])
                 mine = votes[np.arange(len(part)), label]
                 votes[np.arange(len(part)), label] = -1
@@ -238,10 +258,10 @@ def learn(texts: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> La
 
     counts = chosen.mapInPandas(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
-        return LanguageFilters(languages, np.zeros(0, U64), np.zeros(0, np.uint8))
+        return LanguageFilters(languages, np.zeros(0, U64), np.zeros(0, np.int64))
     counts["rate"] = counts.n / counts.groupby("lang").n.transform("sum")
     counts = counts[(counts.rate >= LEAST_RATE * counts.groupby("gram").rate.transform("max")) & (counts.n >= LEAST_COUNT)]
-    return LanguageFilters(languages, counts.gram.to_numpy().view(U64), (1 << counts.lang.to_numpy()).astype(np.uint8))
+    return LanguageFilters(languages, counts.gram.to_numpy().view(U64), counts.lang.to_numpy())
 
 
 SEGMENT = "seg_no int, n_segs int, lang_code string, confidence double, first_word int, n_words int"
