@@ -20,8 +20,8 @@ from . import textvec as tv
 U64 = np.uint64
 #: Consecutive words that make a leak.
 WINDOW = 10
-#: Bound of a shard of test texts, in code points: about 60 MB of hashes and words at most.
-SHARD_CHARS = 4_000_000
+#: Code points of a shard of test texts, about (some 60 MB of hashes and words), and shards that are broadcast together for one scan.
+SHARD_CHARS, SCAN_SHARDS = 4_000_000, 4
 
 
 class TestSet:
@@ -65,43 +65,57 @@ class TestSet:
         return [(r, t, a - int(w.first[r]), b - a, a - shift - int(np.searchsorted(self.row, t))) for (r, t, shift), line in spans.items() for a, b in line]
 
 
-def shards(tests: DataFrame, key: str, text: str) -> list[tuple[list[str], list[str]]]:
-    """The test set in parts of at most SHARD_CHARS code points, one after the other; null ids and empty texts are left out."""
-    ids, texts, size, out = [], [], 0, []
-    for r in tests.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct().toLocalIterator():
-        if ids and size + len(r.t) > SHARD_CHARS:
-            out.append((ids, texts))
-            ids, texts, size = [], [], 0
-        ids.append(r.k)
-        texts.append(r.t)
-        size += len(r.t)
-    return [*out, (ids, texts)] if ids else out
+def test_sets(tests: DataFrame, key: str, text: str, window: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The test set as broadcast lists of at most SCAN_SHARDS shards of about SHARD_CHARS code points, and whether there are several lists.
+
+    The driver holds one list at a time: of several, each is destroyed when the next one is asked for, so its scan must be cut before.
+    Null ids and empty texts are left out.
+    """
+    spark = tests.sparkSession
+    own = tests.filter(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
+    size = own.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    shards = -(-size // SHARD_CHARS)
+    own = own.withColumn("shard", F.pmod(F.xxhash64("k", "t"), F.lit(max(1, shards))))
+    own = cut(own) if shards > SCAN_SHARDS else own
+    for k in range(0, shards, SCAN_SHARDS):
+        rows = own.filter(F.col("shard").between(k, k + SCAN_SHARDS - 1)).orderBy("k", "t").toPandas()
+        shared = spark.sparkContext.broadcast([TestSet(g["k"].tolist(), g["t"].tolist(), window) for _, g in rows.groupby("shard")])
+        del rows
+        yield shared, shards > SCAN_SHARDS
+        if shards > SCAN_SHARDS:
+            shared.destroy()
 
 
 def leaks(texts: DataFrame, tests: DataFrame, key: str = "id", text: str = "training_text", test_key: str = "id", test_text: str = "training_text", window: int = WINDOW) -> DataFrame:
     """(key, test_id, first_word, n_words, test_first_word), a row per maximal stretch that a text shares with a test item.
 
     Null and empty texts and items share nothing; a repeated text gives repeated rows; an item that occurs under two ids gives
-    rows for both; an empty test set gives no rows.
+    rows for both; an empty test set gives no rows. A test set of more than SCAN_SHARDS shards is scanned for in several passes,
+    each of them checkpointed.
     """
     spark = texts.sparkSession
     schema = f"k {texts.schema[key].dataType.simpleString()}, test_id string, first_word int, n_words int, test_first_word int"
-    out = None
-    for ids, own in shards(tests, test_key, test_text):
-        shared = spark.sparkContext.broadcast(TestSet(ids, own, window))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names = ["k", "test_id", "first_word", "n_words", "test_first_word"]
-            for batch in batches:
-                keys = batch["k"].to_numpy()
-                for at, part in tv.chunks(batch["t"].tolist()):
-                    rows = [(keys[at + r], shared.value.ids[t], a, n, b) for r, t, a, n, b in shared.value.hits(tv.words(part))]
+    own = texts.filter(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    out = spark.createDataFrame([], schema)
+    for shared, several in test_sets(tests, test_key, test_text, window):
+        found_ = own.mapInPandas(_scanner(shared), schema)
+        out = out.unionByName(cut(found_)) if several else found_
+    return out.withColumnRenamed("k", key)
+
+
+def _scanner(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["k", "test_id", "first_word", "n_words", "test_first_word"]
+        for batch in batches:
+            keys = batch["k"].to_numpy()
+            for at, part in tv.chunks(batch["t"].tolist()):
+                w = tv.words(part)
+                for tests in shared.value:
+                    rows = [(keys[at + r], tests.ids[t], a, n, b) for r, t, a, n, b in tests.hits(w)]
                     if rows:
                         yield pd.DataFrame(rows, columns=names)
 
-        part = texts.filter(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    return (spark.createDataFrame([], schema) if out is None else out).withColumnRenamed("k", key)
+    return scan
 
 
 def without_leaked_texts(texts: DataFrame, leaks_: DataFrame, key: str = "id") -> DataFrame:
@@ -109,21 +123,18 @@ def without_leaked_texts(texts: DataFrame, leaks_: DataFrame, key: str = "id") -
     return texts.join(leaks_.select(key).distinct(), key, "left_anti").select(texts.columns)
 
 
-def leaked_letters(text: str, tests: TestSet) -> list[tuple[int, int]]:
-    """First letter and end of each stretch that a text shares with the test items."""
-    cp = tv.codes([text])
-    if len(cp) != len(text) + 1:  # letters that fold to several
-        grown = np.array([len(tv.codes([c])) - 1 for c in text])
-        origin = np.repeat(np.arange(len(text)), grown)
-    else:
-        origin = np.arange(len(text))
-    kind = tv.classes(cp)
-    keep = np.flatnonzero((kind == tv.LETTER) | (kind == tv.LOST))
-    w = tv.words([text])
-    out = []
-    for _, _, a, n, _ in tests.hits(w):
-        last = a + n - 1
-        out.append((int(origin[keep[w.start[a]]]), int(origin[keep[w.start[last] + w.size[last] - 1]]) + 1))
+def leaked_letters(texts: list[str], tests: list[TestSet]) -> list[list[tuple[int, int]]]:
+    """For each text the first letter and the end of each stretch that it shares with test items."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    w = tv.words(texts)
+    hits = [h for own in tests for h in own.hits(w)]
+    if hits:
+        origin = tv.origins(texts)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        for r, _, a, n, _ in hits:
+            first, last = w.first[r] + a, w.first[r] + a + n - 1
+            letters = origin[w.place[[w.start[first], w.start[last] + w.size[last] - 1]]] - begin[r]
+            out[r].append((int(letters[0]), int(letters[1]) + 1))
     return out
 
 
@@ -139,7 +150,8 @@ def without(text: str, spans: list) -> str:
 def _finder(shared: Broadcast, kind: str) -> Callable[[Column], Column]:
     @F.pandas_udf(kind)
     def find(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: [{"a": a, "b": b} for a, b in leaked_letters(t, shared.value)] if t else [])
+        found = [own for _, part in tv.chunks(column.tolist()) for own in leaked_letters(part, shared.value)]
+        return pd.Series([[{"a": a, "b": b} for a, b in own] for own in found])
 
     return find
 
@@ -147,21 +159,20 @@ def _finder(shared: Broadcast, kind: str) -> Callable[[Column], Column]:
 def without_leaked_spans(texts: DataFrame, tests: DataFrame, text: str = "training_text", test_key: str = "id", test_text: str = "training_text", window: int = WINDOW) -> DataFrame:
     """The texts with leaked stretches removed in place, all columns and rows; null and empty texts stay as they are.
 
-    Shards of the test set are looked for one after the other, each in a stage of its own, so that one is held at a time.
+    The stretches come from the scan of leaks; a test set of more than SCAN_SHARDS shards takes several passes, each checkpointed.
     """
     span = "array<struct<a:int,b:int>>"
     own = texts.withColumn("_leaked", F.array().cast(span))
-    all_ = shards(tests, test_key, test_text)
-    for ids, items in all_:
-        find = _finder(texts.sparkSession.sparkContext.broadcast(TestSet(ids, items, window)), span)
-        own = own.withColumn("_leaked", F.concat("_leaked", find(F.col(text))))
-        own = cut(own) if len(all_) > 1 else own
+    for shared, several in test_sets(tests, test_key, test_text, window):
+        own = own.withColumn("_leaked", F.concat("_leaked", _finder(shared, span)(F.col(text))))
+        own = cut(own) if several else own
 
     @F.pandas_udf("string")
     def remove(column: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without(t, [(s["a"], s["b"]) for s in own]) if t and len(own) else t for t, own in zip(column, spans, strict=True)])
 
-    return own.withColumn(text, remove(F.col(text), F.col("_leaked"))).drop("_leaked")
+    clean = F.when(F.size("_leaked") > 0, remove(F.col(text), F.col("_leaked"))).otherwise(F.col(text))
+    return own.withColumn(text, clean).drop("_leaked")
 
 
 def found(leaks_: DataFrame) -> DataFrame:
