@@ -1,25 +1,29 @@
 """Evaluation records that recur, exactly or almost, in the training texts.
 
 A case and a text overlap where the longest common sequence of their words is at least four fifths of the word number of
-the longer one.  Short passages of the cases - three words in a row, and two pairs around one word - are looked up in all
-texts: a bit table of all passages sorts out most words of a text at once, the rest meet their passages in shards by hash.
-The matched places of a case and a text are merged into a coverage, pairs with too little of it for their lengths are
-dropped, and the longest common sequence decides.
+the longer one.  Short passages of the cases - three words in a row, and two pairs around one word - are the patterns of
+Aho-Corasick automata over words, one for each shard of the cases, whose size is bounded.  Several shards are broadcast together
+and scan all texts once, in the failure-free form of the automaton: every word of a text starts a walk of its own, which ends where
+the trie has no way on, so the walks of a whole batch go in step.  The matched intervals of a case and a text are merged into a
+coverage of the case, pairs with too little of it for their lengths are dropped, and the longest common sequence decides - all
+within the task that reads the text, so that nothing but the overlaps is shuffled.
 
 No pair is lost.  Let N be the longer of the word numbers n (case) and m (text), L >= 0.8 N the common sequence, lying in
 b + 1 runs of words that are neighbours in both.  T = L - 2 (b + 1) + o triples stay whole, o being the number of runs of
 one word.  Of the breaks, g consist of one extra word of the case alone; all but 2 o of them stand between two whole pairs
 of words, which the text has together.  The n - L and m - L words outside L make the breaks: b <= m - L + (n - L + g) / 2.
-So T plus half of those places is at least L - 2 (m - L) - 1.5 (n - L) - 2 >= 3.6 N - 2 m - 1.5 n - 2.  For texts of up to
-SHORT words, where that may be nothing, pairs of neighbours are looked up as well: at least 2.4 N - n - m - 1 stay whole.
+So T plus half of those places is at least L - 2 (m - L) - 1.5 (n - L) - 2 >= 3.6 N - 2 m - 1.5 n - 2.  A merged interval of k
+words counts as k - 2 triples, which is never less than the triples in it.  For texts of up to SHORT words, where the bound may be
+nothing, pairs of neighbours are patterns as well: at least 2.4 N - n - m - 1 of them stay whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,84 +33,165 @@ from . import textvec as tv
 U64 = np.uint64
 #: Share of the longer word number that the common sequence has at least, as a fraction of integers.
 PART, WHOLE = 4, 5
-#: Bits of the broadcast table of passages: fixed, whatever the number of cases.
-TABLE_BITS = 27
 #: Word number up to which texts are also compared by pairs of neighbours.
 SHORT = 31
-ANCHOR = "h long, t long, at int, n int, kind int"
-
-
-def passages(w: tv.Words, case: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, first word, hash) of the passages of a case, or of the stretches of a text that can match one.
-
-    Kind 0: three words; 1: two pairs around one word of the case; 2: two words, and 3: one word, of short texts.
-    """
-    with np.errstate(over="ignore"):
-        at, h = tv.windows(w, 3)
-        yield 0, at, h
-        if case:
-            n = max(0, len(w.row) - 4)
-            at = np.flatnonzero((w.row[:n] == w.row[4:]) & w.ok[:n] & w.ok[1 : n + 1] & w.ok[3 : n + 3] & w.ok[4 : n + 4])
-            h = np.zeros(len(at), U64)
-            for k in (0, 1, 3, 4):
-                h = h * tv.P_WORD + w.hash[at + k]
-            yield 1, at, tv.mix(h)
-        else:
-            yield 1, *tv.windows(w, 4)
-        count = np.diff(w.first)
-        for kind, k, most in ((2, 2, SHORT), (3, 1, 1)):
-            at, h = tv.windows(w, k)
-            short = count[w.row[at]] <= most
-            yield kind, at[short], h[short]
-
-
-def anchors(texts: DataFrame, text: str, case: bool, table: np.ndarray | None = None) -> DataFrame:
-    """Passages of each text: hash, text (hash of its string), place, number of words, kind. table: bits of those that matter."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        for batch in batches:
-            batch = batch.drop_duplicates("t")
-            keys = batch["t"].to_numpy()
-            for first, part in tv.chunks(batch["x"].tolist()):
-                w = tv.words(part)
-                count = np.diff(w.first)
-                for kind, at, h in passages(w, case):
-                    h = h + U64(kind)
-                    if bits is not None:
-                        slot = h >> U64(64 - TABLE_BITS)
-                        use = (bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 > 0
-                        at, h = at[use], h[use]
-                    if len(at):
-                        row = w.row[at]
-                        yield pd.DataFrame({"h": h.view(np.int64), "t": keys[first + row], "at": (at - w.first[row]).astype(np.int32), "n": count[row].astype(np.int32), "kind": np.int32(kind)})
-
-    return texts.filter(F.length(text) > 0).select(F.xxhash64(text).alias("t"), F.col(text).alias("x")).mapInPandas(run, ANCHOR)
-
-
-def bit_table(anchors_: DataFrame) -> np.ndarray:
-    """The bit of each passage hash, merged over all partitions: 2 ** TABLE_BITS bits on the driver, however many passages."""
-    size = 1 << TABLE_BITS - 3
-    part = 1 << 16
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(size, np.uint8)
-        for batch in batches:
-            slot = batch["h"].to_numpy().view(U64) >> U64(64 - TABLE_BITS)
-            np.bitwise_or.at(bits, (slot >> U64(3)).astype(np.int64), (U64(1) << (slot & U64(7))).astype(np.uint8))
-        for k in range(0, size, part):
-            if bits[k : k + part].any():
-                yield pd.DataFrame({"k": [k], "bits": [bits[k : k + part].tobytes()]})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": group["k"].iloc[:1], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in group["bits"]]).tobytes()]})
-
-    table = np.zeros(size, np.uint8)
-    rows = anchors_.select("h").coalesce(16).mapInPandas(run, "k long, bits binary").groupBy("k").applyInPandas(merge, "k long, bits binary")
-    for r in rows.toLocalIterator():
-        table[r.k : r.k + part] = np.frombuffer(r.bits, np.uint8)
-    return table
+#: Code points of the cases of a shard, about (some 60 MB of automaton), and shards that are broadcast together for one scan.
+SHARD_CHARS, SCAN_SHARDS = 6_000_000, 4
+#: Patterns by kind: places of their words in the case, and the words that the text has in a row.
+TRIPLE, AROUND, PAIR, SINGLE = (0, 1, 2), (0, 1, 3, 4), (0, 1), (0,)
+FOUND = "c long, t long, case_words int, text_words int, common int"
+
+
+class Index:
+    """Numbers of 64-bit keys, by open addressing; the keys of a level of the trie."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        bits = max(4, int(len(self.keys) * 2).bit_length())
+        self.shift, self.last = U64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(self.keys), dtype=np.int32), self._slot(self.keys)
+        while len(left):
+            free = np.flatnonzero(self.table[slot] < 0)
+            self.table[slot[free]] = left[free]  # of several for one slot the last stays
+            out = self.table[slot] != left
+            left, slot = left[out], (slot[out] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key, -1 for those that are not there."""
+        out = np.full(len(keys), -1, np.int64)
+        at, slot = np.arange(len(keys)), self._slot(keys)
+        while len(at):
+            got = self.table[slot]
+            hit = (got >= 0) & (self.keys[got] == keys[at])
+            out[at[hit]] = got[hit]
+            on = (got >= 0) & ~hit
+            at, slot = at[on], (slot[on] + 1) & self.last
+        return out
+
+
+class Automaton:
+    """The trie of the passages of a shard of cases, level by level, with the cases and places of each passage."""
+
+    def __init__(self, c: np.ndarray, texts: list[str]):
+        parts = [tv.words(part) for _, part in tv.chunks(texts)]
+        self.c = c
+        self.n = np.concatenate([np.diff(w.first) for w in parts]) if parts else np.zeros(0, np.int64)
+        self.first = np.r_[0, np.cumsum(self.n)]
+        self.hash = np.concatenate([np.where(w.ok, w.hash, U64(0)) for w in parts]) if parts else np.zeros(0, U64)
+        case = np.repeat(np.arange(len(self.n)), self.n)
+        self.words = Index(self.hash[self.hash > 0])
+        symbol = np.where(self.hash > 0, self.words.find(self.hash), -1)
+        starts = {p: self._starts(p, case, symbol) for p in (TRIPLE, AROUND, PAIR, SINGLE)}
+        near = [at for p, at in starts.items() if p != SINGLE]
+        pairs = np.unique(np.concatenate(near))
+        self.levels = [Index(self._key(symbol[pairs], symbol[pairs + 1]))]
+        node = np.full(len(symbol) + 1, -1, np.int64)
+        node[pairs] = self.levels[0].find(self._key(symbol[pairs], symbol[pairs + 1]))
+        t, a = starts[TRIPLE], starts[AROUND]
+        third = np.r_[self._key(node[t], symbol[t + 2]), self._key(node[a], symbol[a + 3])]
+        self.levels.append(Index(third))
+        third = self.levels[1].find(third)
+        fourth = self._key(third[len(t) :], symbol[a + 4])
+        self.levels.append(Index(fourth))
+        # passages by the node where they end: its cases and places in a row
+        self.ends = {
+            TRIPLE: self._ends(third[: len(t)], len(self.levels[1].keys), t),
+            AROUND: self._ends(self.levels[2].find(fourth), len(self.levels[2].keys), a),
+            PAIR: self._ends(node[starts[PAIR]], len(self.levels[0].keys), starts[PAIR]),
+            SINGLE: self._ends(symbol[starts[SINGLE]], len(self.words.keys), starts[SINGLE]),
+        }
+        self.case = case.astype(np.int32)
+
+    @staticmethod
+    def _key(node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return node.astype(U64) << U64(32) | symbol.astype(U64)
+
+    def _starts(self, places: tuple[int, ...], case: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where a passage of this kind begins in the cases: all its words whole, none of another case."""
+        n = max(0, len(case) - places[-1])
+        good = case[:n] == case[places[-1] : places[-1] + n]
+        for k in places:
+            good = good & (symbol[k : k + n] >= 0)
+        most = {PAIR: SHORT * WHOLE // PART, SINGLE: 1}.get(places)
+        return np.flatnonzero(good if most is None else good & (self.n[case[:n]] <= most))
+
+    @staticmethod
+    def _ends(node: np.ndarray, nodes: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds by node, and the words of the cases where its passages begin."""
+        order = np.argsort(node, kind="stable")
+        return np.searchsorted(node[order], np.arange(nodes + 1)).astype(np.int32), at[order].astype(np.int32)
+
+    def walk(self, w: tv.Words) -> dict[tuple[int, ...], tuple[np.ndarray, np.ndarray]]:
+        """For each kind of passage the words of the texts where a walk begins that reaches its level, and the node there."""
+        symbol = np.where(w.ok, self.words.find(w.hash), -1)
+        at = np.flatnonzero(symbol >= 0)
+        node, reached = symbol[at], []
+        for depth, level in enumerate(self.levels, 1):
+            on = at + depth < len(symbol)
+            at, node = at[on], node[on]
+            on = (symbol[at + depth] >= 0) & (w.row[at + depth] == w.row[at])
+            at, node = at[on], node[on]
+            node = level.find(self._key(node, symbol[at + depth]))
+            at, node = at[node >= 0], node[node >= 0]
+            reached.append((at, node))
+        one = np.flatnonzero(symbol >= 0)
+        return {PAIR: reached[0], TRIPLE: reached[1], AROUND: reached[2], SINGLE: (one, symbol[one])}
+
+    def hits(self, w: tv.Words) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, text, case, place in the case) of the passages that stand in the texts at a place that an overlap allows."""
+        m = np.diff(w.first)
+        for kind, (at, node) in self.walk(w).items():
+            most = {PAIR: SHORT, SINGLE: 1}.get(kind)
+            if most is not None:
+                short = m[w.row[at]] <= most
+                at, node = at[short], node[short]
+            bound, begin = self.ends[kind]
+            count = bound[node + 1] - bound[node]
+            place = np.repeat(bound[node] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            begin = begin[place].astype(np.int64)
+            text, case = np.repeat(w.row[at], count), self.case[begin].astype(np.int64)
+            p, q = begin - self.first[case], np.repeat(at - w.first[w.row[at]], count)
+            n, size = self.n[case], m[text]
+            longest = np.maximum(n, size)
+            near = (PART * longest <= WHOLE * np.minimum(n, size)) & (WHOLE * (p - q) <= WHOLE * n - PART * longest) & (WHOLE * (q - p) <= WHOLE * size - PART * longest)
+            yield kind, text[near], case[near], p[near]
+
+    def likely(self, w: tv.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(text, case) of the pairs whose merged intervals cover enough of the case for their word numbers."""
+        m = np.diff(w.first)
+        keys, halves, shorts = [], [], []
+        for kind, text, case, p in self.hits(w):
+            # one number for each text, case and place
+            place = np.unique((text * len(self.n) + case) << 20 | p)
+            pair, p = place >> 20, place & ((1 << 20) - 1)
+            same = np.r_[False, pair[1:] == pair[:-1]]
+            step = np.diff(p, prepend=0)
+            merged = np.where(same & (step < len(TRIPLE)), step, 1) if kind == TRIPLE else np.ones(len(p), np.int64)
+            keys.append(pair)
+            halves.append({TRIPLE: 2 * merged, AROUND: merged}.get(kind, 0 * merged))
+            shorts.append(merged if kind in (PAIR, SINGLE) else 0 * merged)
+        pair, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        half, short = np.bincount(inverse, np.concatenate(halves), len(pair)), np.bincount(inverse, np.concatenate(shorts), len(pair))
+        text, case = pair // max(1, len(self.n)), pair % max(1, len(self.n))
+        n, size = self.n[case], m[text]
+        longest = np.maximum(n, size)
+        whole = (half > 0) & (10 * half >= 72 * longest - 40 * size - 30 * n - 40)
+        brief = (short > 0) & (10 * short >= 24 * longest - 10 * n - 10 * size - 10)
+        return text[whole | brief], case[whole | brief]
+
+    def overlaps(self, w: tv.Words) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, case, words of the case, of the text, of their longest common sequence) of all overlaps with the texts."""
+        h = np.where(w.ok, w.hash, U64(0))
+        for text, case in zip(*(x.tolist() for x in self.likely(w)), strict=True):
+            a, b = self.hash[self.first[case] : self.first[case + 1]], h[w.first[text] : w.first[text + 1]]
+            common = common_length(a, b)
+            if common and WHOLE * common >= PART * max(len(a), len(b)):
+                yield text, case, len(a), len(b), common
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -125,64 +210,47 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def compare(pairs: DataFrame) -> DataFrame:
-    """(c, t, case_words, text_words, common) of pairs of strings x and y, only where they overlap."""
+def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
+    """Pairs of strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common; once each.
+
+    Equal cases are one; null and empty strings, and strings without an undamaged word, overlap with nothing. The driver holds
+    SCAN_SHARDS shards of cases at a time, the workers as many automata, however many cases there are.
+    """
+    spark = texts.sparkSession
+    own = texts.filter(F.length(text) > 0).select(F.xxhash64(text).alias("t"), F.col(text).alias("y"))
+    asked = cases.filter(F.length(case_text) > 0).select(F.xxhash64(case_text).alias("c"), F.col(case_text).alias("x")).dropDuplicates(["c"])
+    size = asked.agg(F.sum(F.length("x").cast("long"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_CHARS))
+    asked = asked.withColumn("shard", F.pmod("c", F.lit(shards)))
+    asked = cut(asked) if shards > SCAN_SHARDS else asked
+    out = None
+    for k in range(0, shards, SCAN_SHARDS):
+        rows = asked.filter(F.col("shard").between(k, k + SCAN_SHARDS - 1)).toPandas()
+        automata = [Automaton(g["c"].to_numpy(), g["x"].tolist()) for _, g in rows.groupby("shard")]
+        shared = spark.sparkContext.broadcast(automata)
+        part = own.mapInPandas(_scan(shared), FOUND)
+        if shards > SCAN_SHARDS:
+            part = cut(part)
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+def _scan(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Overlaps of the texts of a batch with the cases of all automata."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            xs, ys = [], []
-            for column, out in (("x", xs), ("y", ys)):
-                codes, own = pd.factorize(batch[column])
-                seqs = []
-                for _, part in tv.chunks(list(own)):
-                    w = tv.words(part)
-                    h = np.where(w.ok, w.hash, U64(0))
-                    seqs += [h[w.first[k] : w.first[k + 1]] for k in range(len(part))]
-                out += [seqs[c] for c in codes]
-            n = np.array([len(a) for a in xs], np.int32)
-            m = np.array([len(b) for b in ys], np.int32)
-            common = np.array([common_length(a, b) for a, b in zip(xs, ys, strict=True)], np.int32)
-            good = (WHOLE * common >= PART * np.maximum(n, m)) & (common > 0)
-            yield pd.DataFrame({"c": batch["c"], "t": batch["t"], "case_words": n, "text_words": m, "common": common})[good]
-
-    return pairs.select("c", "t", "x", "y").mapInPandas(run, "c long, t long, case_words int, text_words int, common int")
-
-
-def _met(texts: DataFrame, cases: DataFrame) -> DataFrame:
-    """(c, t) of the pairs of a case's and a text's string that share enough passages for their word numbers."""
-    ours = anchors(cases, "x", True)
-    theirs = anchors(texts, "y", False, bit_table(ours))
-    # place, words and kind in one number: rows of three longs are what is shuffled
-    small = F.shiftleft(F.col("at").cast("long"), 34).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 2)).bitwiseOR(F.col("kind").cast("long"))
-    ours = ours.select("h", F.col("t").alias("c"), small.alias("p")).repartition("h").distinct()
-    theirs = theirs.select("h", "t", small.alias("q")).repartition("h").distinct()
-    words = lambda c: F.shiftright(c, 2).bitwiseAND(F.lit((1 << 32) - 1))
-    n, m, ahead = words("p"), words("q"), F.shiftright("p", 34) - F.shiftright("q", 34)
-    most = F.greatest(n, m)
-    near = (PART * most <= WHOLE * F.least(n, m)) & (WHOLE * ahead <= WHOLE * n - PART * most) & (-WHOLE * ahead <= WHOLE * m - PART * most)
-    kind = F.col("p").bitwiseAND(F.lit(3))
-    pairs = theirs.join(ours, "h").filter(near).select("c", "t", F.shiftleft(n, 32).bitwiseOR(m).alias("nm"), kind.alias("kind"))
-    # matched places merged into a coverage of each case by each text, in half places
-    half, short = F.sum(F.when(F.col("kind") == 0, 2).when(F.col("kind") == 1, 1).otherwise(0)), F.sum(F.when(F.col("kind") >= 2, 1).otherwise(0))
-    covered = pairs.groupBy("c", "t", "nm").agg(half.alias("half"), short.alias("short"))
-    n, m = F.shiftright("nm", 32), F.col("nm").bitwiseAND(F.lit((1 << 32) - 1))
-    most = F.greatest(n, m)
-    whole = (F.col("half") > 0) & (10 * F.col("half") >= 72 * most - 40 * m - 30 * n - 40)
-    brief = (F.col("short") > 0) & (10 * F.col("short") >= 24 * most - 10 * n - 10 * m - 10)
-    return covered.filter(whole | brief).select("c", "t")
-
-
-def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
-    """Pairs of strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common.
+            batch = batch.drop_duplicates("t")
+            keys = batch["t"].to_numpy()
+            for first, part in tv.chunks(batch["y"].tolist()):
+                w = tv.words(part)
+                for a in shared.value:
+                    rows = [(a.c[case], keys[first + text], n, m, common) for text, case, n, m, common in a.overlaps(w)]
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["c", "t", "case_words", "text_words", "common"])
 
-    Copies of a string are compared once. Null and empty strings, and strings without an undamaged word, overlap with nothing.
-    """
-    texts = texts.filter(F.length(text) > 0).select(F.col(text).alias("y"))
-    cases = cases.filter(F.length(case_text) > 0).select(F.col(case_text).alias("x"))
-    likely = cut(_met(texts, cases))
-    own_cases = cases.select(F.xxhash64("x").alias("c"), "x").join(likely.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
-    own_texts = texts.select(F.xxhash64("y").alias("t"), "y").join(likely.select("t").distinct(), "t", "left_semi").dropDuplicates(["t"])
-    return compare(likely.join(own_cases, "c").join(own_texts, "t"))
+    return run
 
 
 def members(overlaps_: DataFrame, texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:

@@ -19,7 +19,10 @@ def words(text):
 
 
 def test_words():
-    assert words("Σι[γ]η κα-\nὶ πρ̣ὸς .... ὡς... τῷ <gap/> λόγον.") == [("σιγη", True), ("και", True), ("προσ", True), ("....", False), ("ωσ...", False), ("τω", True), ("<", False), ("λογον", True)] or words("<gap/>")[0][1] is False
+    got = words("Σι[γ]η κα-\nὶ πρ̣ὸς .... ὡς... τῷ <gap/> λόγον.")
+    assert [w for w, ok in got if ok] == ["σιγη", "και", "προσ", "τω", "λογον"]
+    assert [ok for _, ok in got] == [True, True, True, False, False, True, False, True]
+    assert words("a\U000e0041b x\ufe0fy \U0002f800")[:2] == [("ab", True), ("xy", True)]
     assert [w for w, _ in words("Straße vac. кαταφέρωv ὕδατóυ ﬁn ｆｏ")] == ["strasse", "καταφερων", "υδατου", "fin", "fo"]
     assert words("[....] κ[..] x") [0][1] is False
     assert [ok for _, ok in words("[....] κ[..] x")] == [False, False, True]
@@ -63,6 +66,13 @@ REWRITER = consistent.Rewriter()
         ("ΩΩ", "ΩΩ"),
         ("[ὕ]δωρ (vac.) λόγ(ος) TON ϲῆμα l’été", "[ὕ]δωρ (vac.) λόγ(ος) TON ϲῆμα l’été"),
         ("", ""),
+        ("a\U000e0041b\U000e0100", "ab"),
+        ("x\ufe0fy\u180bz", "xyz"),
+        ("\u1112\u1161\u11ab \u1100\u1161", "\ud55c \uac00"),
+        ("\U0002f800", "\u4e3d"),
+        ("ոo Ꭺbc ꓮbc", "no Abc Abc"),
+        ("ԱՕ ᎠᎡ", "ԱՕ ᎠᎡ"),
+        ("a\u2800b", "a b"),
     ],
 )
 def test_rewrite(old, new):
@@ -126,14 +136,46 @@ def test_languages(spark):
 def test_bloom_filter_is_corrected():
     rng = np.random.default_rng(0)
     known = rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    f = language.LanguageFilters(["a", "b"], known, np.full(5000, 1, np.uint8), slots=1 << 14)
-    assert (f.lookup(known) & 1).all()
+    f = language.LanguageFilters(list("abcdefghijk"), known, np.where(np.arange(5000) < 2500, 0, 9), slots=1 << 14)
+    assert (f.lookup(known[:2500])[0] & 1).all()
+    assert (f.lookup(known[2500:])[1] & 2).all()
     other = rng.integers(0, 2**63, 20000, dtype=np.uint64)
-    assert (f.lookup(other) & 1).mean() == pytest.approx(f.noise[0], rel=0.1)
-    assert not (f.lookup(other) & 2).any()
-
-
-def test_leaks(spark):
+    assert (f.lookup(other)[0] & 1).mean() == pytest.approx(f.noise[0], rel=0.1)
+    assert not (f.lookup(other)[0] & 2).any()
+    assert [b for b in range(11) if f.noise[b]] == [0, 9]
+
+
+def test_more_languages_than_a_byte_has_bits(spark):
+    letters = "abcdefghijklmnop"
+    alphabet = {f"l{i:02d}": letters[i : i + 5] for i in range(11)}
+    rng = random.Random(8)
+    word = lambda lang: "".join(rng.choice(alphabet[lang]) for _ in range(6)) + lang[1:].translate(str.maketrans("0123456789", "qrstuvwxyz"))
+    common = {lang: [word(lang) for _ in range(5)] for lang in alphabet}
+    text = lambda lang, n: " ".join(rng.choice(common[lang]) if k % 3 == 0 else word(lang) for k in range(n))
+    rows = [(f"{lang}{i}", lang, text(lang, 40)) for lang in alphabet for i in range(12)] + [("odd", "l00", text("l10", 40))]
+    ab = spark.createDataFrame(rows, "id string, language string, training_text string")
+    codes = spark.createDataFrame([(lang, lang) for lang in alphabet], "label string, lang_code string")
+    words_ = spark.createDataFrame([(lang, w) for lang, own in common.items() for w in own], "lang_code string, word string")
+    assert [tuple(r) for r in language.found(language.blocks(ab, codes, words_)).collect()] == [("odd", 1, "l10")]
+
+
+def test_short_segments_join_their_neighbours():
+    def score(path):
+        one = np.zeros((len(path), 2))
+        one[np.arange(len(path)), path] = 1
+        return np.vstack([np.zeros(2), one.cumsum(0)])
+
+    path = np.r_[np.zeros(15, int), np.ones(9, int), np.zeros(15, int)]
+    runs = lambda: [[0, 0, 15], [1, 15, 24], [0, 24, 39]]
+    assert language.merge_short(runs(), score(path)) == [[0, 0, 39]]
+    unclear = score(path)
+    unclear[15:] += np.array([0, 1])  # the word before the stretch fits both languages
+    assert language.merge_short(runs(), unclear) == runs()
+    ten = np.r_[np.zeros(15, int), np.ones(10, int)]
+    assert language.merge_short([[0, 0, 15], [1, 15, 25]], score(ten)) == [[0, 0, 15], [1, 15, 25]]
+
+
+def test_leaks(spark, monkeypatch):
     item = "τὸν λόγον ἀπέδωκεν ὁ γραμματεὺς τῷ στρατηγῷ ἐν τῇ κώμῃ καὶ ἐσφράγισεν αὐτόν"
     caps = "ΤΟΝ ΛΟΓΟΝ ΑΠΕΔΩΚΕΝ Ο ΓΡΑΜΜΑΤΕΥΣ ΤΩ ΣΤΡΑΤΗ-\nΓΩ, [ΕΝ] ΤΗ ΚΩ(ΜΗ) ΚΑΙ ἄλλα"
     nine = "τὸν λόγον ἀπέδωκεν ὁ γραμματεὺς τῷ στρατηγῷ ἐν τῇ ἄλλα"
@@ -151,6 +193,22 @@ def test_leaks(spark):
     assert clean["nine"] == nine
     assert {r.id for r in contamination.without_leaked_texts(texts, contamination.leaks(texts, tests)).collect()} == {"nine", "broken", "null", "empty", None}
     assert contamination.leaks(texts, tests.limit(0)).collect() == []
+    whole = sorted(map(str, contamination.leaks(texts, tests).collect()))
+    monkeypatch.setattr(contamination, "SHARD_CHARS", 40)
+    monkeypatch.setattr(contamination, "SCAN_SHARDS", 2)
+    assert sorted(map(str, contamination.leaks(texts, tests).collect())) == whole
+    assert {r.id: r.training_text for r in contamination.without_leaked_spans(texts, tests).collect()} == clean
+
+
+def test_leaked_letters_by_brute_force():
+    item = "τὸν λόγον ἀπέδωκεν ὁ γραμματεὺς τῷ ﬁn ß½ στρατηγῷ ἐν τῇ κώμῃ"
+    tests = [contamination.TestSet(["t"], [item])]
+    texts = ["", "ß ½ ﬁ\x1e", f"½ ß {item} ﬁ ἄλλα", item, f"x\n{item}. y {item}"]
+    spans = contamination.leaked_letters(texts, tests)
+    assert spans[:2] == [[], []]
+    assert [texts[2][a:b] for a, b in spans[2]] == [item]
+    assert spans[3] == [(0, len(item))]
+    assert [texts[4][a:b] for a, b in sorted(spans[4])] == [item, item]
 
 
 def lcs(a, b):
@@ -168,7 +226,7 @@ def test_common_length(a, b):
     assert overlap.common_length(np.array(a, np.uint64), np.array(b, np.uint64)) == lcs(a, b)
 
 
-def test_overlaps_against_brute_force(spark):
+def test_overlaps_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     vocabulary = [f"{a}{b}{c}" for a in "klmnp" for b in "aeiou" for c in "rst"]
     cases, texts = [], []
@@ -201,5 +259,8 @@ def test_overlaps_against_brute_force(spark):
     assert len(want) > 60
     assert got == want
     assert overlap.counts(own).first().n_pairs == len(want)
+    monkeypatch.setattr(overlap, "SHARD_CHARS", 1500)
+    monkeypatch.setattr(overlap, "SCAN_SHARDS", 2)
+    assert {tuple(r) for r in overlap.found(overlap.members(overlap.overlaps(ab, dev), ab, dev)).collect()} == want
     assert overlap.overlaps(ab.limit(0), dev).collect() == []
     assert overlap.overlaps(ab, dev.limit(0)).collect() == []
