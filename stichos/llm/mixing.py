@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of a source's random order whose totals reach the driver.
 BUCKETS = 4096
-#: Tokens of an output shard and of a block, about; bounds of their numbers.
+#: Tokens of an output shard and of a block, about; of mixtures that would have more of them than the other two numbers, shards and
+#: blocks are larger, so that the plan stays as small. Rows are texts' keys and sizes, so a large shard is sorted, not held.
 SHARD_TOKENS, BLOCK_TOKENS, MOST_SHARDS, MOST_BLOCKS = 1_000_000, 50_000, 20_000, 400_000
 
 

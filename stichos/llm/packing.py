@@ -24,8 +24,9 @@ from .tokens import VOCABULARY, Counter, Merges
 DIMENSIONS, BITS = 4, 8
 #: Neighbours that are placed together, and containers that may stay open behind them.
 RUN, OPEN = 2048, 1024
-#: Tokens that a range of the curve holds about; ranges are packed apart from each other.
-RANGE_TOKENS = 8_000_000
+#: Tokens that a range of the curve holds about; ranges are packed apart from each other, in one sweep, so larger ranges of data that
+#: would have more than MOST_RANGES take more time, not memory.
+RANGE_TOKENS, MOST_RANGES = 8_000_000, 100_000
 
 
 def points(w: tv.Words, n: int) -> np.ndarray:
@@ -129,7 +130,7 @@ def packed(sized_: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFram
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("pack"), F.lit(n).alias("pack_name"), F.lit(c).cast("long").alias("capacity")) for i, (n, c) in enumerate(options)])).alias("o")
     items = sized_.select(F.col(key).alias("k"), "n_tokens", "place", each).select("k", "n_tokens", "place", "o.*")
     total = sized_.agg(F.sum("n_tokens")).first()[0] or 0
-    ranges = max(1, min(100_000, round(total * len(options) / RANGE_TOKENS)))
+    ranges = max(1, min(MOST_RANGES, round(total * len(options) / RANGE_TOKENS)))
     ordered = items.repartitionByRange(ranges, "pack", "place", "k").sortWithinPartitions("pack", "place", "k")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,17 +1,13 @@
 """Statistics of each text, and which texts are no natural prose.
 
-Lines are looked at one by one - separators, bullets, labels, page numbers, symbols, garbled and repeated stretches - and
-runs of the other lines by their share of common words; all of it becomes statistics of the text.  Rules over them label
-prose and junk weakly; gradient-boosted trees are fitted to a bounded sample of these labels, and their scores become
-probabilities by a logistic curve fitted to a holdout that was labelled by hand.
+Statistics of characters, lines and words are taken for a whole Arrow batch at a time, over flat arrays.  Gradient-boosted trees
+learn from them which texts are lists, tables or junk: on a bounded sample of weakly labelled texts, whose labels come from other
+evidence (quality_rules), and on half of a holdout that was labelled by reading.  The other half turns scores into probabilities.
 """
 
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from importlib import resources
@@ -22,197 +18,154 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .lookalikes import LIMIT
+from .quality_rules import Plain, listed_share, weak_label
 
-#: Texts whose weak labels the trees are fitted to, about.
-SAMPLE = 20_000
-#: Below so many sampled texts, half of the holdout helps to fit the trees.
-FEW = 500
-#: Statistics of a text, in the order of the trees' inputs. Shares without a name for their base are of the characters.
-FEATURES = (
-    "n_words", "n_lines", "mean_word_length", "words_per_line", "letter_share", "digit_share", "symbol_share", "line_end_share", "common_share", "unique_share",
-    "cell_share", "label_share", "bullet_share", "page_share", "number_share", "garbled_share", "encoding_share", "spaced_share", "long_share", "repeated_share", "rare_share", "listed_share",
-)
-
-CELLS = re.compile(r"\|.*\||\t|\S {3,}\S|^ {3,}\S+ {3,}|(?:\S|^);(?=\S|;|$).*;(?=\S|;|$)|(?:\S|^),(?=[^\s,]|,).*,(?=[^\s,]|,|$)")
-LABEL = re.compile(r"^\s*\w[^:;.!?]{0,60}:(?: [^:]{0,60})?$")
-BULLET = re.compile(r"\s*(?:[•–—*‣◦▪●○·+>#-]|[\[(]?(?:\d{1,4}|[ivxlIVXL]{1,6}|[a-zA-Zα-ω])[\].)]|[\[(]\d{1,4}[\])]|§\s?\d+[.)]?|(?:no|nr|n)\.\s?\d+)\s+\S", re.IGNORECASE)
-PAGES = re.compile(r"[^\W\d_].*?[\s.]\d+f{0,2}\.?(?:, ?\d+f{0,2}\.?)*\s*$")
-MISREAD = re.compile("[\\u00c2-\\u00f4][\\u0080-\\u00bf]+")
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-#: Signs of editions, which stand in words without spoiling them.
-EDITION = re.compile("[][{}()<>⟦⟧⟨⟩\u0323]")
-LETTER_NOISE = re.compile(r"[^\W_]*(?:[^\W\d_][\d!^|~*$%&#@\\=+_\"`][^\W_]*|[\d!^|~*$%&#@\\=+_\"`]+[^\W\d_])[^\W_]*")
-
-
-#: Lines without any of these characters need no search for cells of a table, numbers, noise or wrong encodings.
-UNUSUAL = re.compile(r"[\d|\t~^*@#$%&\\\\=+!_\"`\u0080-\u00bf]|   ")
-NUMBER = re.compile(r"(?<!\S)[^\w\s]*\d[\d.,/:-]*f{0,2}[^\w\s]*(?!\S)")
-SIGNS = re.compile(r"(?<!\S)[^\w\s.…·,;:!?’'-]{1}[^\w\s]{2,}(?!\S)")
-LONG = re.compile(r"\S{41,}")
-SINGLE = re.compile(r"(?<!\S)\S[.·,]?(?!\S)")
-#: Letters in an order that no writing has: a capital or a final sigma within a word.
-SOUP = re.compile(r"[a-zà-ÿα-ωά-ώἀ-ᾷ][A-ZΑ-Ω]|ς[^\W\d_]")
+#: Texts that are weakly labelled for the trees, about.
+SAMPLE = 10_000
 #: Words of a stretch in which running language has more than one common word.
 WINDOW = 24
-#: Words that a worker remembers in plain form at most.
-MEMORY = 300_000
-
-
-class Plain(dict):
-    """Words in lower case without accents, remembered."""
-
-    def __missing__(self, word: str) -> str:
-        if len(self) > MEMORY:
-            self.clear()
-        new = word.lower()
-        if not new.isascii():
-            new = "".join(c for c in unicodedata.normalize("NFD", new) if not unicodedata.combining(c)).replace("ς", "σ")
-        self[word] = new
-        return new
-
-
-def line_kinds(line: str, bare: str, n: float, ws: list[str], lines: int, labels: dict[str, int], copies: int) -> set[str]:
-    """What speaks against running language in a line; bare: it without signs of the edition, n: its characters without spaces, ws: its words."""
-    kinds = set()
-    if BULLET.match(line):
-        kinds.add("bullet")
-    if ";" in line or "," in line or "|" in line or "\t" in line or "   " in line:
-        if CELLS.search(line):
-            kinds.add("cell")
-    if ":" in line and len(ws) <= 9 and LABEL.match(line):
-        k = labels.get(line.split(":")[0], 0)
-        if k > 1 or lines > 3 and len(labels) > lines / 3:
-            kinds.add("label")
-    if copies > 2 and lines > 3:
-        kinds.add("repeated")
-    if n > 40 and sum(map(len, LONG.findall(line))) > 0.5 * n:
-        kinds.add("long")
-    if n >= 8 and (2 * len(ws) > n or "." in line and 3 * len(ws) > n) and len(SINGLE.findall(line)) > 0.6 * len(line.split()):
-        kinds.add("spaced")
-    if not UNUSUAL.search(line):
-        return kinds
-    tokens = line.count(" ") + 1
-    numbers = len(NUMBER.findall(line))
-    if numbers:
-        if lines > 2 and len(ws) <= 12 and PAGES.search(line):
-            kinds.add("page")
-        if numbers >= max(2, 0.3 * tokens):
-            kinds.add("number")
-    if sum(map(len, LETTER_NOISE.findall(bare))) + sum(map(len, SIGNS.findall(bare))) > 0.3 * n:
-        kinds.add("garbled")
-    if sum(map(len, MISREAD.findall(line))) > 0.3 * n:
-        kinds.add("encoding")
-    return kinds
-
-
-def unlike(ws: list[str], lines: int, marked: bool, common: set[str]) -> tuple[float, float]:
-    """Share of a run of words without the common words of running language, and 1 if it is a repetition of few words, else 0."""
-    if not ws:
-        return 1.0, 0.0
-    distinct = len(set(ws))
-    if len(ws) >= 20 and distinct < 40 and distinct < (0.25 if len(ws) <= 300 else 0.12) * len(ws):
-        return 1.0, 1.0
-    if len(ws) > 40 and len(set(zip(ws, ws[1:], ws[2:], strict=False))) < 0.4 * (len(ws) - 2):
-        return 1.0, 1.0
-    hits = [w in common for w in ws]
-    total = sum(hits)
-    if len(ws) < 12 and lines <= 2:
-        return float(marked and not total), 0.0
-    if total < (0.1 if len(ws) >= 30 else 0.06) * len(ws):
-        return 1.0, 0.0
-    if len(ws) < WINDOW:
-        return 0.0, 0.0
-    bad = WINDOW * sum(sum(hits[i : i + WINDOW]) <= 1 for i in range(0, len(ws) - WINDOW + 1, WINDOW))
-    rest = len(ws) % WINDOW  # judged by the last window, which ends with the run
-    return (bad + rest * (sum(hits[-WINDOW:]) <= 1)) / len(ws), 0.0
-
-
-KINDS = ("cell", "label", "bullet", "page", "number", "garbled", "encoding", "spaced", "long", "repeated", "rare", "listed")
-
-
-def statistics(text: str, common: set[str], plain: Plain, counts: tuple[int, int, int, int]) -> list[float]:
-    """The FEATURES of a text with at least one visible character.
-
-    common: frequent words, plain; counts: visible characters, letters, digits and combining marks of the text.
-    """
-    if "<" in text:
-        text = text.replace("<gap/>", " … ").replace("<UNK>", " … ")
-    lines = [x for x in text.split("\n") if x and not x.isspace()]
-    share = dict.fromkeys(KINDS, 0.0)
-    copies = Counter(lines) if len(lines) > 3 else {}
-    labels = Counter(x.split(":")[0] for x in lines if ":" in x) if ":" in text else {}
-    every: list[str] = []
-    runs: list[tuple[float, int, list[str]]] = []
-    soup = None
-    loose = marked = False
-    ends = 0
-    size = 0.0
-    edited = EDITION.search(text) is not None
-    for line in lines:
-        n = float(len(line) - line.count(" "))
-        size += n
-        bare = EDITION.sub("", line) if edited else line
-        ws = [plain[w] for w in WORD.findall(bare)]
-        every += ws
-        ends += line.rstrip()[-1:] in ".;:!?·,…)]»”"
-        kinds = line_kinds(line, bare, n, ws, len(lines), labels, copies.get(line, 1))
-        if kinds:
-            for k in kinds:
-                share[k] += n
-            share["listed"] += n
-            loose, marked = False, True
-        elif loose:
-            own = runs[-1]
-            runs[-1] = (own[0] + n, own[1] + 1, own[2] + ws)
-        else:
-            runs.append((n, 1, ws))
-            loose = True
-    for n, k, ws in runs:
-        bad, repeated = unlike(ws, k, marked, common)
-        if soup is None:
-            soup = len(SOUP.findall(text)) > 0.05 * len(every)
-        if soup and len(ws) >= 5:
-            bad = 1.0
-        share["repeated"] += n * repeated
-        share["rare"] += n * max(bad, repeated)
-        share["listed"] += n * max(bad, repeated)
-    visible, letters, digits, marks = counts
-    n_words = len(every)
-    return [
-        float(n_words), float(len(lines)), sum(map(len, every)) / n_words if n_words else 0.0, n_words / max(1, len(lines)), letters / visible, digits / visible, (visible - letters - digits - marks) / visible,
-        ends / max(1, len(lines)), sum(w in common for w in every) / n_words if n_words else 0.0, len(set(every)) / n_words if n_words else 0.0,
-        *(min(1.0, share[k] / (size or 1)) for k in KINDS),
-    ]
-
+#: Statistics of a text, in the order of the trees' inputs. Shares of lines are weighed by visible characters.
+FEATURES = (
+    *("n_words", "n_lines", "mean_word_length", "words_per_line", "letter_share", "digit_share", "symbol_share", "capital_share", "line_end_share", "common_share", "unique_share"),
+    *("bar_lines", "gap_lines", "separator_lines", "opener_lines", "number_lines", "colon_lines", "bare_lines", "repeated_lines", "single_share", "long_share", "inner_capital_share"),
+    *("noise_share", "misread_share", "comma_rate", "stop_rate", "slash_rate", "semicolon_rate", "repeated_triples", "dull_share", "longest_dull", "line_words_spread"),
+)
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """Visible, letter, digit, mark: a bit each for every code point."""
-    out = np.zeros(LIMIT, np.uint8)
-    for cp in range(LIMIT):
-        c = chr(cp)
-        out[cp] = (not c.isspace()) | c.isalpha() << 1 | c.isdigit() << 2 | (unicodedata.combining(c) > 0) << 3
-    return out
+VISIBLE, LETTER, DIGIT, MARK, UPPER, LOWER, ODD, END = (1 << k for k in range(8))
+#: Signs that stand in no word of any writing, and signs that end a line of prose.
+ODD_SIGNS, END_SIGNS = "^~|\\<>=+*$%&@_#{}!\"`", ".;:!?·,…)]»”"
 
 
-def statistics_of(texts: list[str], common: set[str], plain: Plain) -> list[list[float]]:
-    """The FEATURES of each of the texts."""
-    out: list[list[float]] = []
-    for _, part in tv.chunks(texts):
-        cp = np.minimum(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32), LIMIT - 1)
-        size = np.array([len(t) for t in part])
-        bits = _letters()[cp]
-        total = np.stack([np.r_[0, np.cumsum(bits >> k & 1, dtype=np.int64)] for k in range(4)], 1)
-        end = np.cumsum(size)
-        counts = (total[end] - total[end - size]).tolist()
-        out += [statistics(t, common, plain, tuple(c)) for t, c in zip(part, counts, strict=True)]
+@lru_cache(maxsize=1)
+def _bits() -> np.ndarray:
+    """Classes of each code point as bits."""
+    out = np.zeros(tv.LIMIT, np.uint8)
+    out[~tv.of_category("Z", "C")] |= VISIBLE
+    for bit, names in ((LETTER, ("L",)), (DIGIT, ("Nd",)), (MARK, ("M",)), (UPPER, ("Lu",)), (LOWER, ("Ll",))):
+        out[tv.of_category(*names)] |= bit
+    out[[ord(c) for c in ODD_SIGNS]] |= ODD
+    out[[ord(c) for c in END_SIGNS]] |= END
     return out
 
 
-def weak_label(x: np.ndarray) -> np.ndarray:
-    """1 where more than half of a text is listed or junk by the rules of statistics, 0 elsewhere; x: rows of FEATURES."""
-    return (x[:, FEATURES.index("listed_share")] > 0.5).astype(float)
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values between consecutive bounds."""
+    total = np.r_[0, np.cumsum(values, dtype=np.int64)]
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return part / np.maximum(whole, 1)
+
+
+def statistics_of(texts: list[str], common: np.ndarray) -> np.ndarray:
+    """The FEATURES of each text, a row each; common: sorted word hashes."""
+    parts = [_statistics(part, common) for _, part in tv.chunks(texts)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
+def _statistics(texts: list[str], common: np.ndarray) -> np.ndarray:
+    split = [[x for x in t.replace("<gap/>", " … ").replace("<UNK>", " … ").split("\n") if x and not x.isspace()] or [""] for t in texts]
+    n_lines = np.array([len(x) for x in split])
+    bound = np.r_[0, np.cumsum(n_lines)]
+    lines = [x for own in split for x in own]
+    of_text = lambda values: _sums(values, bound)
+    # characters by line: each line is followed by its end
+    cp = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter((len(x) + 1 for x in lines), np.int64, len(lines))
+    edge = np.r_[0, np.cumsum(size)]
+    bits = _bits()[cp]
+    count = lambda mask: _sums(mask, edge)
+    visible, letters, digits = (count((bits & b) > 0) for b in (VISIBLE, LETTER, DIGIT))
+    before, after = np.r_[np.uint8(0), bits[:-1]], np.r_[bits[1:], np.uint8(0)]
+    seen = np.flatnonzero(bits & VISIBLE)
+    place = np.searchsorted(seen, edge)
+    full = place[1:] > place[:-1]
+    first, last = (np.where(full, cp[seen[np.clip(at, 0, len(seen) - 1)]] if len(seen) else 0, 0) for at in (place[:-1], place[1:] - 1))
+    first_bits, last_bits = _bits()[first], _bits()[last]
+    bars, tabs, semis, commas, colons, slashes = (count(cp == ord(c)) for c in "|\t;,:/")
+    wide = cp == 32
+    gaps = count(wide & np.r_[wide[1:], False] & np.r_[wide[2:], False, False][: len(cp)])
+    tight = count(((cp == ord(",")) | (cp == ord(";"))) & ((after & VISIBLE) > 0))
+    # tokens between white space
+    inside = (bits & VISIBLE) > 0
+    begins = np.flatnonzero(inside & ((before & VISIBLE) == 0))
+    ends = np.flatnonzero(inside & ((after & VISIBLE) == 0)) + 1
+    n_tokens = np.searchsorted(begins, edge)
+    n_tokens = n_tokens[1:] - n_tokens[:-1]
+    token_letters = _sums((bits & LETTER) > 0, np.c_[begins, ends].ravel())[::2] if len(begins) else np.zeros(0, np.int64)
+    token_digits = _sums((bits & DIGIT) > 0, np.c_[begins, ends].ravel())[::2] if len(begins) else np.zeros(0, np.int64)
+    token_size = ends - begins
+    line_of = np.searchsorted(edge, begins, "right") - 1
+    by_line = lambda mask, weight=None: np.bincount(line_of[mask], None if weight is None else weight[mask], minlength=len(lines))
+    numbers = by_line((token_digits > 0) & (token_letters <= 1))
+    single = by_line((token_letters == 1) & (token_size <= 2) & (token_digits == 0))
+    long_ = by_line(token_size > 40, token_size)
+    joined = ((bits & LETTER) > 0) & (((before & (ODD | DIGIT)) > 0) | ((after & (ODD | DIGIT)) > 0))
+    noise = count(joined | ((bits & ODD) > 0))
+    inner = count(((bits & UPPER) > 0) & ((before & LOWER) > 0))
+    misread = count((cp >= 0xC2) & (cp <= 0xF4) & (np.r_[cp[1:], 0] >= 0x80) & (np.r_[cp[1:], 0] <= 0xBF))
+    # words by line
+    w = tv.words(lines)
+    words_in = np.bincount(w.row, minlength=len(lines))
+    at = np.minimum(np.searchsorted(common, w.hash), max(0, len(common) - 1))
+    hit = (common[at] == w.hash) if len(common) else np.zeros(len(w.hash), bool)
+    hits_in = np.bincount(w.row, hit, minlength=len(lines))
+    text_of = np.repeat(np.arange(len(texts)), n_lines)
+    word_text = text_of[w.row] if len(w.row) else np.zeros(0, np.int64)
+    n_words = np.bincount(word_text, minlength=len(texts))
+    weight = visible.astype(float)
+    total = np.maximum(np.bincount(text_of, weight, minlength=len(texts)), 1)
+    part = lambda mask: np.bincount(text_of, weight * mask, minlength=len(texts)) / total
+    chars = lambda values: _share(of_text(values), total)
+    rate = lambda values: _share(of_text(values), n_words)
+    with np.errstate(over="ignore"):
+        own = (word_text.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        distinct = _distinct(own + w.hash, word_text, len(texts))
+        t_at = np.flatnonzero(word_text[2:] == word_text[:-2]) if len(word_text) > 2 else np.zeros(0, np.int64)
+        triple = tv.mix((w.hash[t_at] * tv.P_WORD + w.hash[t_at + 1]) * tv.P_WORD + w.hash[t_at + 2]) + own[t_at] if len(t_at) else np.zeros(0, np.uint64)
+        line_hash = tv.mix(np.add.reduceat((cp.astype(np.uint64) + np.uint64(7)) * tv._powers(int(tv.P_CHAR), 1 << int(size.max()).bit_length())[np.arange(len(cp)) - np.repeat(edge[:-1], size)], edge[:-1]))
+        line_key = line_hash + (text_of.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    n_triples = np.bincount(word_text[t_at], minlength=len(texts))
+    triples = _distinct(triple, word_text[t_at], len(texts))
+    _, inverse, copies = np.unique(line_key, return_inverse=True, return_counts=True)
+    dull, longest = _dull(hit, word_text, n_words, len(texts))
+    spread = np.sqrt(np.maximum(0, _share(of_text(words_in**2), n_lines) - _share(of_text(words_in), n_lines) ** 2))
+    symbols = visible - letters - digits - count((bits & MARK) > 0)
+    columns = (
+        n_words, n_lines, _share(of_text(count(((bits & LETTER) > 0))), n_words), _share(n_words, n_lines), chars(letters), chars(digits), chars(symbols), _share(of_text(count((bits & UPPER) > 0)), of_text(letters)),
+        _share(of_text((last_bits & END) > 0), n_lines), rate(hits_in), _share(distinct, n_words),
+        part(bars >= 2), part((gaps > 0) | (tabs > 0)), part(tight >= 2), part(full & ((first_bits & LETTER) == 0) & (first != ord("[")) & (first != ord("("))), part(numbers >= np.maximum(1, 0.25 * n_tokens)),
+        part((colons > 0) & (words_in <= 9)), part((hits_in == 0) & (words_in > 0)), part(copies[inverse] > 2), _share(of_text(single), of_text(n_tokens)), chars(long_), _share(of_text(inner), of_text(letters)),
+        chars(noise), chars(misread), rate(commas), rate(count((cp == ord(".")) | (cp == ord("·")))), rate(slashes), rate(semis), 1 - _share(triples, n_triples) * (n_triples > 0) - (n_triples == 0), dull, longest, spread,
+    )
+    return np.stack([np.asarray(c, float) for c in columns], 1)
+
+
+def _distinct(keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Number of different keys of each text."""
+    at = np.unique(keys, return_index=True)[1]
+    return np.bincount(text[at], minlength=n)
+
+
+def _dull(hit: np.ndarray, text: np.ndarray, n_words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Share of the windows of WINDOW words with at most one common word, all words being one window in shorter texts; and the share of
+    the words in the longest stretch without any."""
+    total = np.r_[0, np.cumsum(hit)]
+    at = np.flatnonzero(text[WINDOW - 1 :] == text[: len(text) - WINDOW + 1]) if len(text) >= WINDOW else np.zeros(0, np.int64)
+    few = total[at + WINDOW] - total[at] <= 1
+    dull = np.bincount(text[at], few, minlength=n) / np.maximum(np.bincount(text[at], minlength=n), 1)
+    hits = np.bincount(text, hit, minlength=n)
+    dull = np.where(n_words >= WINDOW, dull, (hits * WINDOW <= n_words) & (n_words > 0))
+    # hits of each text between the word before its first and the word after its last
+    end, hits_at = np.cumsum(n_words), np.flatnonzero(hit)
+    owner = np.r_[np.arange(n), text[hits_at], np.arange(n)]
+    stop = np.r_[end - n_words - 1, hits_at, end]
+    order = np.lexsort((stop, owner))
+    owner, stop = owner[order], stop[order]
+    longest = np.zeros(n)
+    np.maximum.at(longest, owner[1:], np.where(owner[1:] == owner[:-1], np.diff(stop) - 1, 0))
+    return dull, np.minimum(1.0, longest / np.maximum(n_words, 1))
 
 
 class Trees:
@@ -276,10 +229,10 @@ class Trees:
         return out
 
 
-def holdout() -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of the texts that were labelled by hand."""
+def holdout(common: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+    """Statistics, labels and rows (doc_id, label, text) of the texts that were labelled by reading them."""
     rows = json.loads(resources.files(__package__).joinpath("quality_holdout.json").read_text("utf-8"))
-    return np.array([r[1:] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r[0] for r in rows], float)
+    return statistics_of([r["text"] for r in rows], common), np.array([r["label"] for r in rows], float), rows
 
 
 def calibrated(score: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple[float, float]:
@@ -298,43 +251,50 @@ def calibrated(score: np.ndarray, label: np.ndarray, rounds: int = 200) -> tuple
     return a, b
 
 
-def common_set(common_words: DataFrame) -> set[str]:
+def common_hashes(common_words: DataFrame) -> tuple[np.ndarray, set[str]]:
+    """Sorted hashes and plain forms of the common words of all languages, a fixed small table."""
+    words = sorted({r.word for r in common_words.filter("word is not null").select("word").distinct().collect()})
     plain = Plain()
-    return {plain[r.word] for r in common_words.filter("word is not null").select("word").distinct().collect()}
+    return np.unique(tv.words(words).hash) if words else np.zeros(0, np.uint64), {plain[w] for w in words}
+
 
+def described(texts: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """key, the FEATURES and weak_label of each text with a visible character; null, empty and blank texts have no row.
 
-def described(texts: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the FEATURES of each text with a visible character; null, empty and blank texts have no row."""
-    shared = texts.sparkSession.sparkContext.broadcast(common_set(common_words))
+    weak_label is 1 (junk), 0 (prose) or null; only about `sample` texts, chosen by a hash of the key, are labelled at all.
+    """
+    own = texts.filter(F.col(text).rlike(r"(?U)[^\s]")).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    shared = texts.sparkSession.sparkContext.broadcast(common_hashes(common_words))
+    part = min(1.0, sample / max(1, texts.count()))
+    own = own.withColumn("s", F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < part * (1 << 20))
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, common = shared.value
         plain = Plain()
         for batch in batches:
-            out = pd.DataFrame(statistics_of(batch["t"].tolist(), shared.value, plain), columns=list(FEATURES))
+            own = batch["t"].tolist()
+            out = pd.DataFrame(statistics_of(own, hashes), columns=list(FEATURES))
             out.insert(0, "k", batch["k"].to_numpy())
+            out["weak_label"] = pd.array([weak_label(listed_share(t, common, plain)) if s else None for t, s in zip(own, batch["s"], strict=True)], "Int32")
             yield out
 
-    own = texts.filter(F.col(text).rlike(r"(?U)[^\s]")).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return own.mapInPandas(run, f"k {kind}, " + ", ".join(f"{f} double" for f in FEATURES)).withColumnRenamed("k", key)
+    return own.mapInPandas(run, f"k {kind}, " + ", ".join(f"{f} double" for f in FEATURES) + ", weak_label int").withColumnRenamed("k", key)
 
 
-def fitted(described_: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> tuple[Trees, float, float]:
-    """Trees on about `sample` weakly labelled texts, chosen by a hash of the key, and their calibration on the holdout."""
-    n = described_.count()
-    part = min(1.0, sample / max(1, n))
-    rows = described_.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < part * (1 << 20)).select(*FEATURES).toPandas()
-    x = rows.to_numpy(float).reshape(len(rows), len(FEATURES))
-    hx, hy = holdout()
-    if len(x) < FEW:  # half of the holdout stands in for texts to learn from
-        x, hx, hy = np.vstack([x, hx[::2]]), hx[1::2], hy[1::2]
-    order = np.lexsort(x.T)
-    trees = Trees().fit(x[order], weak_label(x[order]))
-    return trees, *calibrated(trees.score(hx), hy)
+def fitted(described_: DataFrame, common_words: DataFrame) -> tuple[Trees, float, float]:
+    """Trees on the weakly labelled texts and the first half of the holdout, and their calibration on the second half."""
+    rows = described_.filter("weak_label is not null").select(*FEATURES, "weak_label").toPandas()
+    x, y = rows[list(FEATURES)].to_numpy(float), rows["weak_label"].to_numpy(float)
+    hx, hy, _ = holdout(common_hashes(common_words)[0])
+    x, y = np.vstack([x, hx[::2]]), np.r_[y, hy[::2]]
+    order = np.lexsort((y, *x.T))
+    trees = Trees().fit(x[order], y[order])
+    return trees, *calibrated(trees.score(hx[1::2]), hy[1::2])
 
 
-def judged(described_: DataFrame, model: tuple[Trees, float, float], key: str = "doc_id") -> DataFrame:
-    """described_ with junk_probability and is_prose added."""
+def judged(described_: DataFrame, model: tuple[Trees, float, float]) -> DataFrame:
+    """described_ without the weak labels, with junk_probability and is_prose."""
     shared = described_.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -342,7 +302,7 @@ def judged(described_: DataFrame, model: tuple[Trees, float, float], key: str =
         trees, a, b = shared.value
         return pd.Series(1 / (1 + np.exp(-(a * trees.score(np.stack([c.to_numpy(float) for c in columns], 1)) + b))))
 
-    return described_.withColumn("junk_probability", probability(*FEATURES)).withColumn("is_prose", F.col("junk_probability") <= 0.5)
+    return described_.drop("weak_label").withColumn("junk_probability", probability(*FEATURES)).withColumn("is_prose", F.col("junk_probability") <= 0.5)
 
 
 def found(judged_: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -93,8 +93,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
-    described = cut(quality.described(text_table(spark, d, "documents"), table(spark, d, "common_words")))
-    return quality.judged(described, quality.fitted(described))
+    common_words = table(spark, d, "common_words")
+    described = cut(quality.described(text_table(spark, d, "documents"), common_words))
+    return quality.judged(described, quality.fitted(described, common_words))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,10 +112,15 @@ QUERIES = {
 
 
 def _key(name: str) -> str:
-    """SQL of a file's series, volume and number, as splits.file_key reads them."""
+    """SQL of a file's series, volume and number, whatever the writing."""
     parts = f"list_filter(string_split_regex(regexp_replace(lower(trim({name})), '\\.xml$', ''), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-    romans = "[" + ", ".join(f"'{splits.roman(i)}'" for i in range(1, splits.ROMANS + 1)) + "]"
-    volume = f"CASE WHEN regexp_full_match(p[-2], '\\d+') THEN p[-2]::BIGINT ELSE list_position({romans}, p[-2]) END"
+    # Roman numbers by their letters: a pair whose first letter is smaller counts once less than twice the first
+    signs = {"m": 1000, "d": 500, "c": 100, "l": 50, "x": 10, "v": 5, "i": 1}
+    pairs = {"cm": 200, "cd": 200, "xc": 20, "xl": 20, "ix": 2, "iv": 2}
+    count = lambda sign: f"(length(p[-2]) - length(replace(p[-2], '{sign}', ''))) / {len(sign)}"
+    roman = " + ".join(f"{v} * ({count(s)})" for s, v in signs.items()) + "".join(f" - {v} * ({count(s)})" for s, v in pairs.items())
+    shape = "m*(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})"
+    volume = f"CASE WHEN regexp_full_match(p[-2], '\\d+') THEN p[-2]::BIGINT WHEN p[-2] <> '' AND regexp_full_match(p[-2], '{shape}') THEN ({roman})::BIGINT END"
     number = "regexp_extract(p[-1], '^0*(\\d+)', 1) || regexp_extract(p[-1], '\\p{L}*$')"
     shaped = f"len(p) >= 3 AND regexp_full_match(p[-1], '\\d+\\p{{L}}*') AND ({volume}) > 0"
     plain = f"regexp_replace(lower(trim({name})), '\\.xml$', '')"

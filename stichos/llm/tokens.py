@@ -25,7 +25,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces that a worker remembers at most.
 CACHE = 400_000
-#: Bytes of a piece that is merged by itself.
+#: Bytes beyond which a piece is merged by itself: a round over the array costs as much as its longest piece has merges. Both ways
+#: apply the merges in the same order and give the same symbols.
 LONG = 256
 NONE = np.int64(1) << 40
 
