@@ -2,8 +2,8 @@
 
 A case and a text overlap where the longest common sequence of their words is at least four fifths of the word number of
 the longer one.  Short passages of the cases - three words in a row, and two pairs around one word - are the patterns of
-Aho-Corasick automata over words, one for each shard of the cases, whose size is bounded.  Several shards are broadcast together
-and scan all texts once, in the failure-free form of the automaton: every word of a text starts a walk of its own, which ends where
+Aho-Corasick automata over words, one for each shard of the cases, whose size is bounded.  Tasks build them; several are broadcast
+together and scan all texts once, in the failure-free form of the automaton: every word of a text starts a walk of its own, which ends where
 the trie has no way on, so the walks of a whole batch go in step.  The matched intervals of a case and a text are merged into a
 coverage of the case, pairs with too little of it for their lengths are dropped, and the longest common sequence decides - all
 within the task that reads the text, so that nothing but the overlaps is shuffled.
@@ -19,7 +19,9 @@ nothing, pairs of neighbours are patterns as well: at least 2.4 N - n - m - 1 of
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,8 +37,8 @@ U64 = np.uint64
 PART, WHOLE = 4, 5
 #: Word number up to which texts are also compared by pairs of neighbours.
 SHORT = 31
-#: Code points of the cases of a shard, about (some 60 MB of automaton), and shards that are broadcast together for one scan.
-SHARD_CHARS, SCAN_SHARDS = 6_000_000, 4
+#: Code points of the cases of a shard, about (some 35 MB of automaton), and shards that are broadcast together for one scan.
+SHARD_CHARS, SCAN_SHARDS = 3_000_000, 8
 #: Patterns by kind: places of their words in the case, and the words that the text has in a row.
 TRIPLE, AROUND, PAIR, SINGLE = (0, 1, 2), (0, 1, 3, 4), (0, 1), (0,)
 FOUND = "c long, t long, case_words int, text_words int, common int"
@@ -213,39 +215,65 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
 def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
     """Pairs of strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common; once each.
 
-    Equal cases are one; null and empty strings, and strings without an undamaged word, overlap with nothing. The driver holds
-    SCAN_SHARDS shards of cases at a time, the workers as many automata, however many cases there are.
+    Equal cases are one; null and empty strings, and strings without an undamaged word, overlap with nothing. The driver passes on
+    one automaton at a time, the workers hold SCAN_SHARDS of them, however many cases there are.
     """
-    spark = texts.sparkSession
+    sc = texts.sparkSession.sparkContext
     own = texts.filter(F.length(text) > 0).select(F.xxhash64(text).alias("t"), F.col(text).alias("y"))
     asked = cases.filter(F.length(case_text) > 0).select(F.xxhash64(case_text).alias("c"), F.col(case_text).alias("x")).dropDuplicates(["c"])
     size = asked.agg(F.sum(F.length("x").cast("long"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_CHARS))
-    asked = asked.withColumn("shard", F.pmod("c", F.lit(shards)))
-    asked = cut(asked) if shards > SCAN_SHARDS else asked
-    out = None
+    built = cut(asked.withColumn("shard", F.pmod("c", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, "shard int, automaton binary"))
+    found_ = []
     for k in range(0, shards, SCAN_SHARDS):
-        rows = asked.filter(F.col("shard").between(k, k + SCAN_SHARDS - 1)).toPandas()
-        automata = [Automaton(g["c"].to_numpy(), g["x"].tolist()) for _, g in rows.groupby("shard")]
-        shared = spark.sparkContext.broadcast(automata)
+        shared = []
+        for i in range(k, min(k + SCAN_SHARDS, shards)):
+            row = built.filter(F.col("shard") == i).first()
+            shared += [sc.broadcast(row.automaton)] if row else []
         part = own.mapInPandas(_scan(shared), FOUND)
         if shards > SCAN_SHARDS:
             part = cut(part)
-            shared.destroy()
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+            for b in shared:
+                b.destroy()
+        found_.append(part)
+    return reduce(DataFrame.unionByName, found_).distinct()
 
 
-def _scan(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _build(rows: pd.DataFrame) -> pd.DataFrame:
+    """The automaton of a shard of cases."""
+    own = rows.sort_values("c")
+    return pd.DataFrame({"shard": rows["shard"].iloc[:1].to_numpy(), "automaton": [packed(Automaton(own["c"].to_numpy(), own["x"].tolist()))]})
+
+
+def packed(value: object) -> bytes:
+    """A pickle whose arrays lie behind it, so that unpacked() need not copy them."""
+    arrays: list[pickle.PickleBuffer] = []
+    parts = [pickle.dumps(value, protocol=5, buffer_callback=arrays.append)]
+    parts += [a.raw() for a in arrays]
+    sizes = np.array([len(parts), *map(len, parts)], np.int64)
+    return b"".join((sizes.tobytes(), *(bytes(p) + bytes(-len(p) % 8) for p in parts)))
+
+
+def unpacked(data: bytes) -> object:
+    view = memoryview(data)
+    n = int(np.frombuffer(view[:8], np.int64)[0])
+    sizes = np.frombuffer(view[8 : 8 * (n + 1)], np.int64)
+    begin = 8 * (n + 1) + np.r_[0, np.cumsum((sizes + 7) // 8 * 8)]
+    parts = [view[a : a + size] for a, size in zip(begin.tolist(), sizes.tolist(), strict=False)]
+    return pickle.loads(parts[0], buffers=parts[1:])
+
+
+def _scan(shared: list[Broadcast]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Overlaps of the texts of a batch with the cases of all automata."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automata = [unpacked(b.value) for b in shared]
         for batch in batches:
             batch = batch.drop_duplicates("t")
             keys = batch["t"].to_numpy()
             for first, part in tv.chunks(batch["y"].tolist()):
                 w = tv.words(part)
-                for a in shared.value:
+                for a in automata:
                     rows = [(a.c[case], keys[first + text], n, m, common) for text, case, n, m, common in a.overlaps(w)]
                     if rows:
                         yield pd.DataFrame(rows, columns=["c", "t", "case_words", "text_words", "common"])
