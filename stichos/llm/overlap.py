@@ -2,8 +2,8 @@
 
 A case and a text overlap where the longest common sequence of their words is at least four fifths of the word number of
 the longer one.  Short passages of the cases - three words in a row, and two pairs around one word - are the patterns of
-Aho-Corasick automata over words, one for each shard of the cases, whose size is bounded.  Tasks build them; several are broadcast
-together and scan all texts once, in the failure-free form of the automaton: every word of a text starts a walk of its own, which ends where
+Aho-Corasick automata over words, one for each shard of the cases, whose size is bounded.  Several shards are broadcast together,
+each worker builds their automata once, and all texts are scanned once, in the failure-free form of the automaton: every word of a text starts a walk of its own, which ends where
 the trie has no way on, so the walks of a whole batch go in step.  The matched intervals of a case and a text are merged into a
 coverage of the case, pairs with too little of it for their lengths are dropped, and the longest common sequence decides - all
 within the task that reads the text, so that nothing but the overlaps is shuffled.
@@ -19,7 +19,6 @@ nothing, pairs of neighbours are patterns as well: at least 2.4 N - n - m - 1 of
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -48,7 +47,7 @@ class Index:
     """Numbers of 64-bit keys, by open addressing; the keys of a level of the trie."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
+        self.keys = tv.different(keys)
         bits = max(4, int(len(self.keys) * 2).bit_length())
         self.shift, self.last = U64(64 - bits), (1 << bits) - 1
         self.table = np.full(1 << bits, -1, np.int32)
@@ -90,7 +89,7 @@ class Automaton:
         symbol = np.where(self.hash > 0, self.words.find(self.hash), -1)
         starts = {p: self._starts(p, case, symbol) for p in (TRIPLE, AROUND, PAIR, SINGLE)}
         near = [at for p, at in starts.items() if p != SINGLE]
-        pairs = np.unique(np.concatenate(near))
+        pairs = tv.different(np.concatenate(near))
         self.levels = [Index(self._key(symbol[pairs], symbol[pairs + 1]))]
         node = np.full(len(symbol) + 1, -1, np.int64)
         node[pairs] = self.levels[0].find(self._key(symbol[pairs], symbol[pairs + 1]))
@@ -167,10 +166,11 @@ class Automaton:
         """(text, case) of the pairs whose merged intervals cover enough of the case for their word numbers."""
         m = np.diff(w.first)
         keys, halves, shorts = [], [], []
+        bits = int(self.n.max(initial=0)).bit_length()
         for kind, text, case, p in self.hits(w):
             # one number for each text, case and place
-            place = np.unique((text * len(self.n) + case) << 20 | p)
-            pair, p = place >> 20, place & ((1 << 20) - 1)
+            place = tv.different((text * len(self.n) + case) << bits | p)
+            pair, p = place >> bits, place & ((1 << bits) - 1)
             same = np.r_[False, pair[1:] == pair[:-1]]
             step = np.diff(p, prepend=0)
             merged = np.where(same & (step < len(TRIPLE)), step, 1) if kind == TRIPLE else np.ones(len(p), np.int64)
@@ -216,20 +216,21 @@ def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", ca
     """Pairs of strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common; once each.
 
     Equal cases are one; null and empty strings, and strings without an undamaged word, overlap with nothing. The driver passes on
-    one automaton at a time, the workers hold SCAN_SHARDS of them, however many cases there are.
+    one shard at a time, the workers hold the automata of SCAN_SHARDS of them, however many cases there are.
     """
     sc = texts.sparkSession.sparkContext
     own = texts.filter(F.length(text) > 0).select(F.xxhash64(text).alias("t"), F.col(text).alias("y"))
     asked = cases.filter(F.length(case_text) > 0).select(F.xxhash64(case_text).alias("c"), F.col(case_text).alias("x")).dropDuplicates(["c"])
     size = asked.agg(F.sum(F.length("x").cast("long"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_CHARS))
-    built = cut(asked.withColumn("shard", F.pmod("c", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build, "shard int, automaton binary"))
+    asked = cut(asked.withColumn("shard", F.pmod("c", F.lit(shards)).cast("int"))) if shards > 1 else asked.withColumn("shard", F.lit(0))
     found_ = []
     for k in range(0, shards, SCAN_SHARDS):
         shared = []
         for i in range(k, min(k + SCAN_SHARDS, shards)):
-            row = built.filter(F.col("shard") == i).first()
-            shared += [sc.broadcast(row.automaton)] if row else []
+            rows = asked.filter(F.col("shard") == i).orderBy("c").toPandas()
+            shared.append(sc.broadcast((rows["c"].to_numpy(), rows["x"].tolist())))
+            del rows
         part = own.mapInPandas(_scan(shared), FOUND)
         if shards > SCAN_SHARDS:
             part = cut(part)
@@ -239,35 +240,23 @@ def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", ca
     return reduce(DataFrame.unionByName, found_).distinct()
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    """The automaton of a shard of cases."""
-    own = rows.sort_values("c")
-    return pd.DataFrame({"shard": rows["shard"].iloc[:1].to_numpy(), "automaton": [packed(Automaton(own["c"].to_numpy(), own["x"].tolist()))]})
+#: The automata of a worker by the cases that they are of, for all its tasks of a scan.
+_BUILT: dict[int, tuple[object, Automaton]] = {}
 
 
-def packed(value: object) -> bytes:
-    """A pickle whose arrays lie behind it, so that unpacked() need not copy them."""
-    arrays: list[pickle.PickleBuffer] = []
-    parts = [pickle.dumps(value, protocol=5, buffer_callback=arrays.append)]
-    parts += [a.raw() for a in arrays]
-    sizes = np.array([len(parts), *map(len, parts)], np.int64)
-    return b"".join((sizes.tobytes(), *(bytes(p) + bytes(-len(p) % 8) for p in parts)))
-
-
-def unpacked(data: bytes) -> object:
-    view = memoryview(data)
-    n = int(np.frombuffer(view[:8], np.int64)[0])
-    sizes = np.frombuffer(view[8 : 8 * (n + 1)], np.int64)
-    begin = 8 * (n + 1) + np.r_[0, np.cumsum((sizes + 7) // 8 * 8)]
-    parts = [view[a : a + size] for a, size in zip(begin.tolist(), sizes.tolist(), strict=False)]
-    return pickle.loads(parts[0], buffers=parts[1:])
+def _built(cases: tuple[np.ndarray, list[str]]) -> Automaton:
+    if id(cases) not in _BUILT:
+        while len(_BUILT) >= SCAN_SHARDS:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[id(cases)] = (cases, Automaton(*cases))
+    return _BUILT[id(cases)][1]
 
 
 def _scan(shared: list[Broadcast]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Overlaps of the texts of a batch with the cases of all automata."""
+    """Overlaps of the texts of a batch with the cases of all shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = [unpacked(b.value) for b in shared]
+        automata = [_built(b.value) for b in shared]
         for batch in batches:
             batch = batch.drop_duplicates("t")
             keys = batch["t"].to_numpy()

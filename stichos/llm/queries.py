@@ -110,6 +110,9 @@ QUERIES = {
     )
 }
 
+#: What is timed.
+HEADLINE = ("p1_found", "p2_found", "p3_found", "p4_tokens", "p5_found", "p6_found", "p7_containers", "p8_mixture", "p9_found")
+
 
 def _key(name: str) -> str:
     """SQL of a file's series, volume and number, whatever the writing."""

@@ -255,6 +255,12 @@ def words(texts: list[str]) -> Words:
         return Words(row, mix(h), ok, start, size, letters, keep, n)
 
 
+def different(values: np.ndarray) -> np.ndarray:
+    """The different values, in order."""
+    own = np.sort(values)
+    return own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own
+
+
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and hash of each run of k undamaged words of one text."""
     n = len(w.row) - k + 1
