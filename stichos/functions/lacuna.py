@@ -141,7 +141,7 @@ def supplements(text: Column, case_folding: bool = True) -> Column:
         # what stands before and after the i-th supplement, as written
         left = F.array_join(F.flatten(F.zip_with(F.slice(rest, 1, i + 1), F.slice(found, 1, i), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
         right = F.concat(F.get(rest, i + 1), F.array_join(F.flatten(F.zip_with(F.slice(found, i + 2, size), F.slice(rest, i + 3, size), lambda a, b: F.array(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))), ""))
-        before, after = F.regexp_extract(left, r"[^ \n]*$", 0), F.regexp_extract(right, r"^[^ \n]*", 0)
+        before, after = F.regexp_extract(left, r"[^ \n]*\z", 0), F.regexp_extract(right, r"^[^ \n]*", 0)
         opens, closes = F.substring(s, 2, 1).rlike(r"\s"), F.substring(s, -2, 1).rlike(r"\s")
         n = F.length(s)
         wide = (

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from ..settings import ALPHA, BETA, DELTA, GAMMA, LAMBDA, LM_TYPE, MAX_BEAM_SIZE, MIN_BEAM_SIZE, SPECIALS, N
+from ..settings import ALPHA, BETA, DELTA, GAMMA, LAMBDA, LM_TYPE, MAX_BEAM_SIZE, MIN_BEAM_SIZE, SPECIALS, UNK, N
 from .ngram import SEP, known_contexts, log_score, merged, scored
 
+#: Rows that one context may give in one task, about.
+HOT = 2_000_000
+
 
 def beam_size(k: int, multiplier: int = 4) -> int:
     return min(max(multiplier * k, MIN_BEAM_SIZE), MAX_BEAM_SIZE)
@@ -40,19 +45,42 @@ def successors(cases: DataFrame, counts: DataFrame, boundary: int, n: int = N) -
     cases: case_id, context (tokens). The longest context comes first; the next shorter one is added, whole, only as long as a case
     has fewer than `boundary` words; contexts of one word are the shortest. A word keeps its longest context.
     """
-    usable = counts.filter(~F.col("word").isin(*SPECIALS))
+    words = cut(context_words(cases.select("context"), counts, boundary, n))
+    return _product(cases.withColumn("_c", F.array_join("context", SEP)), words).drop("_c")
+
+
+def context_words(contexts: DataFrame, counts: DataFrame, boundary: int, n: int = N) -> DataFrame:
+    """(_c, word, cnt, order) of the different contexts(context), each looked up once; _c is the context as one string.
+
+    Only contexts that are still short of words go on to the next order, with the fewer than `boundary` words that they have.
+    """
+    usable = counts.filter(~F.col("word").isin(*SPECIALS)).select("order", "ctx", "word", "cnt")
+    left = cut(contexts.select("context").distinct().select("context", F.array_join("context", SEP).alias("_c"), F.array().cast("array<string>").alias("_has")))
     parts = []
     for order in range(n, 1, -1):
-        keyed = cases.filter(F.size("context") >= order - 1).withColumn("ctx", last(F.col("context"), order - 1))
-        own = usable.filter(F.col("order") == order).select("ctx", "word", "cnt")
-        parts.append(keyed.join(own, "ctx").drop("ctx").withColumn("order", F.lit(order)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    per_word = every.withColumn("_r", F.row_number().over(Window.partitionBy("case_id", "word").orderBy(F.desc("order")))).filter("_r = 1").drop("_r")
-    reached = per_word.groupBy("case_id", "order").agg(F.count("*").alias("_k")).groupBy("case_id").agg(F.collect_list(F.struct("order", "_k")).alias("_ks"))
-    longer = F.aggregate(F.filter("_ks", lambda x: x["order"] > F.col("order")), F.lit(0).cast("long"), lambda a, x: a + x["_k"])
-    return per_word.join(reached, "case_id").filter(longer < boundary).drop("_ks")
+        keyed = left.withColumn("ctx", F.when(F.size("context") >= order - 1, last(F.col("context"), order - 1)))
+        met = keyed.join(usable.filter(F.col("order") == order).drop("order"), "ctx")
+        parts.append(met.filter(~F.array_contains("_has", F.col("word"))).select("_c", "word", "cnt", F.lit(order).alias("order")))
+        if order > 2:
+            few = usable.filter(F.col("order") == order).groupBy("ctx").agg(F.count("*").alias("_k"))
+            short = keyed.join(few, "ctx", "left").filter(F.coalesce("_k", F.lit(0)) < boundary).drop("_k")
+            words = short.join(usable.filter(F.col("order") == order).select("ctx", "word"), "ctx").groupBy("_c").agg(F.collect_set("word").alias("_new"))
+            grown = short.join(words, "_c", "left").withColumn("_has", F.array_union("_has", F.coalesce("_new", F.array().cast("array<string>"))))
+            left = cut(grown.filter(F.size("_has") < boundary).select("context", "_c", "_has"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _product(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """cases(_c, ...) with the words of their contexts; contexts that give more than HOT rows are divided by a hash of the word."""
+    asked = cases.groupBy("_c").agg(F.count("*").alias("_a"))
+    has = found.groupBy("_c").agg(F.count("*").alias("_b"))
+    parts = F.ceil(F.col("_a") * F.col("_b") / HOT).cast("int")
+    # as few as the rows of the result divided by HOT
+    hot = F.broadcast(asked.join(has, "_c").select("_c", parts.alias("_parts")).filter("_parts > 1"))
+    one = F.coalesce("_parts", F.lit(1))
+    a = cases.join(hot, "_c", "left").withColumn("_p", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    b = found.join(hot, "_c", "left").withColumn("_p", F.pmod(F.xxhash64("word"), one).cast("int")).drop("_parts")
+    return a.join(b, ["_c", "_p"]).drop("_p")
 
 
 def distance(word: Column, part: Column, front: bool) -> Column:
@@ -103,10 +131,61 @@ def predictions(cases: DataFrame, general: DataFrame, domain: DataFrame, k: int,
 
     Words of a context that a model doesn't know are the unknown word for it. Cases without any known successor have no row.
     """
-    size = beam_size(k)
+    asked, requests = distinct_requests(cases)
+    best = cut(beams(requests, general, domain, beam_size(k), n, weight, lm_type, alpha, beta, delta, gamma).filter(F.col("rank") <= k))
+    with_loss = best if alpha > 0 else losses(best, general, domain, n, weight, lm_type, gamma)
+    answered = with_loss.select(F.col("case_id").alias("_q"), "rank", "word", "score", F.pow(F.lit(2.0), -F.col("nll")).alias("probability"))
+    return asked.join(answered, "_q").drop("_q")
+
+
+def distinct_requests(cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(case_id, _q) of all cases, and the different requests(case_id: _q, context, head, tail, gap_len): equal ones are answered once."""
+    keyed = cases.withColumn("_q", F.to_json(F.struct("context", "head", "tail", "gap_len")))
+    requests = keyed.groupBy(F.col("_q").alias("case_id")).agg(*[F.first(c).alias(c) for c in ("context", "head", "tail", "gap_len")])
+    return keyed.select("case_id", "_q"), cut(requests)
+
+
+def beams(cases: DataFrame, general: DataFrame, domain: DataFrame, size: int, n: int = N, weight: float = LAMBDA, lm_type: str = LM_TYPE, alpha: float = ALPHA, beta: float = BETA, delta: float = DELTA, gamma: float | None = GAMMA) -> DataFrame:
+    """The best `size` words of each case with score and rank; each task keeps no more of a case than that before the rows are shuffled."""
     found = successors(cases, cut(known_counts(cases, general, domain, n)), size, n)
     if alpha > 0:
         found = losses(found, general, domain, n, weight, lm_type, gamma)
-    best = cut(beam(scores(found, alpha, beta, delta), size).filter(F.col("rank") <= k))
-    with_loss = best if alpha > 0 else losses(best, general, domain, n, weight, lm_type, gamma)
-    return with_loss.select("case_id", "rank", "word", "score", F.pow(F.lit(2.0), -F.col("nll")).alias("probability"))
+    return beam(scores(found, alpha, beta, delta), size)
+
+
+def check_supplement(tokens: Column) -> Column:
+    """Whether the tokens of a supplement can be a right answer: exactly one, neither empty nor unknown. Null counts as no."""
+    return F.coalesce((F.size(tokens) == 1) & ~F.array_contains(tokens, "") & ~F.array_contains(tokens, UNK), F.lit(False))
+
+
+def extended(beam_: DataFrame, counts: DataFrame, size: int, n: int = N) -> DataFrame:
+    """Beams grown by a word: each of beam_(case_id, words array, context, nll) with every word that follows it, the best `size` of a case kept.
+
+    counts: (order, ctx, word, cnt) with `total`, the sum of its context. The order n - 1 words back is asked first, then shorter ones
+    where nothing follows. A hypothesis without any successor ends there and is left out.
+    """
+    own = cut(beam_.withColumn("_h", F.to_json(F.struct("case_id", "words"))))
+    usable = counts.filter(~F.col("word").isin(*SPECIALS))
+    parts, left = [], own
+    for order in range(n, 1, -1):
+        grown = left.withColumn("ctx", F.when(F.size("context") >= order - 1, last(F.col("context"), order - 1))).join(usable.filter(F.col("order") == order).select("ctx", "word", "cnt", "total"), "ctx").drop("ctx")
+        parts.append(grown)
+        left = left.join(grown.select("_h").distinct(), "_h", "left_anti")
+    every = reduce(DataFrame.unionByName, parts)
+    nll = F.col("nll") - F.log2(F.col("cnt") / F.col("total"))
+    new = every.select("case_id", F.array_append("words", F.col("word")).alias("words"), F.array_append("context", F.col("word")).alias("context"), nll.alias("nll"))
+    order = Window.partitionBy("case_id").orderBy("nll", "words")
+    return new.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+
+
+def word_sequences(cases: DataFrame, model: DataFrame, num_tokens: int, size: int, n: int = N) -> DataFrame:
+    """(case_id, rank, words, nll): the likeliest fillings of cases(case_id, context) by num_tokens words, by local beam search.
+
+    The context decides the first word, each word the next ones; nll is the negative log2 of the product of the shares of the counts.
+    """
+    totals_ = model.groupBy("order", "ctx").agg(F.sum("cnt").alias("total"))
+    counts = cut(model.filter("order > 1").join(totals_, ["order", "ctx"]))
+    now = cases.select("case_id", F.array().cast("array<string>").alias("words"), "context", F.lit(0.0).alias("nll"))
+    for _ in range(num_tokens):
+        now = extended(now.select("case_id", "words", "context", "nll"), counts, size, n)
+    return now.select("case_id", "rank", "words", "nll")

@@ -23,7 +23,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def connected(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with a link; a component is named by its least node.
 
     Large-star and small-star steps in turn until nothing moves: a number of rounds that grows with the logarithm of the
@@ -32,12 +32,10 @@ def connected(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFr
     """
     now = cut(links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b").distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:
         now = cut(_star(_star(now, True), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == mark:
             break
         mark = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.editorial import words
 from ..functions.lacuna import SUPPLEMENT, sentence_tokens, supplements, transpile
 from ..functions.normalize import normalize_greek, remove_punctuation
-from ..settings import CHUNK_WORDS, MASKED_UNK, MAX_SUBWORDS, MAX_UNK_RATIO, MIN_SENTENCE_WORDS, UNK, checkpoint_config
+from ..settings import CHUNK_WORDS, MASKED_UNK, MAX_INPUT, MAX_SUBWORDS, MAX_UNK_RATIO, MIN_SENTENCE_WORDS, UNK, checkpoint_config
 
-#: What stands for the masked supplement while a text is made plain.
-SENTINEL = "ΩΩΩMASKΩΩΩ"
+#: What stands for the masked supplement while a text is made plain: letters, so that no rule sees more in it than a word.
+SENTINEL = "QXZGAPZXQ"
 
 
 def cast_unknown(text: Column) -> Column:
@@ -42,15 +43,18 @@ def chunks(tokens: Column, size: int = CHUNK_WORDS) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(tokens, i * size + 1, size))).otherwise(F.array().cast("array<array<string>>"))
 
 
-def packed(sentences: DataFrame, key: str, order: str, text: str, tokenize: Callable[[str], list], most: int = MAX_SUBWORDS) -> DataFrame:
-    """(key, chunk_no, text): sentences of each key joined in order, as many as fit in `most` tokens; a longer one is cut and stands alone."""
+def packed(sentences: DataFrame, key: str, order: str, text: str, tokenize: Callable[[str], list], most: int = MAX_SUBWORDS, join: Callable[[list], str] = " ".join) -> DataFrame:
+    """(key, chunk_no, text): sentences of each key joined in order, as many as fit in `most` tokens; a longer one is cut and stands alone.
+
+    tokenize and join turn a text to the masked model's tokens and back. A key's sentences are those of one text.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out, now, used = [], [], 0
         for s in rows.sort_values("o")["t"]:
             tokens = tokenize(s)
             if len(tokens) > most:
-                out += [" ".join(now)] * bool(now) + [" ".join(map(str, tokens[:most]))]
+                out += [" ".join(now)] * bool(now) + [join(tokens[:most])]
                 now, used = [], 0
             elif used + len(tokens) > most:
                 out.append(" ".join(now))
@@ -65,20 +69,21 @@ def packed(sentences: DataFrame, key: str, order: str, text: str, tokenize: Call
     return own.groupBy("k").applyInPandas(run, f"k {sentences.schema[key].dataType.simpleString()}, chunk_no long, text string").withColumnRenamed("k", key)
 
 
-def grouped_ids(ids: DataFrame, column: str, size: int = 128, pad: int = 0) -> DataFrame:
-    """(input_ids, attention_mask, labels): the token ids of each batch of rows in one line, filled up with pad and cut to equal pieces."""
+def code_points(text: Column) -> Column:
+    """The code points of a text, the token ids of models over characters."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            line = [int(x) for own in batch["ids"] if own is not None for x in own]
-            fill = -len(line) % size
-            mask = [1] * len(line) + [0] * fill
-            line += [pad] * fill
-            parts = range(0, len(line), size)
-            own = [line[i : i + size] for i in parts]
-            yield pd.DataFrame({"input_ids": own, "attention_mask": [mask[i : i + size] for i in parts], "labels": own})
 
-    return ids.select(F.col(column).alias("ids")).mapInPandas(run, "input_ids array<int>, attention_mask array<int>, labels array<int>")
+def grouped_ids(ids: DataFrame, batch: str, order: str, column: str, size: int = 128, pad: int = 0) -> DataFrame:
+    """(batch, piece, input_ids, attention_mask, labels): the token ids of the rows of each batch in one line, in the order of a column,
+    filled up with pad and cut to equal pieces. A batch is what the caller bounds, some thousand rows; null ids are left out."""
+    rows = ids.filter(F.col(column).isNotNull()).groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("ids")))).alias("r"))
+    line = rows.select(batch, F.flatten(F.transform("r", lambda x: x["ids"])).alias("line")).filter(F.size("line") > 0)
+    piece = line.select(batch, "line", F.explode(F.sequence(F.lit(0), F.floor((F.size("line") - 1) / size).cast("int"))).alias("piece"))
+    own = piece.select(batch, "piece", F.slice("line", F.col("piece") * size + 1, size).alias("own"))
+    fill = lambda values, x: F.concat(values, F.array_repeat(F.lit(x), size - F.size("own")))
+    padded = fill(F.col("own"), pad)
+    return own.select(batch, "piece", padded.alias("input_ids"), fill(F.transform("own", lambda _: F.lit(1)), 0).alias("attention_mask"), padded.alias("labels"))
 
 
 def normalized_for(text: Column, checkpoint: str) -> Column:
@@ -86,7 +91,42 @@ def normalized_for(text: Column, checkpoint: str) -> Column:
     config = checkpoint_config(checkpoint)
     out = normalize_greek(text, case_folding=False)
     out = out if config["punctuation"] else remove_punctuation(out)
-    return F.upper(out) if config["case"] == "upper" else F.lower(out)
+    out = F.upper(out) if config["case"] == "upper" else F.lower(out)
+    return F.regexp_replace(out, f"(?i){UNK}", MASKED_UNK)
+
+
+class Tokenizer(Protocol):
+    """What a masked model's tokenizer must offer."""
+
+    unk_token: str
+
+    def tokenize(self, text: str) -> list[str]:
+        """Sub-words of a text."""
+
+    def encode(self, text: str, most: int) -> list[int]:
+        """Token ids of a text, at most so many, with the signs of begin and end."""
+
+
+def prepared(texts: DataFrame, checkpoint: str, tokenizer: Callable[[], Tokenizer], text: str = "text", most: int = MAX_INPUT) -> DataFrame:
+    """(input_ids, attention_mask) of the texts that are good enough in a masked model's own sub-words, in the form that it wants.
+
+    tokenizer builds the tokenizer once in each worker. Texts with fewer than MIN_SENTENCE_WORDS sub-words, or too many unknown ones,
+    and nulls have no row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = tokenizer()
+        for batch in batches:
+            kept = []
+            for t in batch["t"]:
+                pieces = own.tokenize(t)
+                if len(pieces) >= MIN_SENTENCE_WORDS and pieces.count(own.unk_token) < MAX_UNK_RATIO * len(pieces):
+                    kept.append(own.encode(t, most))
+            if kept:
+                yield pd.DataFrame({"input_ids": kept, "attention_mask": [[1] * len(ids) for ids in kept]})
+
+    plain = texts.filter(F.col(text).isNotNull()).select(normalized_for(F.col(text), checkpoint).alias("t"))
+    return plain.mapInPandas(run, "input_ids array<int>, attention_mask array<int>")
 
 
 def dev_cases(blocks: DataFrame, text: str = "training_text", least: int = 1, most: int | None = None, normalize: bool = False, case_folding: bool = False) -> DataFrame:

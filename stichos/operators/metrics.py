@@ -68,5 +68,22 @@ def masked_topk(logits: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFram
     return own.agg(*[F.avg((above < k).cast("double")).alias(f"top_{k}") for k in ks])
 
 
+def id_topk(suggestions: DataFrame, gold: DataFrame, pad_id: int, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """One row: top_1, top_3, ... in percent of the cases of gold(case_id, ids array) whose ids are the k-th best of suggestions(case_id, score, ids).
+
+    Cases with the pad among their ids are left out; without any case all are 0. Of equal suggestions the best counts, ties by ids.
+    """
+    cases = gold.filter(~F.array_contains("ids", pad_id))
+    ranked = suggestions.withColumn("_r", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "ids")))
+    first = ranked.join(cases, ["case_id", "ids"]).groupBy("case_id").agg(F.min("_r").alias("first"))
+    per = cases.select("case_id").distinct().join(first, "case_id", "left")
+    return per.agg(*[F.coalesce(F.avg(F.when(F.col("first") <= k, 100.0).otherwise(0.0)), F.lit(0.0)).alias(f"top_{k}") for k in ks])
+
+
+def mode_length(text: Column) -> Column:
+    """The most frequent length, of equally frequent ones the least."""
+    return F.mode(F.length(text), True)
+
+
 def perplexity_of_loss(loss: Column) -> Column:
     return F.exp(loss)

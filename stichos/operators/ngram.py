@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lacuna import padded
+from ..session import cut
 from ..settings import FALLBACK_LOSS, GAMMA, LAMBDA, LM_TYPE, UNK, N, check_training
 
 SEP = "\u0001"
@@ -36,7 +37,7 @@ def train(sentences: DataFrame, n: int = N, tokens: str = "tokens", min_freq: in
 
     Words that occur fewer than min_freq times in the padded sentences count as unknown, in words and contexts.
     """
-    check_training(n=n if n in (2, 3) else N, min_freq=min_freq)
+    check_training(n=n, min_freq=min_freq)
     if min_freq > 1:
         words = ngram_rows(sentences, n, tokens, [1]).groupBy("word").agg(F.count("*").alias("c")).filter(F.col("c") < min_freq).select("word")
         sentences = masked(sentences.select(F.col(tokens).alias("tokens")), words)
@@ -95,15 +96,20 @@ def known(queries: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def scored(queries: DataFrame, model: DataFrame, name: str, lm_type: str = LM_TYPE, gamma: float = GAMMA) -> DataFrame:
-    """queries(order, ctx, word, ...) with the model's probability of word after ctx in a new column."""
-    asked = known(queries, model)
-    counts = model.select("order", F.col("ctx").alias("k_ctx"), F.col("word").alias("k_word"), "cnt")
-    all_ = totals(model).select("order", F.col("ctx").alias("k_ctx"), "total")
-    found = asked.join(counts, ["order", "k_ctx", "k_word"], "left").join(all_, ["order", "k_ctx"], "left")
+    """queries(order, ctx, word, ...) with the model's probability of word after ctx in a new column.
+
+    N-grams of the model are met as they stand; only the others have their unknown words mapped and are looked up again.
+    """
+    rates = model.join(totals(model), ["order", "ctx"]).select("order", "ctx", "word", "cnt", "total")
+    met = queries.join(rates, ["order", "ctx", "word"], "left")
+    asked = known(met.filter("cnt is null").drop("cnt", "total"), model)
+    key = [F.col("ctx").alias("k_ctx"), F.col("word").alias("k_word")]
+    other = asked.join(model.select("order", *key, "cnt"), ["order", "k_ctx", "k_word"], "left").join(totals(model).select("order", key[0], "total"), ["order", "k_ctx"], "left")
+    found = met.filter("cnt is not null").unionByName(other.drop("k_ctx", "k_word"))
     if lm_type == "MLE":
-        return found.withColumn(name, mle(F.col("cnt"), F.col("total"))).drop("cnt", "total", "k_ctx", "k_word")
+        return found.withColumn(name, mle(F.col("cnt"), F.col("total"))).drop("cnt", "total")
     v = vocabulary_size(model)
-    return found.join(F.broadcast(v), how="left").withColumn(name, lidstone(F.col("cnt"), F.col("total"), F.col("v"), gamma)).drop("cnt", "total", "k_ctx", "k_word", "v")
+    return found.join(F.broadcast(v), how="left").withColumn(name, lidstone(F.col("cnt"), F.col("total"), F.col("v"), gamma)).drop("cnt", "total", "v")
 
 
 def log_score(domain: Column, general: Column, weight: float = LAMBDA) -> Column:
@@ -133,6 +139,13 @@ def sequence_loss(scored_: DataFrame, key: str, lm_type: str = LM_TYPE) -> DataF
     return scored_.groupBy(key).agg(total.alias("nll"))
 
 
+def flagged(sentences: DataFrame, n: int = N, tokens: str = "tokens", domain: str = "in_domain") -> tuple[DataFrame, DataFrame]:
+    """The models of all sentences and of those with a true `domain`, counted in one pass."""
+    rows = ngram_rows(sentences.withColumn("_d", F.col(domain).cast("long")), n, tokens, keep=("_d",))
+    both = cut(rows.groupBy("order", "ctx", "word").agg(F.count("*").alias("cnt"), F.sum("_d").alias("d")))
+    return both.drop("d"), both.filter("d > 0").select("order", "ctx", "word", F.col("d").alias("cnt"))
+
+
 def merged(general: DataFrame, domain: DataFrame) -> DataFrame:
     """Counts of two models summed."""
     return general.unionByName(domain).groupBy("order", "ctx", "word").agg(F.sum("cnt").alias("cnt"))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..settings import DOMAIN_TITLE, LANGUAGE, RANDOM_SEED, TEST_SIZE
 
@@ -18,6 +19,11 @@ def order_of(key: Column, seed: int = RANDOM_SEED) -> Column:
     return F.pmod((key + seed) * 2654435761, F.lit(1 << 32))
 
 
+def number_of(id_: Column) -> Column:
+    """A number below 2**28 for a string, the same in any engine: the first seven hexadecimal digits of its MD5."""
+    return F.conv(F.substring(F.md5(id_.cast("binary")), 1, 7), 16, 10).cast("long")
+
+
 def first(df: DataFrame, order: str, ties: str, n: int, top: int = 1 << 32) -> DataFrame:
     """The n rows that come first by order (below top), then ties.
 
@@ -35,16 +41,20 @@ def first(df: DataFrame, order: str, ties: str, n: int, top: int = 1 << 32) -> D
     return bucketed.filter(F.col("_b") < edge).unionByName(cut).drop("_b")
 
 
+def _ordered(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df with the hash order of an integer or string key in _o."""
+    own = F.col(key) if isinstance(df.schema[key].dataType, IntegralType) else number_of(F.col(key))
+    return df.withColumn("_o", order_of(own, seed))
+
+
 def budget_sample(df: DataFrame, key: str, percent: float, seed: int = RANDOM_SEED) -> DataFrame:
-    """int(n x percent / 100) rows of df, chosen by the hash order of an integer key."""
-    own = df.withColumn("_o", order_of(F.col(key), seed))
-    return first(own, "_o", key, int(df.count() * percent / 100)).drop("_o")
+    """int(n x percent / 100) rows of df, chosen by the hash order of a key."""
+    return first(_ordered(df, key, seed), "_o", key, int(df.count() * percent / 100)).drop("_o")
 
 
 def split(df: DataFrame, key: str, test_size: float = TEST_SIZE, seed: int = RANDOM_SEED) -> tuple[DataFrame, DataFrame]:
-    """(train, test) with ceil(n x test_size) rows in test."""
-    own = df.withColumn("_o", order_of(F.col(key), seed))
-    test = first(own, "_o", key, math.ceil(df.count() * test_size)).drop("_o")
+    """(train, test) with ceil(n x test_size) rows in test, chosen by the hash order of a key."""
+    test = first(_ordered(df, key, seed), "_o", key, math.ceil(df.count() * test_size)).drop("_o")
     return without(df, test, key), test
 
 

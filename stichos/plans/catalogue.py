@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import pipeline
 from ..functions import editorial, lacuna, normalize
 from ..operators import candidates, datasets, infill, metrics, ngram, splits
 from ..session import cut, table, text_table
@@ -30,13 +31,13 @@ def query(sql: str | None = None) -> Callable:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """(k, x): every text of ab once for each id, sharp s written out, as capitals of engines differ for it."""
+    """(k, x): every text of ab once for each id."""
     ab = text_table(spark, d, "ab").filter("training_text is not null and id is not null")
-    return ab.groupBy(F.col("id").alias("k")).agg(F.replace(F.min("training_text"), F.lit("ß"), F.lit("ss")).alias("x"))
+    return ab.groupBy(F.col("id").alias("k")).agg(F.min("training_text").alias("x"))
 
 
-TEXTS = "texts AS (SELECT id AS k, replace(min(training_text), 'ß', 'ss') AS x FROM ab WHERE training_text IS NOT NULL AND id IS NOT NULL GROUP BY id)"
-GREEK = "greek AS (SELECT id AS k, replace(min(training_text), 'ß', 'ss') AS x FROM ab WHERE training_text IS NOT NULL AND id IS NOT NULL AND language = 'grc' GROUP BY id)"
+TEXTS = "texts AS (SELECT id AS k, min(training_text) AS x FROM ab WHERE training_text IS NOT NULL AND id IS NOT NULL GROUP BY id)"
+GREEK = "greek AS (SELECT id AS k, min(training_text) AS x FROM ab WHERE training_text IS NOT NULL AND id IS NOT NULL AND language = 'grc' GROUP BY id)"
 
 
 # filters and projections
@@ -108,7 +109,7 @@ def strip_diacritics(spark, d):
     return texts(spark, d).select("k", normalize.strip_diacritics(F.col("x")).alias("y"))
 
 
-@query(f"WITH {TEXTS} SELECT k, upper({O.stripped('x')}) AS y FROM texts")
+@query(f"WITH {TEXTS} SELECT k, {O.upper(O.stripped('x'))} AS y FROM texts")
 def normalize_upper(spark, d):
     return texts(spark, d).select("k", normalize.normalize_greek(F.col("x")).alias("y"))
 
@@ -123,10 +124,10 @@ def transpile(spark, d):
     return texts(spark, d).select("k", lacuna.transpile(F.col("x")).alias("plain"))
 
 
-@query(f"WITH docs AS (SELECT doc_id AS k, replace(text, 'ß', 'ss') AS x FROM documents WHERE text IS NOT NULL), {O.plain('p', 'docs')} SELECT k, x AS plain FROM p")
+@query(f"WITH docs AS (SELECT doc_id AS k, text AS x FROM documents WHERE text IS NOT NULL), {O.plain('p', 'docs')} SELECT k, x AS plain FROM p")
 def transpile_documents(spark, d):
     docs = text_table(spark, d, "documents").filter("text is not null")
-    return docs.select(F.col("doc_id").alias("k"), lacuna.transpile(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("plain"))
+    return docs.select(F.col("doc_id").alias("k"), lacuna.transpile(F.col("text")).alias("plain"))
 
 
 @query(f"WITH {TEXTS}, e AS (SELECT k, unnest({O.words('x')}) AS t FROM texts) SELECT t AS token, count(*) AS n, bool_and({O.has_gap('t')}) AS gap FROM e GROUP BY t")
@@ -145,7 +146,7 @@ def greek(spark: SparkSession, d: str, domain: bool = False) -> DataFrame:
     """(k, x) of the Greek texts, or of those of the domain, once for each id."""
     ab = text_table(spark, d, "ab").filter("training_text is not null and id is not null and language = 'grc'")
     own = ab.filter(F.col("title").contains(DOMAIN)) if domain else ab
-    return own.groupBy(F.col("id").alias("k")).agg(F.replace(F.min("training_text"), F.lit("ß"), F.lit("ss")).alias("x"))
+    return own.groupBy(F.col("id").alias("k")).agg(F.min("training_text").alias("x"))
 
 
 def sentences_of(source: DataFrame) -> DataFrame:
@@ -168,6 +169,13 @@ def model(spark: SparkSession, d: str, domain: bool = False, n: int = SIZE) -> D
     return ngram.train(sentences_of(greek(spark, d, domain)), n)
 
 
+def models(spark: SparkSession, d: str, n: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """The models of all Greek texts and of those of the domain, from one reading of the texts."""
+    ab = text_table(spark, d, "ab").filter("training_text is not null and id is not null and language = 'grc'")
+    own = ab.groupBy(F.col("id").alias("k")).agg(F.min("training_text").alias("x"), F.coalesce(F.max(F.col("title").contains(DOMAIN)), F.lit(False)).alias("in_domain"))
+    return ngram.flagged(own.select("in_domain", F.explode(lacuna.sentence_tokens(F.col("x"))).alias("tokens")), n)
+
+
 def spaced(ctx: str = "ctx") -> Column:
     return F.replace(ctx, F.lit(ngram.SEP), F.lit(" ")).alias("ctx")
 
@@ -212,10 +220,6 @@ def lidstone_score(spark, d):
     return ngram.scored(asked, m, "p", "LIDSTONE", GAMMA).select(spaced(), "word", F.round("p", 9).alias("p"))
 
 
-def _unknown(x: str, m: str) -> str:
-    return f"(CASE WHEN {x} = '' OR {x} IN (SELECT word FROM {m} WHERE o = 1) THEN {x} ELSE '<UNK>' END)"
-
-
 #: Interpolated scores of every n-gram of the domain's sentences.
 INTERPOLATED = (
     f"{MODEL}, {MODEL_D}, gs AS (SELECT k, i, ctx, word FROM gd WHERE o = 3), u AS (SELECT DISTINCT ctx, word FROM gs), "
@@ -227,7 +231,7 @@ INTERPOLATED = (
 
 def interpolated(spark: SparkSession, d: str) -> DataFrame:
     rows = ngram.ngram_rows(sentences_of(greek(spark, d, True)), SIZE, orders=[SIZE], keep=("k", "i"))
-    return ngram.interpolated(rows, cut(model(spark, d)), cut(model(spark, d, True)), WEIGHT, "LIDSTONE", GAMMA)
+    return ngram.interpolated(rows, *models(spark, d), WEIGHT, "LIDSTONE", GAMMA)
 
 
 @query(f"WITH {INTERPOLATED} SELECT DISTINCT ctx, word, round(s, 6) AS s FROM ls")
@@ -248,7 +252,7 @@ def sequence_nll(spark, d):
 
 @query(f"WITH {MODEL}, {MODEL_D} SELECT o AS \"order\", ctx, word, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM m UNION ALL SELECT * FROM md) GROUP BY ALL")
 def merged_counts(spark, d):
-    return ngram.merged(model(spark, d), model(spark, d, True)).select("order", spaced(), "word", "cnt")
+    return ngram.merged(*models(spark, d)).select("order", spaced(), "word", "cnt")
 
 
 # gaps and candidates
@@ -265,11 +269,11 @@ def mask_cases(spark, d):
 def cases(spark: SparkSession, d: str) -> DataFrame:
     """(k, text) of the masked cases of Greek texts."""
     ab = table(spark, d, "ab").filter("language = 'grc'").select(F.explode("test_cases").alias("c"))
-    return ab.groupBy(F.col("c.id").alias("k")).agg(F.replace(F.min("c.test_case"), F.lit("ß"), F.lit("ss")).alias("text"))
+    return ab.groupBy(F.col("c.id").alias("k")).agg(F.min("c.test_case").alias("text"))
 
 
 ONE = f"len(regexp_extract_all(x, {O.quoted(O.SUPPLEMENT)})) = 1"
-CASES = "cs AS (SELECT c.id AS k, replace(min(c.test_case), 'ß', 'ss') AS x FROM (SELECT unnest(test_cases) AS c FROM ab WHERE language = 'grc') GROUP BY c.id)"
+CASES = "cs AS (SELECT c.id AS k, min(c.test_case) AS x FROM (SELECT unnest(test_cases) AS c FROM ab WHERE language = 'grc') GROUP BY c.id)"
 HEADS = (
     f"h0 AS (SELECT k, regexp_extract(x, {O.quoted('([^ \n\\[]*)' + O.SUPPLEMENT)}, 1) AS x FROM cs WHERE {ONE}), {O.plain('hp', 'h0')}, "
     f"t0 AS (SELECT k, trim(regexp_extract(x, {O.quoted(O.SUPPLEMENT + '([^ \n]*)')}, 1)) AS x FROM cs WHERE {ONE}), {O.plain('tp', 't0')}, "
@@ -304,8 +308,6 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 BOUNDARY = candidates.beam_size(10)
-#: Levenshtein distances of DuckDB count bytes: letters are brought to two bytes each first, which doubles all distances.
-LEV = "(levenshtein({a}, {b}))"
 SUCCESSORS = (
     f"{MODEL}, {MODEL_D}, mm AS (SELECT o, ctx, word, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM m UNION ALL SELECT * FROM md) GROUP BY ALL), {CASES}, {HEADS}, {CONTEXTS}, "
     "s3 AS (SELECT k, 3 AS o, word, cnt FROM ctxs JOIN mm ON mm.o = 3 AND mm.ctx = c[1] || ' ' || c[2] WHERE word NOT IN ('<s>', '</s>', '<UNK>')), "
@@ -315,16 +317,32 @@ SUCCESSORS = (
 )
 
 
+#: As SUCCESSORS, with the words of a context that a model doesn't know turned to the unknown word, for each model apart.
+KNOWN_SUCCESSORS = (
+    f"{MODEL}, {MODEL_D}, {CASES}, {HEADS}, {CONTEXTS}, gw AS (SELECT word FROM m WHERE o = 1), dw AS (SELECT word FROM md WHERE o = 1), "
+    "kc AS (SELECT k, coalesce(g1.word, '<UNK>') AS ga, coalesce(g2.word, '<UNK>') AS gb, coalesce(d1.word, '<UNK>') AS da, coalesce(d2.word, '<UNK>') AS db FROM ctxs "
+    "LEFT JOIN gw g1 ON g1.word = c[1] LEFT JOIN gw g2 ON g2.word = c[2] LEFT JOIN dw d1 ON d1.word = c[1] LEFT JOIN dw d2 ON d2.word = c[2]), "
+    "s3 AS (SELECT k, 3 AS o, word, sum(cnt)::BIGINT AS cnt FROM (SELECT k, word, cnt FROM kc JOIN m ON o = 3 AND ctx = ga || ' ' || gb UNION ALL SELECT k, word, cnt FROM kc JOIN md ON o = 3 AND ctx = da || ' ' || db) WHERE word NOT IN ('<s>', '</s>', '<UNK>') GROUP BY k, word), "
+    "s2 AS (SELECT k, 2 AS o, word, sum(cnt)::BIGINT AS cnt FROM (SELECT k, word, cnt FROM kc JOIN m ON o = 2 AND ctx = gb UNION ALL SELECT k, word, cnt FROM kc JOIN md ON o = 2 AND ctx = db) WHERE word NOT IN ('<s>', '</s>', '<UNK>') GROUP BY k, word), "
+    f"few AS (SELECT ctxs.k FROM ctxs LEFT JOIN (SELECT k, count(*) AS n FROM s3 GROUP BY k) USING (k) WHERE coalesce(n, 0) < {BOUNDARY}), "
+    "suc AS (SELECT * FROM s3 UNION ALL SELECT s2.* FROM s2 JOIN few USING (k) WHERE NOT EXISTS (SELECT 1 FROM s3 WHERE s3.k = s2.k AND s3.word = s2.word)), "
+    "w AS (SELECT suc.k, word, cnt, gap_len, coalesce(head, '') AS h, coalesce(tail, '') AS t FROM suc JOIN ht USING (k)), "
+    f"e AS (SELECT *, {O.distance('left(word, length(h))', 'h')} AS dh, {O.distance('right(word, length(t))', 't')} AS dt, abs(length(word) - gap_len - length(h) - length(t)) AS dl FROM w)"
+)
+BEAM = f"{KNOWN_SUCCESSORS}, bm AS (SELECT * FROM (SELECT k, word, (dh + dt + dl)::DOUBLE AS score, row_number() OVER (PARTITION BY k ORDER BY dh + dt + dl, word) AS rank FROM e) WHERE rank <= {BOUNDARY})"
+#: The words that were masked, of supplements of one word.
+GOLD = f"{O.SUPPLEMENTS}, gold AS (SELECT DISTINCT c.id AS k, tokens[1] AS word FROM (SELECT id AS k, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM each_) JOIN sup USING (k, i) WHERE len(tokens) = 1 AND tokens[1] <> '<UNK>')"
+FIRST_TEN = f"{BEAM}, ten AS (SELECT * FROM bm WHERE rank <= 10), {GOLD}"
+
+
 def found_as_read(spark: SparkSession, d: str) -> DataFrame:
     """Successors of the contexts as they stand, unknown words not mapped, as the SQL of the queries that use it."""
-    counts = cut(ngram.merged(model(spark, d), model(spark, d, True)))
-    return candidates.successors(asked(spark, d), counts, BOUNDARY, SIZE)
+    return candidates.successors(asked(spark, d), cut(ngram.merged(*models(spark, d))), BOUNDARY, SIZE)
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
     own = asked(spark, d)
-    counts = cut(candidates.known_counts(own, cut(model(spark, d)), cut(model(spark, d, True)), SIZE))
-    return candidates.successors(own, counts, BOUNDARY, SIZE)
+    return candidates.successors(own, cut(candidates.known_counts(own, *models(spark, d), SIZE)), BOUNDARY, SIZE)
 
 
 @query(f"WITH {SUCCESSORS} SELECT k, word, cnt, o AS \"order\" FROM suc")
@@ -337,27 +355,48 @@ def length_penalty(spark, d):
     return found_as_read(spark, d).select(F.col("case_id").alias("k"), "word", candidates.length_penalty(F.col("word")).cast("long").alias("penalty"))
 
 
-@query()
+@query(
+    f"WITH {KNOWN_SUCCESSORS}, f AS (SELECT *, length(word) = length(h) + length(t) + gap_len AND ((h = '' AND t = '') OR (h <> '' AND starts_with(word, h)) OR (t <> '' AND suffix(word, t))) AS fits FROM e) "
+    "SELECT k, word, fits, row_number() OVER (PARTITION BY k ORDER BY fits DESC, CASE WHEN h = '' AND t = '' THEN cnt ELSE dh + dt END, word) AS place FROM f"
+)
 def candidate_order(spark, d):
-    return candidates.ranked(found(spark, d)).select(F.col("case_id").alias("k"), "word", "fits", "place")
+    return candidates.ranked(found(spark, d)).select(F.col("case_id").alias("k"), "word", "fits", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(f"WITH {KNOWN_SUCCESSORS} SELECT k, word, (dh + dt + dl)::DOUBLE AS score FROM e")
+def candidate_score(spark, d):
+    return candidates.scores(found(spark, d)).select(F.col("case_id").alias("k"), "word", "score")
+
+
+@query(f"WITH {BEAM} SELECT k, word, score, rank FROM bm")
 def beam_topk(spark, d):
-    return candidates.beam(candidates.scores(found(spark, d)), BOUNDARY).select(F.col("case_id").alias("k"), "word", "score", "rank")
+    return requested(spark, d, lambda own: candidates.beams(own, *models(spark, d), BOUNDARY, SIZE)).select(F.col("case_id").alias("k"), "word", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def requested(spark: SparkSession, d: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of answer(requests) for every case, equal requests being answered once."""
+    every, requests = candidates.distinct_requests(asked(spark, d))
+    return every.join(answer(requests).withColumnRenamed("case_id", "_q").drop("context", "head", "tail", "gap_len"), "_q").drop("_q")
 
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
-    g, s = cut(model(spark, d)), cut(model(spark, d, True))
-    return candidates.predictions(asked(spark, d), g, s, 10, SIZE)
+    return candidates.predictions(asked(spark, d), *models(spark, d), 10, SIZE)
 
 
-@query()
+#: Probabilities of the first ten by the default gamma and weight.
+PREDICTIONS = (
+    f"{BEAM}, ten AS (SELECT k, word, score, rank, ga || ' ' || gb AS gc, da || ' ' || db AS dc, coalesce(gw.word, '<UNK>') AS wg, coalesce(dw.word, '<UNK>') AS wd FROM bm JOIN kc USING (k) LEFT JOIN gw USING (word) LEFT JOIN dw USING (word) WHERE rank <= 10) "
+    "SELECT ten.k AS case_id, ten.rank, ten.word, ten.score, round(0.2 * (coalesce(md.cnt, 0) + 0.001) / (coalesce(totd.total, 0) + vd.v * 0.001) + 0.8 * (coalesce(m.cnt, 0) + 0.001) / (coalesce(tot.total, 0) + vs.v * 0.001), 9) AS probability "
+    "FROM ten LEFT JOIN m ON m.o = 3 AND m.ctx = gc AND m.word = wg LEFT JOIN tot ON tot.o = 3 AND tot.ctx = gc LEFT JOIN md ON md.o = 3 AND md.ctx = dc AND md.word = wd LEFT JOIN totd ON totd.o = 3 AND totd.ctx = dc, vs, vd"
+)
+
+
+@query(f"WITH {PREDICTIONS}")
 def predictions(spark, d):
-    return predicted(spark, d)
+    return predicted(spark, d).select("case_id", F.col("rank").cast("long").alias("rank"), "word", "score", F.round("probability", 9).alias("probability"))
 
 
-@query()
+@query(f"WITH {BEAM} SELECT k, regexp_replace(x, {O.quoted(r'\S*\[.*?\]\S*')}, {O.lowered('word')}) AS sentence FROM bm JOIN cs USING (k) WHERE rank = 1")
 def sentence_splice(spark, d):
     best = predicted(spark, d).filter("rank = 1").select(F.col("case_id").alias("k"), F.lower("word").alias("word"))
     return best.join(cases(spark, d), "k").select("k", lacuna.splice(F.col("text"), F.col("word")).alias("sentence"))
@@ -366,26 +405,30 @@ def sentence_splice(spark, d):
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """(case_id, word): the single words that were masked."""
     ab = table(spark, d, "ab").filter("language = 'grc' and training_text is not null")
-    each = ab.groupBy("id").agg(F.min_by("training_text", "training_text").alias("t"), F.min_by("test_cases", "training_text").alias("c"))
-    pairs = each.select(F.explode(F.arrays_zip(F.col("c").alias("c"), lacuna.supplements(F.col("t")).alias("s"))).alias("z")).filter("z.c is not null and size(z.s.tokens) = 1")
+    each = ab.groupBy("id").agg(F.min("training_text").alias("t"), F.min_by("test_cases", "training_text").alias("c"))
+    pairs = each.select(F.explode(F.arrays_zip(F.col("c").alias("c"), lacuna.supplements(F.col("t")).alias("s"))).alias("z")).filter(F.col("z.c").isNotNull() & candidates.check_supplement(F.col("z.s.tokens")))
     return pairs.select(F.col("z.c.id").alias("case_id"), F.get("z.s.tokens", F.lit(0)).alias("word")).distinct()
 
 
-@query()
+HITS = "SELECT count(*) FILTER (first <= {k}) AS hits, count(*) AS cases, round(count(*) FILTER (first <= {k}) / count(*), 5) AS accuracy FROM (SELECT k, min(rank) AS first FROM (SELECT gold.k, rank FROM gold LEFT JOIN {b} b ON b.k = gold.k AND b.word = gold.word) GROUP BY k)"
+
+
+@query(f"WITH {FIRST_TEN} " + HITS.format(k=10, b="ten"))
 def topk_accuracy(spark, d):
     return metrics.topk_accuracy(predicted(spark, d), gold(spark, d), 10)
 
 
-@query()
+@query(f"WITH {FIRST_TEN} " + HITS.format(k=BOUNDARY, b="bm"))
 def hit_in_beam(spark, d):
     own = gold(spark, d)
-    whole = candidates.beam(candidates.scores(found(spark, d)), BOUNDARY)
+    whole = requested(spark, d, lambda r: candidates.beams(r, *models(spark, d), BOUNDARY, SIZE))
     return metrics.topk_accuracy(metrics.gold_ranked(whole, own), own, 1)
 
 
-@query()
+@query(f"WITH {FIRST_TEN} SELECT " + ", ".join(f"round(avg(CASE WHEN first <= {k} THEN 100.0 ELSE 0.0 END)::DOUBLE, 6) AS top_{k}" for k in (1, 3, 5, 10)) + " FROM (SELECT k, min(rank) AS first FROM (SELECT gold.k, rank FROM gold LEFT JOIN ten b ON b.k = gold.k AND b.word = gold.word) GROUP BY k)")
 def topk_text_metrics(spark, d):
-    return metrics.text_topk(predicted(spark, d), gold(spark, d))
+    own = metrics.text_topk(predicted(spark, d), gold(spark, d))
+    return own.select(*[F.round(c, 6).alias(c) for c in own.columns])
 
 
 @query(
@@ -415,6 +458,25 @@ def train_test_split(spark, d):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+#: A number for an id that any engine finds: the first seven hexadecimal digits of its MD5.
+NUMBER = "('0x' || substr(md5(id), 1, 7))::BIGINT"
+
+
+@query(
+    f"WITH b AS (SELECT id, min(training_text) AS t, bool_or(coalesce(contains(title, '{DOMAIN}'), false)) AS dom FROM ab WHERE language = 'grc' AND id IS NOT NULL AND training_text IS NOT NULL GROUP BY id), "
+    f"r AS (SELECT id, row_number() OVER (ORDER BY (({NUMBER} + 42) * 2654435761) % 4294967296, id) <= ceil(count(*) OVER () * 0.2) AS dev FROM b WHERE dom), u AS (SELECT b.*, coalesce(dev, false) AS dev FROM b LEFT JOIN r USING (id)), "
+    f"greek AS (SELECT id AS k, t AS x FROM u WHERE NOT dev), {O.plain('p', 'greek')}, {O.sentences('st', 'p')}, {O.grams('g', 'st', SIZE, [1, 2, 3])}, w AS (SELECT o, ctx, word, count(*) AS n, count(*) FILTER (dom) AS d FROM g JOIN u ON u.id = g.k GROUP BY ALL), "
+    "e AS (SELECT 'general' AS model, o, n FROM w UNION ALL SELECT 'domain', o, d FROM w WHERE d > 0) SELECT model, o AS \"order\", count(*) AS ngrams, sum(n)::BIGINT AS cnt FROM e GROUP BY ALL UNION ALL SELECT 'dev', 0, count(*), 0 FROM u WHERE dev"
+)
+def train_pipeline(spark, d):
+    ab = text_table(spark, d, "ab").filter("language = 'grc' and id is not null and training_text is not null")
+    flag = F.when(F.coalesce(F.max(F.col("title").contains(DOMAIN)), F.lit(False)), DOMAIN).alias("title")
+    general, domain, dev = pipeline.train(ab.groupBy("id", "language").agg(F.min("training_text").alias("training_text"), flag), DOMAIN, SIZE)
+    sums = [m.groupBy("order").agg(F.count("*").alias("ngrams"), F.sum("cnt").alias("cnt")).select(F.lit(name).alias("model"), "order", "ngrams", "cnt") for name, m in (("general", general), ("domain", domain))]
+    held = dev.agg(F.count("*").alias("ngrams")).select(F.lit("dev").alias("model"), F.lit(0).alias("order"), "ngrams", F.lit(0).cast("long").alias("cnt"))
+    return sums[0].unionByName(sums[1]).unionByName(held)
+
+
 @query("SELECT DISTINCT id FROM ab WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM test_abs) AND split_part(id, '/', 2) NOT IN (SELECT file_id FROM dev_case WHERE file_id IS NOT NULL)")
 def dev_anti_join(spark, d):
     ab = table(spark, d, "ab").select("id", F.get(F.split("id", "/"), F.lit(1)).alias("file_id")).filter("id is not null").distinct()
@@ -434,22 +496,46 @@ def chunk_sentences(spark, d):
     return docs.select("doc_id", F.explode(datasets.chunks(editorial.words(F.col("text")))).alias("c")).select("doc_id", F.array_join("c", " ").alias("chunk"))
 
 
-@query()
+@query(f"WITH {GREEK_SENTENCES} SELECT k, i, len(tokens) AS n, len(list_filter(tokens, lambda t: t = '<UNK>')) AS unknown, round(len(list_filter(tokens, lambda t: t = '<UNK>')) / len(tokens), 9) AS ratio FROM st WHERE len(tokens) > 0")
+def unk_ratio(spark, d):
+    own = sentences_of(greek(spark, d)).filter(F.size("tokens") > 0).select("k", F.col("i").cast("long").alias("i"), F.size("tokens").cast("long").alias("n"), datasets.count_unknown(F.col("tokens")).cast("long").alias("unknown"))
+    return own.withColumn("ratio", F.round(F.col("unknown") / F.col("n"), 9))
+
+
+#: Sentences packed by a fold: o holds the finished chunks, c the open one and u its tokens; a token is a code point.
+FOLD = (
+    "list_reduce(list_transform(ss, lambda s: {'o': []::VARCHAR[], 'c': '', 'u': 0, 't': s}), lambda a, b: CASE "
+    "WHEN length(b.t) > 510 THEN {'o': a.o || (CASE WHEN a.c = '' THEN [] ELSE [a.c] END) || [left(b.t, 510)], 'c': '', 'u': 0, 't': ''} "
+    "WHEN a.u + length(b.t) > 510 THEN {'o': a.o || [a.c], 'c': b.t, 'u': length(b.t)::INTEGER, 't': ''} "
+    "ELSE {'o': a.o, 'c': CASE WHEN a.c = '' THEN b.t ELSE a.c || ' ' || b.t END, 'u': (a.u + length(b.t))::INTEGER, 't': ''} END, {'o': []::VARCHAR[], 'c': '', 'u': 0, 't': ''})"
+)
+
+
+@query(
+    f"WITH {GREEK_SENTENCES}, own AS (SELECT k, list(array_to_string(tokens, ' ') ORDER BY i) AS ss FROM st WHERE len(tokens) > 0 GROUP BY k), f AS (SELECT k, {FOLD} AS f FROM own), "
+    "o AS (SELECT k, f.o || (CASE WHEN f.c = '' THEN [] ELSE [f.c] END) AS o FROM f) SELECT k, unnest(range(0, len(o))) AS chunk_no, unnest(o) AS text FROM o"
+)
 def chunk_for_bert(spark, d):
-    own = sentences_of(greek(spark, d)).select("k", "i", F.array_join("tokens", " ").alias("t"))
-    return datasets.packed(own, "k", "i", "t", str.split)
+    own = sentences_of(greek(spark, d)).filter(F.size("tokens") > 0).select("k", "i", F.array_join("tokens", " ").alias("t"))
+    return datasets.packed(own, "k", "i", "t", list, join="".join)
 
 
-@query()
+@query(
+    "WITH docs AS (SELECT doc_id // 1000 AS g, doc_id, text FROM documents WHERE length(text) > 0), l AS (SELECT g, string_agg(text, '' ORDER BY doc_id) AS x FROM docs GROUP BY g), "
+    "p AS (SELECT g, x, unnest(range(0, (length(x) + 127) // 128)) AS piece FROM l) SELECT g AS batch, piece, "
+    "array_to_string(list_transform(string_split(substr(x, piece * 128 + 1, 128), ''), lambda c: unicode(c)) || list_transform(range(0, greatest(0, (piece + 1) * 128 - length(x))), lambda i: 0), ' ') AS ids, least(128, length(x) - piece * 128) AS n FROM p"
+)
 def group_texts(spark, d):
-    docs = text_table(spark, d, "documents").filter("text is not null")
-    ids = docs.select(F.transform(editorial.words(F.col("text")), lambda w: F.length(w)).alias("ids"))
-    return datasets.grouped_ids(ids, "ids")
+    """Code points as token ids, as models over characters take them, a thousand documents at a time."""
+    docs = text_table(spark, d, "documents").filter(F.length("text") > 0).select(F.floor(F.col("doc_id") / 1000).alias("batch"), "doc_id", datasets.code_points(F.col("text")).alias("ids"))
+    own = datasets.grouped_ids(docs, "batch", "doc_id", "ids")
+    return own.select("batch", F.col("piece").cast("long").alias("piece"), F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n"))
 
 
-@query()
+@query(f"WITH {O.DEV_CASES} SELECT x, y, gap_length, corpus_id, file_id FROM dc")
 def dev_cases(spark, d):
-    return datasets.dev_cases(table(spark, d, "ab").filter("language = 'grc' and training_text is not null"))
+    ab = table(spark, d, "ab").filter("language = 'grc' and training_text is not null")
+    return datasets.dev_cases(ab).withColumn("gap_length", F.col("gap_length").cast("long"))
 
 
 @query("SELECT corpus_id, count(*) AS n, avg(gap_length) AS mean_gap FROM (SELECT DISTINCT case_id, corpus_id, gap_length FROM dev_case) WHERE gap_length BETWEEN 1 AND 5 GROUP BY corpus_id")
@@ -511,14 +597,20 @@ def model_duplicate_check(spark, d):
     return a.join(t, same, "left_semi").groupBy("title", "material", "language").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    "WITH ab_ AS (SELECT corpus_id, id, min(training_text) AS t FROM ab WHERE id IS NOT NULL GROUP BY ALL), "
+    "j AS (SELECT corpus_id, id, strlen('{' || CASE WHEN corpus_id IS NULL THEN '' ELSE '\"corpus_id\":' || to_json(corpus_id)::VARCHAR || ',' END || '\"id\":' || to_json(id)::VARCHAR || CASE WHEN t IS NULL THEN '' ELSE ',\"training_text\":' || to_json(t)::VARCHAR END || '}') AS n FROM ab_), "
+    "l AS (SELECT corpus_id, list(n ORDER BY id) AS ns FROM j GROUP BY corpus_id), "
+    "f AS (SELECT corpus_id, list_reduce(list_transform(ns, lambda n: {'u': n::BIGINT, 'k': [1::BIGINT]}), lambda a, b: CASE WHEN a.u + b.u > 104857 THEN {'u': b.u, 'k': a.k || [1::BIGINT]} ELSE {'u': a.u + b.u, 'k': a.k[:-2] || [a.k[-1] + 1]} END).k AS k FROM l) "
+    "SELECT corpus_id, unnest(range(0, len(k)))::INTEGER AS file_no, unnest(k) AS n FROM f"
+)
 def file_numbers(spark, d):
     ab = table(spark, d, "ab").filter("id is not null").groupBy("corpus_id", "id").agg(F.min("training_text").alias("training_text"))
     return corpus.file_numbers(ab, 0.1).groupBy("corpus_id", "file_no").agg(F.count("*").alias("n"))
 
 
 @query()
-def masked_beam_toy(spark, d):
+def letter_fillings(spark, d):
     """Fillings of the cases' gaps by a model of letters: how often one letter follows another in the training texts."""
     plain = texts(spark, d).select(F.lower(normalize.strip_diacritics(F.col("x"))).alias("x"))
     count = lambda pattern: plain.select(F.explode(F.regexp_extract_all("x", F.lit(pattern), 1)).alias("c")).groupBy("c").agg(F.count("*").alias("n"))

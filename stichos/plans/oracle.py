@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.normalize import PUNCTUATION, diacritics
+import unicodedata
+
+#: Punctuation that does not count, as SURVEY L7 lists it.
+MARKS = ".·,;:!?'⁑"
 
 #: White space in RE2, as in functions.editorial.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -78,17 +81,29 @@ def mended(t: str) -> str:
 
 
 def stripped(x: str) -> str:
-    src, dst = diacritics()
-    return f"translate({x}, {quoted(src)}, {quoted(dst)})"
+    """x without combining marks; letters that decompose become their base. Written for itself, so that a wrong table elsewhere shows."""
+    plain, bare_marks = {}, ""
+    for ch in map(chr, (*range(0xC0, 0xAC00), *range(0xE000, 0x10000))):
+        left = [c for c in unicodedata.normalize("NFD", ch) if unicodedata.combining(c) == 0]
+        if not left:
+            bare_marks += ch
+        elif left != [ch] and len(left) == 1:
+            plain[ch] = left[0]
+    return f"translate({x}, {quoted(''.join(plain) + bare_marks)}, {quoted(''.join(plain.values()))})"
+
+
+def upper(x: str) -> str:
+    """x in capitals; DuckDB has one for the sharp s, other engines write it as two."""
+    return f"upper(replace({x}, 'ß', 'SS'))"
 
 
 def bare(x: str) -> str:
     """x without punctuation."""
-    return f"translate({x}, {quoted(PUNCTUATION)}, '')"
+    return f"translate({x}, {quoted(MARKS)}, '')"
 
 
-def plain(name: str, source: str) -> str:
-    """Common table expressions up to {name}(k, x): the texts of a relation (k, x) transpiled, in upper case."""
+def plain(name: str, source: str, letters: bool = True) -> str:
+    """Common table expressions up to {name}(k, x): the texts of a relation (k, x) transpiled, in upper case without accents if letters."""
     out, last = [], source
     for i, rule in enumerate([*RULES.values(), dashes()]):
         out.append(f"{name}_{i} AS (SELECT k, {rule} AS x FROM {last})")
@@ -97,7 +112,8 @@ def plain(name: str, source: str) -> str:
     out.append(f"{name}_e AS (SELECT k, u.t AS t, u.i AS i FROM {name}_t, LATERAL (SELECT unnest(w) AS t, generate_subscripts(w, 1) AS i) u)")
     out.append(f"{name}_m AS (SELECT k, i, CASE WHEN {has_gap('t')} THEN {mended('t')} ELSE t END AS t FROM {name}_e)")
     joined = f"SELECT k, string_agg(t, ' ' ORDER BY i) AS x FROM {name}_m GROUP BY k"
-    out.append(f"{name} AS (SELECT s.k, CASE WHEN s.x IS NULL THEN NULL ELSE upper({stripped('coalesce(j.x, ' + quoted('') + ')')}) END AS x FROM {source} s LEFT JOIN ({joined}) j USING (k))")
+    text = upper(stripped("coalesce(j.x, '')")) if letters else "coalesce(j.x, '')"
+    out.append(f"{name} AS (SELECT s.k, CASE WHEN s.x IS NULL THEN NULL ELSE {text} END AS x FROM {source} s LEFT JOIN ({joined}) j USING (k))")
     return ", ".join(out)
 
 
@@ -115,3 +131,41 @@ def grams(name: str, source: str, n: int, orders: list[int]) -> str:
     pad = lambda sign: "[" + ", ".join([quoted(sign)] * (n - 1)) + "]"
     parts = [f"SELECT k, i, {o} AS o, unnest(list_transform(range(1, len(p) - {o} + 2), lambda j: {{'c': array_to_string(p[j:j + {o} - 2], ' '), 'w': p[j + {o} - 1]}})) AS g FROM {name}_p" for o in orders]
     return f"{name}_p AS (SELECT k, i, {pad('<s>')} || tokens || {pad('</s>')} AS p FROM {source}), {name} AS (SELECT k, i, o, g.c AS ctx, g.w AS word FROM ({' UNION ALL '.join(parts)}))"
+
+
+#: Single bytes that stand for the letters of two strings.
+BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"
+
+
+def distance(a: str, b: str) -> str:
+    """Edit distance in characters: DuckDB counts bytes, so the letters of both are brought to one byte each."""
+    one = lambda x: f"translate({x}, {a} || {b}, '{BYTES}')"
+    return f"(CASE WHEN {b} = '' THEN 0 ELSE levenshtein({one(a)}, {one(b)}) END)"
+
+
+def lowered(x: str) -> str:
+    """x in lower case, with the sigma that ends a word."""
+    return f"regexp_replace(lower({x}), '(\\p{{L}})σ([^\\p{{L}}]|$)', '\\1ς\\2', 'g')"
+
+
+def _widened(texts: str) -> str:
+    """sup(k, i, raw, tokens, gap_len) of a relation each_(k, t): each supplement with the rest of its word, made plain."""
+    s = quoted(SUPPLEMENT)
+    return (
+        f"sp AS (SELECT k, t, regexp_extract_all(t, {s}) AS f, string_split_regex(t, {s}) AS r FROM {texts}), si AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM sp), "
+        "sb AS (SELECT k, i, f[i] AS raw, array_to_string(list_transform(range(1, i + 1), lambda j: r[j] || CASE WHEN j < i THEN f[j] ELSE '' END), '') AS before, "
+        "array_to_string(list_transform(range(i + 1, len(r) + 1), lambda j: r[j] || CASE WHEN j <= len(f) THEN f[j] ELSE '' END), '') AS after FROM si), "
+        f"sw AS (SELECT k, i, raw, regexp_extract(before, '[^ \n]*$') AS p, regexp_extract(after, '^[^ \n]*') AS q, regexp_matches(raw[2], '\\s') AS o, regexp_matches(raw[-2], '\\s') AS c FROM sb), "
+        "s0 AS (SELECT {'k': k, 'i': i} AS k, CASE WHEN o AND c THEN substr(raw, 2, length(raw) - 3) WHEN c THEN p || left(raw, length(raw) - 1) WHEN o THEN raw || q ELSE p || raw || q END AS x FROM sw), "
+        f"{plain('s1', 's0')}, sup AS (SELECT sw.k, sw.i, raw, {words(bare('x'))} AS tokens, length(regexp_replace(raw, '\\P{{L}}', '', 'g')) AS letters FROM sw JOIN s1 ON s1.k.k = sw.k AND s1.k.i = sw.i)"
+    )
+
+
+SUPPLEMENTS = f"each_ AS (SELECT id, id AS k, min(training_text) AS t, arg_min(test_cases, training_text) AS c FROM ab WHERE language = 'grc' AND training_text IS NOT NULL GROUP BY id), {_widened('each_')}"
+#: A case per supplement of one word: the others stay as they are, this one becomes dots in the plain text.
+DEV_CASES = (
+    "each_ AS (SELECT row_number() OVER () AS k, corpus_id, file_id, training_text AS t FROM ab WHERE language = 'grc' AND training_text IS NOT NULL), "
+    f"{_widened('each_')}, one AS (SELECT * FROM sup WHERE len(tokens) = 1 AND letters >= 1), "
+    "d0 AS (SELECT {'k': one.k, 'i': one.i} AS k, before || 'QXZGAPZXQ' || after AS x FROM one JOIN sb ON sb.k = one.k AND sb.i = one.i), "
+    f"{plain('d1', 'd0', letters=False)}, dc AS (SELECT replace(x, 'QXZGAPZXQ', '[' || repeat('.', letters) || ']') AS x, translate(raw, '[]', '') AS y, letters AS gap_length, corpus_id, file_id FROM one JOIN d1 ON d1.k.k = one.k AND d1.k.i = one.i JOIN each_ ON each_.k = one.k)"
+)

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,8 @@ from pyspark.sql import functions as F
 from .functions.lacuna import context, gap_length, head, single_supplement, splice, tail
 from .operators import candidates, ngram
 from .schemas import MODEL
-from .settings import GAMMA, GAMMAS, LM_TYPE, N, check_training
+from .settings import CHECKPOINT_NAMES, GAMMA, LM_TYPE, LM_TYPES, N, check_training
+from .storage import Folder
 
 #: Bounds of a request.
 MOST_CONTEXT, TOKEN_RANGE, COUNTS = 512, range(1, 11), (1, 5, 10, 20)
@@ -36,24 +35,21 @@ class ModelAlreadyExistsError(StichosError):
 
 
 class Registry:
-    """Models below a folder: a JSON file of settings each, and Parquet tables of counts of n-gram models."""
+    """Models below a folder of any file system: a JSON file of settings each, and Parquet tables of counts of n-gram models."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.folder = spark, Folder(spark, folder)
 
     def table(self) -> DataFrame:
         """All models, in the order of their ids."""
-        rows = [json.load(open(os.path.join(self.folder, f), encoding="utf-8")) for f in sorted(os.listdir(self.folder)) if f.endswith(".json")]  # noqa: SIM115
+        rows = [json.loads(self.folder.read(f)) for f in self.folder.names(".json")]
         names = [c.split(" ")[0] for c in MODEL.split(", ")]
         return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], MODEL)
 
     def get(self, model_id: str) -> dict:
-        path = os.path.join(self.folder, f"{model_id}.json")
-        if not os.path.exists(path):
+        if not self.folder.exists(f"{model_id}.json"):
             raise ModelNotFoundError(model_id)
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(self.folder.read(f"{model_id}.json"))
 
     def exists(self, settings: dict) -> bool:
         """Whether a model with the same settings is there, nulls being equal."""
@@ -63,8 +59,7 @@ class Registry:
         return not m.join(asked, same, "left_semi").isEmpty()
 
     def _save(self, settings: dict) -> str:
-        with open(os.path.join(self.folder, f"{settings['id']}.json"), "w", encoding="utf-8") as f:
-            json.dump(settings, f, ensure_ascii=False)
+        self.folder.write(f"{settings['id']}.json", json.dumps(settings, ensure_ascii=False))
         return settings["id"]
 
     def add_ngrams(self, general: DataFrame, domain: DataFrame, lm_type: str = LM_TYPE, gamma: float | None = GAMMA, n: int = N, corpus_names: list[str] | None = None, min_freq: int = 1) -> str:
@@ -76,7 +71,7 @@ class Registry:
         settings |= {"id": uuid.uuid4().hex}
         for part, sentences in (("GLOBAL", general), ("DOMAIN", domain)):
             name = f"{settings['id']}_{part.lower()}"
-            ngram.train(sentences, n, min_freq=min_freq).write.mode("overwrite").parquet(os.path.join(self.folder, name))
+            ngram.train(sentences, n, min_freq=min_freq).write.mode("overwrite").parquet(self.folder.of(name))
             settings[f"{part}_MODEL_FILE_ID"] = name
         return self._save(settings)
 
@@ -87,24 +82,34 @@ class Registry:
         return self._save(settings | {"id": uuid.uuid4().hex})
 
     def init(self, general: DataFrame, domain: DataFrame, n: int = N) -> list[str]:
-        """One model by MLE and one for each gamma; nothing is trained if one of them is there."""
-        wanted = [("MLE", None), *(("LIDSTONE", g) for g in GAMMAS)]
-        for lm_type, gamma in wanted:
-            if self.exists({"TYPE": "Ngrams", "LM_SCORE": lm_type, "GAMMA": gamma, "N": n}):
-                raise ModelAlreadyExistsError(f"{lm_type} {gamma}")
-        return [self.add_ngrams(general, domain, lm_type, gamma, n) for lm_type, gamma in wanted]
+        """The default models: one for each kind of score, with the default gamma, and one for each masked checkpoint. Nothing is made if one is there.
+
+        The counts are the same for all kinds of score, so they are taken once.
+        """
+        wanted = [{"TYPE": "Ngrams", "LM_SCORE": t, "GAMMA": GAMMA if t == "LIDSTONE" else None, "N": n} for t in LM_TYPES]
+        wanted += [{"TYPE": "BERT", "CHECKPOINT": c} for c in CHECKPOINT_NAMES]
+        for settings in wanted:
+            if self.exists(settings):
+                raise ModelAlreadyExistsError(str(settings))
+        first = self.add_ngrams(general, domain, LM_TYPES[0], GAMMA, n)
+        files = {k: v for k, v in self.get(first).items() if k.endswith("_FILE_ID")}
+        other = [self._save(s | files | {"id": uuid.uuid4().hex}) for s in wanted[1:] if s["TYPE"] == "Ngrams"]
+        return [first, *other, *(self.add_masked(c) for c in CHECKPOINT_NAMES)]
 
     def delete(self, model_id: str) -> None:
+        """Remove a model, and its counts unless another model has the same."""
         settings = self.get(model_id)
+        self.folder.delete(f"{model_id}.json")
+        used = {v for f in self.folder.names(".json") for k, v in json.loads(self.folder.read(f)).items() if k.endswith("_FILE_ID")}
         for part in ("GLOBAL", "DOMAIN"):
-            if name := settings.get(f"{part}_MODEL_FILE_ID"):
-                shutil.rmtree(os.path.join(self.folder, name))
-        os.remove(os.path.join(self.folder, f"{model_id}.json"))
+            name = settings.get(f"{part}_MODEL_FILE_ID")
+            if name and name not in used:
+                self.folder.delete(name)
 
     def counts(self, model_id: str) -> tuple[dict, DataFrame, DataFrame]:
         """(settings, counts of all texts, counts of the domain)."""
         s = self.get(model_id)
-        return s, *(self.spark.read.parquet(os.path.join(self.folder, s[f"{p}_MODEL_FILE_ID"])) for p in ("GLOBAL", "DOMAIN"))
+        return s, *(self.spark.read.parquet(self.folder.of(s[f"{p}_MODEL_FILE_ID"])) for p in ("GLOBAL", "DOMAIN"))
 
     def predict(self, model_id: str, cases: DataFrame, k: int = 10) -> DataFrame:
         """(case_id, rank, sentence, token_str, score) for cases(case_id, text), a gap `[...]` each. Texts without exactly one gap have no row."""
@@ -114,14 +119,23 @@ class Registry:
         out = found.join(cases, "case_id").withColumn("token_str", F.lower("word"))
         return out.select("case_id", "rank", splice(F.col("text"), F.col("token_str")).alias("sentence"), "token_str", F.col("probability").alias("score"))
 
+    def predict_words(self, model_id: str, cases: DataFrame, num_tokens: int, k: int = 10) -> DataFrame:
+        """As predict, with fillings of num_tokens words each, by local beam search in the general model; score is their probability."""
+        settings, general, _ = self.counts(model_id)
+        own = asked(cases, settings["N"]).select("case_id", "context")
+        found = candidates.word_sequences(own, general, num_tokens, candidates.beam_size(k), settings["N"]).filter(F.col("rank") <= k)
+        out = found.join(cases, "case_id").withColumn("token_str", F.lower(F.array_join("words", " ")))
+        return out.select("case_id", "rank", splice(F.col("text"), F.col("token_str")).alias("sentence"), "token_str", F.pow(F.lit(2.0), -F.col("nll")).alias("score"))
+
     def suggest(self, model_id: str, text: str, k: int = 10, num_tokens: int = 1) -> list[dict]:
-        """The k best fillings of one text, checked as a request."""
+        """The k best fillings of one text, of so many words, checked as a request."""
         if not text or len(text) > MOST_CONTEXT or text.count("[") != 1 or gap_missing(text):
             raise InvalidContextError(text)
         if k not in COUNTS or num_tokens not in TOKEN_RANGE:
             raise ValueError(f"counts are {COUNTS}, tokens {TOKEN_RANGE}")
         cases = self.spark.createDataFrame([(1, text)], "case_id int, text string")
-        return [r.asDict() for r in self.predict(model_id, cases, k).orderBy("rank").drop("case_id", "rank").collect()]
+        found = self.predict(model_id, cases, k) if num_tokens == 1 else self.predict_words(model_id, cases, num_tokens, k)
+        return [r.asDict() for r in found.orderBy("rank").drop("case_id", "rank").collect()]
 
 
 def gap_missing(text: str) -> bool:

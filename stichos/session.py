@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +27,26 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
     )
 
 
-def reachable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where it lies, whatever the working folder is."""
-    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
-    own = env.get("PYTHONPATH", "")
-    if root not in own.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(p for p in (root, own) if p)
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of a session this package, once, where it is not installed: as an archive that Spark sends to every executor."""
+    sc = spark.sparkContext
+    own = os.path.dirname(os.path.abspath(__file__))
+    if "site-packages" in own.split(os.sep) or getattr(sc, "_stichos", False):
+        return
+    archive = os.path.join(sc._temp_dir, "stichos.zip")  # Spark's own folder on the driver, from which it serves files
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(own):
+            for f in sorted(files):
+                if f.endswith((".py", ".json")):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(own)))
+    sc.addPyFile(archive)
+    sc._stichos = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
-    reachable(spark)
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -46,9 +59,16 @@ def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, so that a lost executor costs no recomputation of earlier stages.
 
-    The folder is spark.checkpoint.dir of the session; only where the cluster names none (local tests) a temporary one is set.
+    The folder is spark.checkpoint.dir of the session, which all executors share. A local session without one gets a temporary folder
+    that goes with the process; any other session must name one.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stichos-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="stichos-")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

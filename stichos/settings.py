@@ -17,7 +17,7 @@ SPECIALS = (BOS, EOS, UNK)
 LANGUAGE = "grc"
 DOMAIN_TITLE = "P.Herc."
 FILE_LIMIT_MB = 50
-MASKED_UNK, CHUNK_WORDS, MAX_SUBWORDS, MIN_SENTENCE_WORDS, MAX_UNK_RATIO = "[UNK]", 50, 510, 10, 0.1
+MASKED_UNK, CHUNK_WORDS, MAX_SUBWORDS, MAX_INPUT, MIN_SENTENCE_WORDS, MAX_UNK_RATIO = "[UNK]", 50, 510, 512, 10, 0.1
 
 #: How each masked model wants its text (without punctuation, case).
 CHECKPOINTS = {
@@ -25,6 +25,8 @@ CHECKPOINTS = {
     "GreBerta": {"punctuation": True, "case": "upper"},
     "Logion": {"punctuation": True, "case": "lower"},
 }
+#: The masked models of a new registry, by name.
+CHECKPOINT_NAMES = tuple(CHECKPOINTS)
 
 
 @dataclass(frozen=True)
@@ -33,12 +35,10 @@ class Compat:
 
     next_word_tail: a gap before a space takes the following word as its tail.
     upper_tokens: tokens are put in upper case even where case folding is off.
-    gold_ranking: predictions are ranked by their distance to the right answer before the first k count.
     """
 
     next_word_tail: bool = False
     upper_tokens: bool = False
-    gold_ranking: bool = False
 
 
 def checkpoint_config(name: str) -> dict:

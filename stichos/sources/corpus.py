@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,17 +10,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lacuna import SUPPLEMENT, mask_cases
+from ..operators.splits import budget_sample, usable
 from ..schemas import BLOCK, EVALUATION
-from ..settings import FILE_LIMIT_MB
+from ..settings import FILE_LIMIT_MB, LANGUAGE, RANDOM_SEED
+from ..session import cut
+from ..storage import Folder
+
 
 def read_corpus(spark: SparkSession, folder: str, test_file: str = "test_abs.json") -> tuple[DataFrame, DataFrame]:
     """(blocks, bad): all JSON arrays of a folder but the test set; bad has the names of files that can't be read."""
-    raw = spark.read.option("wholetext", True).text(os.path.join(folder, "*.json"))
+    raw = spark.read.option("wholetext", True).text(f"{folder.rstrip('/')}/*.json")
     raw = raw.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.from_json("value", f"array<struct<{_nested(BLOCK)}>>").alias("rows"))
     raw = raw.filter(F.col("file") != test_file)
     return raw.select(F.explode("rows").alias("r")).select("r.*"), raw.filter(F.col("rows").isNull()).select("file")
 
 
+def load(spark: SparkSession, folder: str, corpora: tuple[str, ...] | None = None, budget: float | None = None, language: str = LANGUAGE, seed: int = RANDOM_SEED) -> DataFrame:
+    """The training blocks of a folder: those of a language, of the given corpora or of none, and so many percent of those with an id, chosen by its hash."""
+    own = usable(read_corpus(spark, folder)[0], corpora, language)
+    return own if budget is None else budget_sample(own.filter(F.col("id").isNotNull()), "id", budget, seed)
+
+
 def _nested(schema: str) -> str:
     """The columns of a schema as fields of a struct."""
     return T.StructType.fromDDL(schema).simpleString()[len("struct<") : -1]
@@ -40,9 +48,9 @@ def write_lines(blocks: DataFrame, path: str) -> None:
 def file_numbers(blocks: DataFrame, limit_mb: float = FILE_LIMIT_MB, key: str = "corpus_id", order: str = "id") -> DataFrame:
     """(key, order, file_no): files of each corpus cut before the row that would pass the limit, in the order of `order`.
 
-    The fold over sizes is exact; only key, order and size of each row enter it, not the texts.
+    Rows of one key and order stay together. The fold over sizes is exact; only key, order and size of each row enter it, not the texts.
     """
-    sizes = blocks.select(F.col(key).alias("k"), F.col(order).alias("o"), F.octet_length(F.to_json(F.struct(*blocks.columns))).alias("n"))
+    sizes = blocks.groupBy(F.col(key).alias("k"), F.col(order).alias("o")).agg(F.sum(F.octet_length(F.to_json(F.struct(*blocks.columns))).cast("long")).alias("n"))
     limit = int(limit_mb * 1024 * 1024)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,18 +71,24 @@ def file_numbers(blocks: DataFrame, limit_mb: float = FILE_LIMIT_MB, key: str =
 
 
 def write_arrays(blocks: DataFrame, folder: str, prefix: str = "", limit_mb: float = FILE_LIMIT_MB, key: str = "corpus_id", order: str = "id") -> list[str]:
-    """JSON arrays {prefix}{corpus}_{number}.json of limited size, written by the executors to a shared folder; their names."""
-    os.makedirs(folder, exist_ok=True)
-    numbered = blocks.join(file_numbers(blocks, limit_mb, key, order), [key, order])
-    rows = numbered.select(F.col(key).alias("k"), "file_no", F.col(order).alias("o"), F.to_json(F.struct(*blocks.columns)).alias("j"))
-
-    def write(group: pd.DataFrame) -> pd.DataFrame:
-        name = f"{prefix}{group['k'].iloc[0]}_{group['file_no'].iloc[0]}.json"
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-            json.dump([json.loads(j) for j in group.sort_values("o")["j"]], f, ensure_ascii=False)
-        return pd.DataFrame({"name": [name]})
+    """JSON arrays {prefix}{corpus}_{number}.json of limited size in a folder of any file system; their names.
 
-    return sorted(r.name for r in rows.groupBy("k", "file_no").applyInPandas(write, "name string").collect())
+    Spark's own writer commits each array once, however often its task runs; then the files get their names.
+    """
+    spark, place = blocks.sparkSession, Folder(blocks.sparkSession, folder)
+    numbers = file_numbers(blocks, limit_mb, key, order).select(F.col(key).alias("_k"), F.col(order).alias("_o"), "file_no")
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))
+    rows = blocks.withColumn("_j", F.to_json(F.struct(*blocks.columns))).join(numbers, same)
+    each = rows.groupBy("_k", "file_no").agg(F.array_sort(F.collect_list(F.struct("_o", "_j"))).alias("r"))
+    arrays = cut(each.select(F.concat(F.lit(prefix), F.coalesce("_k", F.lit("unknown")), F.lit("_"), F.col("file_no").cast("string"), F.lit(".json")).alias("name"), F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["_j"]), ", "), F.lit("]")).alias("value")))
+    named = arrays.withColumn("_f", F.abs(F.xxhash64("name")).cast("string"))
+    named.select("_f", "value").write.mode("overwrite").partitionBy("_f").text(place.of("_arrays"))
+    names = {r["_f"]: r["name"] for r in named.select("_f", "name").collect()}
+    for f, name in names.items():
+        for part in Folder(spark, place.of(f"_arrays/_f={f}")).names(".txt"):
+            place.move(f"_arrays/_f={f}/{part}", name)
+    place.delete("_arrays")
+    return sorted(names.values())
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
@@ -107,5 +121,11 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def latest(rows: DataFrame, key: str, time: str) -> DataFrame:
-    """The last row of each key by time: repeated exports leave one."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time)))).filter("_r = 1").drop("_r")
+    """The last row of each key by time, of those at one time the first by their other columns: repeated exports leave one."""
+    order = [F.desc(time), *[F.to_json(F.struct(c)) for c in rows.columns if c not in (key, time)]]
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def write_errors(errors: DataFrame, path: str) -> None:
+    """The error log: one JSON object a line."""
+    errors.write.mode("append").json(path)

@@ -59,6 +59,7 @@ class Editions:
 
     def __init__(self) -> None:
         self.errors: list[str] = []
+        self.supplied_depth = 0
         self.handlers: dict[str, Callable[[ET.Element], str]] = dict.fromkeys(KEPT, self.inner) | dict.fromkeys(DROPPED, lambda e: "")
         self.handlers |= {
             "app": lambda e: self.choose(e, ALTERNATIVES) if e.get("type") == "alternative" else "",
@@ -83,11 +84,15 @@ class Editions:
         return escape(element.text or "") + "".join(self.one(c) + escape(c.tail or "") for c in element)
 
     def choose(self, element: ET.Element, names: tuple[str, ...]) -> str:
-        found = next((c for c in element if local(c) in names), None)
-        if found is None:
+        """The first of the children to choose from; within supplied text all of them, as alternatives."""
+        found = [c for c in element if local(c) in names]
+        if self.supplied_depth:
+            texts = [self.one(c) for c in found]
+            return texts[0] if len(texts) == 1 else "".join(f"<alt>{t}</alt>" for t in texts or [""])
+        if not found:
             self.errors.append(f"nothing to choose in {local(element)}")
             return ""
-        return self.one(found)
+        return self.one(found[0])
 
     def gap(self, element: ET.Element) -> str:
         quantity = element.get("quantity", "")
@@ -99,11 +104,17 @@ class Editions:
         return "." * int(quantity)
 
     def supplied(self, element: ET.Element) -> str:
-        return bracketed(self.inner(element)) if element.get("reason") in ("lost", "illegible") else ""
+        if element.get("reason") not in ("lost", "illegible"):
+            return ""
+        self.supplied_depth += 1
+        text = self.inner(element)
+        self.supplied_depth -= 1
+        return bracketed(text)
 
     def convert(self, element: ET.Element) -> str:
-        """Training text of a block: without empty lines and lines of dashes, without dots at its ends."""
-        lines = [x for x in self.one(element).split("\n") if x and not x.isspace() and not x.startswith("-- ")]
+        """Training text of a block: without empty lines and lines of dashes, without dots at its ends, the first of alternatives."""
+        text = re.sub(r"(?s)<alt>(.*?)</alt>(?:<alt>.*?</alt>)*", r"\1", self.one(element))
+        lines = [x for x in text.split("\n") if x and not x.isspace() and not x.startswith("-- ")]
         return re.sub(r"\[\s*\]", "", "\n".join(lines).strip("."))
 
 
@@ -190,18 +201,61 @@ def paragraphs(path: str, root: ET.Element) -> Iterator[dict]:
             yield common | {"block_index": n, "training_text": text, "error": None}
 
 
+#: A piece of markup; and an attribute.
+MARKUP = re.compile(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![^>]*>|<(?P<end>/?)(?P<name>[A-Za-z_][\w.-]*(?::[\w.-]+)?)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.DOTALL)
+ATTRIBUTE = re.compile(r"([A-Za-z_][\w.-]*(?::[\w.-]+)?)\s*=\s*(\"[^\"<]*\"|'[^'<]*')")
+
+
+def mended(content: bytes) -> str:
+    """Markup made well-formed: characters and signs that may not stand there escaped or left out, tags closed in their order, stray ends dropped."""
+    text = re.sub("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", content.decode("utf-8", "replace")).lstrip("\ufeff")
+    plain = lambda t: re.sub(r"&(?!(?:#\d+|#x[0-9a-fA-F]+|amp|lt|gt|quot|apos);)", "&amp;", t)
+    free = lambda t: plain(t).replace("<", "&lt;").replace("]]>", "]]&gt;")
+    out, open_, done, started = [], [], 0, False
+    for m in MARKUP.finditer(text):
+        if open_:
+            out.append(free(text[done : m.start()]))
+        done = m.end()
+        name = m["name"]
+        if name is None:
+            out += [m[0]] if open_ and m[0].startswith(("<!--", "<![CDATA[")) and "--" not in m[0][4:-3] else []
+        elif m["end"]:
+            if name in open_:
+                while open_[-1] != name:
+                    out.append(f"</{open_.pop()}>")
+                out.append(f"</{open_.pop()}>")
+        elif open_ or not started:
+            attributes = {k: v for k, v in ATTRIBUTE.findall(m["rest"])}
+            out.append(f"<{name}" + "".join(f" {k}={plain(v)}" for k, v in attributes.items()) + ("/>" if m["empty"] else ">"))
+            open_ += [] if m["empty"] else [name]
+            started = True
+    if open_:
+        out.append(free(text[done:]))
+    return "".join((*out, *(f"</{name}>" for name in reversed(open_))))
+
+
+def tree(content: bytes) -> tuple[ET.Element | None, str | None]:
+    """(root, error): the root also of a file that had to be mended, null where nothing helps."""
+    try:
+        return ET.fromstring(content), None
+    except (ET.ParseError, LookupError, ValueError) as e:
+        try:
+            return ET.fromstring(mended(content)), f"mended: {e}"
+        except ET.ParseError:
+            return None, str(e)
+
+
 def parsed(files: DataFrame, walk: Callable[[str, ET.Element], Iterator[dict]]) -> DataFrame:
-    """Rows of RAW for each block of files(path, content); a file that can't be parsed gives one row with its error."""
+    """Rows of RAW for each block of files(path, content); a file that had to be mended, or can't be parsed, gives a row with its error too."""
     names = [c.split(" ")[0] for c in RAW.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows += list(walk(path, ET.fromstring(bytes(content or b""))))
-                except ET.ParseError as e:
-                    rows.append({"path": path, "error": str(e)})
+                root, error = tree(bytes(content or b""))
+                rows += list(walk(path, root)) if root is not None else []
+                rows += [{"path": path, "error": error}] if error else []
             out = pd.DataFrame(rows, columns=names)
             out["block_index"] = out["block_index"].astype("Int32")
             yield out.astype(object).where(out.notna(), None)
@@ -223,6 +277,11 @@ def file_corpus(path: Column) -> Column:
     return F.when(name.rlike(r"^tlg\d+"), "tlg").otherwise(name)
 
 
+def data_root(path: Column) -> Column:
+    """The part of a path before the children of its idp.data folder, with the slash; empty where there is no such folder."""
+    return F.regexp_extract(path, r"^(.*/)?idp\.data/", 0)
+
+
 def hgv_path(hgv: Column, root: Column) -> Column:
     """Place of an HGV metadata file: folders of a thousand numbers below root."""
     number = F.regexp_extract(hgv, r"^\d+", 0)
@@ -236,10 +295,8 @@ def materials(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    found = _text(first(ET.fromstring(bytes(content)), "material"))
-                except ET.ParseError:
-                    continue
+                root, _ = tree(bytes(content or b""))
+                found = _text(first(root, "material")) if root is not None else ""
                 if found:
                     rows.append((os.path.splitext(os.path.basename(path))[0], found.lower()))
             yield pd.DataFrame(rows, columns=["hgv", "hgv_material"])
@@ -250,7 +307,12 @@ def materials(files: DataFrame) -> DataFrame:
 def blocks(raw: DataFrame, corpus: Column, hgv: DataFrame | None = None) -> DataFrame:
     """Anonymous blocks of parsed files: identifiers, material (the block's own, else by HGV number, else unknown) and masked cases."""
     own = raw.filter(F.col("training_text").isNotNull()).withColumn("corpus_id", corpus)
-    own = own.join(hgv, "hgv", "left") if hgv is not None else own.withColumn("hgv_material", F.lit(None).cast("string"))
+    none = F.lit(None).cast("string")
+    if hgv is None:
+        own = own.withColumn("hgv_material", none)
+    else:  # only blocks that need a material and have a number are joined
+        asks = F.coalesce(F.col("hgv").isNotNull() & F.col("material").isNull(), F.lit(False))
+        own = own.filter(asks).join(hgv, "hgv", "left").unionByName(own.filter(~asks).withColumn("hgv_material", none))
     id_ = F.concat_ws("/", "corpus_id", "file_id", F.col("block_index").cast("string"))
     cases = F.transform(mask_cases(F.col("training_text")), lambda c: F.struct(c["case_index"].alias("case_index"), F.concat_ws("/", F.col("id"), c["case_index"].cast("string")).alias("id"), c["test_case"].alias("test_case")))
     own = own.withColumn("material", F.coalesce("material", "hgv_material", F.lit("unknown"))).withColumn("id", id_).withColumn("test_cases", cases)

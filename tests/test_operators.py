@@ -114,7 +114,7 @@ def test_gold_word_far_down_in_the_beam(spark, monkeypatch):
     counts = spark.createDataFrame([(3, "x\x01y", chr(65 + i) * 3, 1) for i in range(20)], "order int, ctx string, word string, cnt long")
     cases = spark.createDataFrame([(1, ["x", "y"], "", "", 3), (2, ["x", "y"], "", "", 3)], "case_id int, context array<string>, head string, tail string, gap_len int")
     own = spark.createDataFrame([(1, "OOO"), (2, "ZZZ")], "case_id int, word string")
-    monkeypatch.setattr(catalogue, "found", lambda spark, d: C.successors(cases, counts, catalogue.BOUNDARY))
+    monkeypatch.setattr(catalogue, "requested", lambda spark, d, answer: C.beam(C.scores(C.successors(cases, counts, catalogue.BOUNDARY)), catalogue.BOUNDARY))
     monkeypatch.setattr(catalogue, "predicted", lambda spark, d: C.beam(C.scores(C.successors(cases, counts, catalogue.BOUNDARY)), 10))
     monkeypatch.setattr(catalogue, "gold", lambda spark, d: own)
     assert tuple(catalogue.QUERIES["topk_accuracy"](spark, "").first()) == (0, 2, 0.0)
@@ -137,8 +137,86 @@ def test_datasets(spark):
     assert [r[0] for r in t.select(datasets.chunks(F.col("t"), 3)).collect()] == [[list("abc"), list("def")], []]
     s = spark.createDataFrame([(1, 1, "a b"), (1, 2, "c"), (1, 3, "d e f g h"), (1, 4, "i")], "k int, o int, t string")
     assert [r.text for r in datasets.packed(s, "k", "o", "t", str.split, 4).orderBy("chunk_no").collect()] == ["a b c", "d e f g", "i"]
-    ids = spark.createDataFrame([([1, 2, 3],), ([4],), (None,)], "i array<int>").coalesce(1)
-    assert [(r.input_ids, r.attention_mask) for r in datasets.grouped_ids(ids, "i", 3).collect()] == [([1, 2, 3], [1, 1, 1]), ([4, 0, 0], [1, 0, 0])]
+    ids = spark.createDataFrame([(0, 2, [4]), (0, 1, [1, 2, 3]), (1, 1, None), (1, 2, []), (2, 1, [7, 8, 9])], "b int, o int, i array<int>").repartition(3)
+    got = datasets.grouped_ids(ids, "b", "o", "i", 3).orderBy("b", "piece").collect()
+    assert [(r.b, r.piece, r.input_ids, r.attention_mask) for r in got] == [(0, 0, [1, 2, 3], [1, 1, 1]), (0, 1, [4, 0, 0], [1, 0, 0]), (2, 0, [7, 8, 9], [1, 1, 1])]
+    points = spark.createDataFrame([("aὕ\U0001f600",), ("",)], "t string")
+    assert [r[0] for r in points.select(datasets.code_points(F.col("t"))).collect()] == [[97, 0x1F55, 0x1F600], []]
+    long_ = spark.createDataFrame([(1, 1, "abcdef"), (1, 2, "gh"), (1, 3, "i")], "k int, o int, t string")
+    assert [r.text for r in datasets.packed(long_, "k", "o", "t", list, 4, "".join).orderBy("chunk_no").collect()] == ["abcd", "gh i"]
+
+
+class Words:
+    """A tokenizer of words, for tests."""
+
+    unk_token = "[UNK]"
+
+    def tokenize(self, text):
+        return text.split()
+
+    def encode(self, text, most):
+        return [len(w) for w in text.split()][:most]
+
+
+def test_prepared(spark):
+    rows = [("Ὁ λόγος " * 6,), ("λόγος " * 5,), (None,), ("",), ("<UNK> " + "α " * 10,), ("<UNK> <UNK> " + "α " * 10,)]
+    texts = spark.createDataFrame(rows, "text string").withColumn("t", F.lit("clash"))
+    got = sorted(tuple(map(tuple, r)) for r in datasets.prepared(texts, "Logion", Words, most=11).collect())
+    assert got == [((1, 5) * 5 + (1,), (1,) * 11), ((5,) + (1,) * 10, (1,) * 11)]
+    assert datasets.prepared(texts.limit(0), "GreBerta", Words).collect() == []
+    with pytest.raises(ValueError, match="checkpoint"):
+        datasets.prepared(texts, "other", Words)
+
+
+def test_id_topk(spark):
+    gold = spark.createDataFrame([(1, [5, 6]), (2, [7]), (3, [0, 7]), (4, [9])], "case_id int, ids array<int>")
+    found = spark.createDataFrame([(1, 0.1, [5, 6]), (1, 0.9, [5]), (2, 0.5, [7]), (2, 0.4, [7]), (3, 0.9, [0, 7])], "case_id int, score double, ids array<int>")
+    assert tuple(round(x, 3) for x in metrics.id_topk(found, gold, 0).first()) == (33.333, 66.667, 66.667, 66.667)
+    assert tuple(metrics.id_topk(found, gold.limit(0), 0).first()) == (0.0,) * 4
+    words = spark.createDataFrame([("ab",), ("cd",), ("x",), (None,)], "t string")
+    assert words.agg(metrics.mode_length(F.col("t"))).first()[0] == 2
+
+
+def test_check_supplement(spark):
+    rows = [(["A"],), ([],), ([""],), (["A", "B"],), (["<UNK>"],), (None,)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    assert [r[0] for r in df.select(C.check_supplement(F.col("t"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_word_sequences(spark):
+    rows = [(2, "x", "a", 3), (2, "x", "b", 1), (2, "a", "c", 1), (2, "b", "d", 4), (2, "c", "</s>", 1), (3, "x\x01a", "e", 1), (3, "x\x01a", "f", 3), (1, "", "a", 9)]
+    model = spark.createDataFrame(rows, "order int, ctx string, word string, cnt long")
+    cases = spark.createDataFrame([(1, ["x"]), (2, ["nichts"])], "case_id int, context array<string>")
+    got = C.word_sequences(cases, model, 2, 10).orderBy("rank").collect()
+    assert [(r.case_id, r.words, round(2**-r.nll, 6)) for r in got] == [(1, ["a", "f"], 0.5625), (1, ["b", "d"], 0.25), (1, ["a", "e"], 0.1875)]
+    assert [r.words for r in C.word_sequences(cases, model, 2, 1).collect()] == [["a", "f"]]
+    assert C.word_sequences(cases.limit(0), model, 2, 5).collect() == []
+
+
+def test_hot_contexts_are_divided(spark, monkeypatch):
+    counts = spark.createDataFrame([(3, "x\x01y", f"w{i}", i + 1) for i in range(50)] + [(2, "y", f"v{i}", 1) for i in range(5)], "order int, ctx string, word string, cnt long")
+    cases = spark.createDataFrame([(i, ["x", "y"]) for i in range(30)] + [(99, ["z", "y"])], "case_id int, context array<string>")
+    want = sorted(map(str, C.successors(cases, counts, 10).collect()))
+    monkeypatch.setattr(C, "HOT", 100)
+    assert sorted(map(str, C.successors(cases, counts, 10).collect())) == want
+    assert len(want) == 30 * 50 + 5
+
+
+def test_scored_meets_the_slow_way(spark):
+    m = ngram.train(spark.createDataFrame([("a b a c".split(),), ("b a".split(),)], "tokens array<string>"), 2)
+    asked = spark.createDataFrame([(2, "a", "b"), (2, "a", "zz"), (2, "zz", "a"), (2, "b", "c"), (1, "", "a"), (1, "", "zz")], "order int, ctx string, word string")
+    v = m.filter("order = 1").count() + 1
+    counts = {(r.order, r.ctx, r.word): r.cnt for r in m.collect()}
+    total = {}
+    for (o, c, _), n in counts.items():
+        total[o, c] = total.get((o, c), 0) + n
+    known = lambda x: x if x == "" or (1, "", x) in counts else "<UNK>"
+    for r in ngram.scored(asked, m, "p", "LIDSTONE", 0.1).collect():
+        key = (r.order, known(r.ctx), known(r.word))
+        assert r.p == pytest.approx((counts.get(key, 0) + 0.1) / (total.get(key[:2], 0) + v * 0.1))
+    assert ngram.scored(asked, m, "p", "MLE").count() == 6
+    with pytest.raises(ValueError, match="n must be"):
+        ngram.train(spark.createDataFrame([(["a"],)], "tokens array<string>"), 5)
     b = spark.createDataFrame([("c", "f", "τὸν [πωλοῦ]ντα λόγον [καὶ τὸν] ἄλλον <gap/>[ο]υ")], "corpus_id string, file_id string, training_text string")
     got = [tuple(r) for r in datasets.dev_cases(b).collect()]
     assert ("τὸν [.....]ντα λόγον καὶ τὸν ἄλλον <UNK>", "πωλοῦ", 5, "c", "f") in [(r[0].replace("<UNK>υ", "<UNK>"), *r[1:]) for r in got]
@@ -191,7 +269,7 @@ def test_pivot_and_sampling():
 def test_letters_follow_letters(spark, tmp_path):
     rows = [("a/b/1", "grc", "εεε εεε κακακα", [("a/b/1/1", "κ[.]")])]
     spark.createDataFrame(rows, "id string, language string, training_text string, test_cases array<struct<id: string, test_case: string>>").write.parquet(str(tmp_path / "ab.parquet"))
-    got = catalogue.QUERIES["masked_beam_toy"](spark, str(tmp_path)).orderBy("rank").collect()
+    got = catalogue.QUERIES["letter_fillings"](spark, str(tmp_path)).orderBy("rank").collect()
     assert got[0].token_str == "ακ"
 
 

@@ -6,7 +6,8 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
-from stichos import registry
+from stichos import pipeline, registry, storage
+from stichos.functions import lacuna
 from stichos.sources import corpus, tei
 from stichos.streaming import ingest
 
@@ -178,3 +179,105 @@ def test_stream_counts_late_blocks(spark, tmp_path):
         q = ingest.counts(ingest.blocks(spark, str(src)), 2).writeStream.format("memory").queryName(f"late_{i}").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert {r.word: r.cnt for r in spark.table("late_2").filter("order = 1").collect()}["ΛΟΓΟΝ"] == 2
+
+
+def test_registry_fills_by_several_words(spark, tmp_path):
+    s = spark.createDataFrame([("ΤΟΝ ΛΟΓΟΝ ΚΑΙ".split(),), ("ΤΟΝ ΛΟΓΟΝ ΕΙΠΕΝ".split(),)], "tokens array<string>")
+    r = registry.Registry(spark, str(tmp_path / "models"))
+    m = r.add_ngrams(s, s, "LIDSTONE", 0.1, 2)
+    got = r.suggest(m, "τὸν [..........]", 5, 2)
+    assert [(g["token_str"], g["score"]) for g in got] == [("λογον ειπεν", 0.5), ("λογον και", 0.5)]
+    assert got[0]["sentence"] == "τὸν λογον ειπεν"
+
+
+def test_registry_init(spark, tmp_path):
+    s = spark.createDataFrame([("ΤΟΝ ΛΟΓΟΝ ΚΑΙ".split(),)], "tokens array<string>")
+    r = registry.Registry(spark, f"file://{tmp_path}/models")
+    ids = r.init(s, s, 2)
+    rows = r.table().collect()
+    assert sorted((x.TYPE, x.LM_SCORE, x.CHECKPOINT) for x in rows if x.TYPE == "Ngrams") == [("Ngrams", "LIDSTONE", None), ("Ngrams", "MLE", None)]
+    assert sorted(x.CHECKPOINT for x in rows if x.TYPE == "BERT") == ["GreBerta", "Logion", "aristoBERTo"]
+    with pytest.raises(registry.ModelAlreadyExistsError):
+        r.init(s, s, 2)
+    r.delete(ids[0])
+    assert r.suggest(ids[1], "τὸν λόγο[.]", 5)[0]["token_str"] == "λογον"
+    r.delete(ids[1])
+    assert [n for n in r.folder.names() if not n.endswith(".json")] == []
+
+
+def test_pipeline(spark, tmp_path):
+    blocks = [{"corpus_id": "DCLP" if i % 2 else "other", "id": f"b{i}", "language": "grc", "title": "P.Herc. 1" if i % 4 == 1 else "x", "training_text": f"τὸν λόγον α{chr(945 + i % 20)}."} for i in range(40)]
+    (tmp_path / "a.json").write_text(json.dumps(blocks), "utf-8")
+    (tmp_path / "b.json").write_text(json.dumps([{"corpus_id": "DCLP", "id": "la", "language": "la", "training_text": "et"}]), "utf-8")
+    assert corpus.load(spark, str(tmp_path)).count() == 40
+    assert corpus.load(spark, str(tmp_path), ("DCLP",)).count() == 20
+    assert corpus.load(spark, str(tmp_path), ("DCLP",), 25).count() == 5
+    general, domain, dev = pipeline.parts(corpus.load(spark, str(tmp_path)))
+    assert (general.count(), domain.count(), dev.count()) == (38, 8, 2)
+    assert not {r.id for r in dev.collect()} & {r.id for r in general.unionByName(domain).collect()}
+    r = registry.Registry(spark, str(tmp_path / "models"))
+    model, held = pipeline.train_folder(spark, str(tmp_path), r, ("DCLP",), None, "MLE", None, 2)
+    assert held.count() == 2
+    assert r.get(model)["CORPUS_NAMES"] == ["DCLP"]
+    counts = {(x.word): x.cnt for x in r.counts(model)[1].filter("order = 1").collect()}
+    assert counts["ΛΟΓΟΝ"] == 18
+
+
+def test_broken_files_are_mended(spark):
+    good = "<TEI xmlns='http://www.tei-c.org/ns/1.0'><text><body><div type='edition' xml:lang='grc'><ab>τὸν λόγον ἀπέδωκεν</ab></div></body></text></TEI>"
+    bad = {
+        "byte": good.replace("λόγον", "λόγ\x01ον").encode(),
+        "sign": good.replace("λόγον", "λόγον & 3 < 4").encode(),
+        "end": good.split("</ab>")[0].encode(),
+        "stray": good.replace("λόγον", "<hi>λόγον</unclear>").encode(),
+        "attribute": good.replace("<ab>", "<ab n=1 n='2' n='3'>").encode(),
+        "utf": good.encode().replace("λόγον".encode(), b"\xff\xfe"),
+    }
+    for name, content in bad.items():
+        root, error = tei.tree(content)
+        assert error.startswith("mended"), name
+        (ab,) = tei.find_all(root, "ab")
+        assert "ἀπέδωκεν" in "".join(ab.itertext()) or name == "end", name
+    assert tei.tree(good.encode())[1] is None
+    assert tei.tree(b"")[0] is None
+    assert tei.tree(b"no markup")[0] is None
+    files = spark.createDataFrame([("/x/a.xml", bytearray(bad["stray"])), ("/x/b.xml", bytearray(b"??"))], "path string, content binary")
+    raw = tei.parsed(files, tei.editions)
+    assert [r.training_text for r in raw.filter("training_text is not null").collect()] == ["τὸν λόγον ἀπέδωκεν"]
+    assert {r.pathname for r in tei.errors(raw).collect()} == {"/x/a.xml", "/x/b.xml"}
+
+
+def test_alternatives_in_supplied_text():
+    e = lambda inner: tei.Editions().convert(ET.fromstring(f"<ab>{inner}</ab>"))
+    assert e("α<supplied reason='lost'><app type='alternative'><lem>βγ</lem><rdg>δε</rdg></app></supplied>ζ") == "α[βγ]ζ"
+    assert e("<supplied reason='lost'>α<choice><sic>β</sic></choice></supplied>") == "[αβ]"
+    assert e("<app type='alternative'><lem>βγ</lem><rdg>δε</rdg></app>") == "βγ"
+    assert e("<supplied reason='lost'><app type='alternative'/>α</supplied>") == "[α]"
+
+
+def test_paths_of_the_data(spark):
+    paths = spark.createDataFrame([("/a/b/idp.data/DCLP/1/2.xml",), ("idp.data/x.xml",), ("/a/x.xml",), (None,)], "p string")
+    assert [r[0] for r in paths.select(tei.data_root(F.col("p"))).collect()] == ["/a/b/idp.data/", "idp.data/", "", None]
+
+
+def test_latest_is_decided_by_all_columns(spark):
+    rows = spark.createDataFrame([("a", 2, "y"), ("a", 2, "x"), ("a", 1, "z")], "id string, t int, v string")
+    assert [r.v for r in corpus.latest(rows.repartition(3), "id", "t").collect()] == ["x"]
+
+
+def test_storage(spark, tmp_path):
+    f = storage.Folder(spark, str(tmp_path / "new"))
+    assert f.names() == []
+    f.write("a.json", "λόγος")
+    f.move("a.json", "sub/b.json")
+    f.write("c.txt", "")
+    f.write("c.txt", "2")
+    assert (f.read("sub/b.json"), f.read("c.txt"), f.names(".txt"), f.exists("a.json")) == ("λόγος", "2", ["c.txt"], False)
+    f.delete("sub")
+    f.delete("nothing")
+    assert f.names() == ["c.txt"]
+
+
+def test_widened_supplement_stops_at_a_line_end(spark):
+    df = spark.createDataFrame([("λόγος\n[καὶ] τό",), ("λό\nγ[ος]",)], "x string")
+    assert [[s.tokens for s in r[0]] for r in df.select(lacuna.supplements(F.col("x"))).collect()] == [[["ΚΑΙ"]], [["ΓΟΣ"]]]
