@@ -65,6 +65,8 @@ class Index:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each key, -1 for those that are not there."""
         out = np.full(len(keys), -1, np.int64)
+        if not len(self.keys):
+            return out
         at, slot = np.arange(len(keys)), self._slot(keys)
         while len(at):
             got = self.table[slot]
