@@ -51,7 +51,11 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.found(splits.grouped(splits.file_names(table(spark, d, "ab"), table(spark, d, "dev_case")), "file", table(spark, d, "file_links")))
+    return splits.found(p6_groups(spark, d))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return splits.classes(splits.grouped(splits.file_names(table(spark, d, "ab"), table(spark, d, "dev_case")), "file", table(spark, d, "file_links")))
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +110,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(p1_found, p1_segments, p2_found, p2_leaks, p2_clean, p3_found, p3_texts, p4_tokens, p4_totals, p5_found, p5_overlaps, p5_counts),
-        *(p6_found, p6_splits, p6_shares, p7_containers, p7_unused, p8_mixture, p8_shares, p9_found, p9_statistics),
+        *(p6_found, p6_groups, p6_splits, p6_shares, p7_containers, p7_unused, p8_mixture, p8_shares, p9_found, p9_statistics),
     )
 }
 
@@ -130,12 +134,15 @@ def _key(name: str) -> str:
     return f"(SELECT CASE WHEN {shaped} THEN array_to_string(p[1:-3], '.') || '.' || ({volume}) || '.' || {number} WHEN len(p) > 0 THEN {plain} END FROM (SELECT {parts} AS p))"
 
 
-SQL: dict[str, str] = {
-    "p6_found": "WITH RECURSIVE files AS (SELECT DISTINCT f FROM (SELECT split_part(id, '/', 2) AS f FROM ab UNION ALL SELECT file_id FROM dev_case) WHERE length(f) > 0), "
+GROUPS = (
+    "WITH RECURSIVE files AS (SELECT DISTINCT f FROM (SELECT split_part(id, '/', 2) AS f FROM ab UNION ALL SELECT file_id FROM dev_case) WHERE length(f) > 0), "
     f"keyed AS (SELECT f, {_key('f')} AS k FROM files), "
     f"links AS (SELECT {_key('from_file')} AS a, {_key('to_file')} AS b FROM file_links WHERE link_type IN ('reprint-of', 'joins', 'duplicate-of')), "
     "e AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b), "
     "r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a), "
     "g AS (SELECT f, coalesce(c, k) AS c FROM keyed LEFT JOIN c ON k = a WHERE k IS NOT NULL) "
-    "SELECT x.f AS file_a, y.f AS file_b FROM g x JOIN g y USING (c) WHERE x.f < y.f",
+)
+SQL: dict[str, str] = {
+    "p6_found": GROUPS + "SELECT x.f AS file_a, y.f AS file_b FROM g x JOIN g y USING (c) WHERE x.f < y.f",
+    "p6_groups": GROUPS + "SELECT f AS file, c AS component, count(*) OVER (PARTITION BY c) AS n_files FROM g",
 }

@@ -63,9 +63,16 @@ def file_names(ab: DataFrame, dev_case: DataFrame) -> DataFrame:
     return a.unionByName(dev_case.select(F.col("file_id").alias("file"))).filter(F.length("file") > 0).distinct()
 
 
-def found(files: DataFrame) -> DataFrame:
+def classes(files: DataFrame) -> DataFrame:
+    """(file, component, n_files): each name with the group that it belongs to, and how many names that has; names without one are left out."""
+    own = files.filter(F.col("component").isNotNull()).select("file", "component").distinct()
+    size = own.groupBy("component").agg(F.count("*").alias("n_files"))
+    return own.join(size, "component").select("file", "component", "n_files")
+
+
+def found(classes_: DataFrame) -> DataFrame:
     """Pairs of different names of one group: file_a < file_b."""
-    own = files.filter(F.col("component").isNotNull())
+    own = classes_.filter("n_files > 1")
     a, b = own.select("component", F.col("file").alias("file_a")), own.select("component", F.col("file").alias("file_b"))
     return a.join(b, "component").filter("file_a < file_b").select("file_a", "file_b")
 

@@ -69,7 +69,11 @@ def tables(spark):
 
 def test_groups(spark):
     ab, dev, links = tables(spark)
-    found = {tuple(r) for r in splits.found(splits.grouped(splits.file_names(ab, dev), "file", links)).collect()}
+    classes = splits.classes(splits.grouped(splits.file_names(ab, dev), "file", links))
+    by = {r.file: (r.component, r.n_files) for r in classes.collect()}
+    assert by["p.x.1.1"][0] == by["p.x.1.3"][0]
+    assert by["P.X.1.7"] == ("p.x.1.7", 3)
+    found = {tuple(r) for r in splits.found(classes).collect()}
     assert ("p.x.1.1", "p.x.1.3") in found
     assert ("P.X.1.7", "p.x.1.7") in found
     assert ("p.x.1.4", "p.x.1.5") not in found
