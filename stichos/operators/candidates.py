@@ -45,8 +45,16 @@ def successors(cases: DataFrame, counts: DataFrame, boundary: int, n: int = N) -
     cases: case_id, context (tokens). The longest context comes first; the next shorter one is added, whole, only as long as a case
     has fewer than `boundary` words; contexts of one word are the shortest. A word keeps its longest context.
     """
-    words = cut(context_words(cases.select("context"), counts, boundary, n))
-    return _product(cases.withColumn("_c", F.array_join("context", SEP)), words).drop("_c")
+    keyed = cases.withColumn("_c", F.array_join("context", SEP))
+    return _product(keyed, context_words(cases.select("context"), counts, boundary, n), _most_words(cases.select("context"), counts, n)).drop("_c")
+
+
+def _most_words(contexts: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """(_c, _b): how many words a context can have at most, all its orders together; from sums by context, not from the words."""
+    own = contexts.select("context").distinct()
+    keys = F.array(*[F.when(F.size("context") >= order - 1, F.struct(F.lit(order).alias("order"), last(F.col("context"), order - 1).alias("ctx"))) for order in range(n, 1, -1)])
+    asked = own.select(F.array_join("context", SEP).alias("_c"), F.explode(keys).alias("_k")).select("_c", "_k.order", "_k.ctx")
+    return asked.join(counts.groupBy("order", "ctx").agg(F.count("*").alias("_n")), ["order", "ctx"]).groupBy("_c").agg(F.sum("_n").alias("_b"))
 
 
 def context_words(contexts: DataFrame, counts: DataFrame, boundary: int, n: int = N) -> DataFrame:
@@ -70,10 +78,9 @@ def context_words(contexts: DataFrame, counts: DataFrame, boundary: int, n: int
     return reduce(DataFrame.unionByName, parts)
 
 
-def _product(cases: DataFrame, found: DataFrame) -> DataFrame:
-    """cases(_c, ...) with the words of their contexts; contexts that give more than HOT rows are divided by a hash of the word."""
+def _product(cases: DataFrame, found: DataFrame, has: DataFrame) -> DataFrame:
+    """cases(_c, ...) with the words of their contexts; contexts that may give more than HOT rows, by has(_c, _b), are divided by a hash of the word."""
     asked = cases.groupBy("_c").agg(F.count("*").alias("_a"))
-    has = found.groupBy("_c").agg(F.count("*").alias("_b"))
     parts = F.ceil(F.col("_a") * F.col("_b") / HOT).cast("int")
     # as few as the rows of the result divided by HOT
     hot = F.broadcast(asked.join(has, "_c").select("_c", parts.alias("_parts")).filter("_parts > 1"))

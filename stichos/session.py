@@ -23,6 +23,8 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        # texts are much work for their size: small shuffles keep all cores busy too
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
     )
 
