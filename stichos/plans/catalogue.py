@@ -79,9 +79,9 @@ def corpus_case(spark, d):
     "(SELECT file_id AS f, min(lower(material)) AS m FROM ab WHERE material NOT IN ('', 'unknown') GROUP BY file_id) ON file_id = f"
 )
 def material_coalesce(spark, d):
-    ab = table(spark, d, "ab").select("id", "file_id", F.when(~F.col("material").isin("", "unknown"), F.col("material")).alias("own"))
-    found = ab.filter("own is not null").groupBy("file_id").agg(F.min(F.lower("own")).alias("m"))
-    return ab.join(found, "file_id", "left").select("id", F.lower(F.coalesce("own", "m", F.lit("unknown"))).alias("material"))
+    own = table(spark, d, "ab").select("id", F.col("file_id").alias("hgv"), F.when(~F.col("material").isin("", "unknown"), F.col("material")).alias("material"))
+    known = own.filter("material is not null").groupBy("hgv").agg(F.min(F.lower("material")).alias("hgv_material"))
+    return tei.with_material(own, known).select("id", F.lower("material").alias("material"))
 
 
 @query("SELECT id, language, title, exported_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY exported_at DESC) AS r FROM (SELECT DISTINCT id, language, title, exported_at FROM ab)) WHERE r = 1")
@@ -312,7 +312,7 @@ SUCCESSORS = (
     f"{MODEL}, {MODEL_D}, mm AS (SELECT o, ctx, word, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM m UNION ALL SELECT * FROM md) GROUP BY ALL), {CASES}, {HEADS}, {CONTEXTS}, "
     "s3 AS (SELECT k, 3 AS o, word, cnt FROM ctxs JOIN mm ON mm.o = 3 AND mm.ctx = c[1] || ' ' || c[2] WHERE word NOT IN ('<s>', '</s>', '<UNK>')), "
     "s2 AS (SELECT k, 2 AS o, word, cnt FROM ctxs JOIN mm ON mm.o = 2 AND mm.ctx = c[2] WHERE word NOT IN ('<s>', '</s>', '<UNK>')), "
-    f"few AS (SELECT ctxs.k FROM ctxs LEFT JOIN (SELECT k, count(*) AS n FROM s3 GROUP BY k) USING (k) WHERE coalesce(n, 0) < {BOUNDARY}), "
+    f"few AS (SELECT ctxs.k FROM ctxs LEFT JOIN (SELECT k, count(*) AS n FROM s3 GROUP BY k) USING (k) WHERE coalesce(n, 0) < {O.BEAM}), "
     "suc AS (SELECT * FROM s3 UNION ALL SELECT s2.* FROM s2 JOIN few USING (k) WHERE NOT EXISTS (SELECT 1 FROM s3 WHERE s3.k = s2.k AND s3.word = s2.word))"
 )
 
@@ -324,12 +324,12 @@ KNOWN_SUCCESSORS = (
     "LEFT JOIN gw g1 ON g1.word = c[1] LEFT JOIN gw g2 ON g2.word = c[2] LEFT JOIN dw d1 ON d1.word = c[1] LEFT JOIN dw d2 ON d2.word = c[2]), "
     "s3 AS (SELECT k, 3 AS o, word, sum(cnt)::BIGINT AS cnt FROM (SELECT k, word, cnt FROM kc JOIN m ON o = 3 AND ctx = ga || ' ' || gb UNION ALL SELECT k, word, cnt FROM kc JOIN md ON o = 3 AND ctx = da || ' ' || db) WHERE word NOT IN ('<s>', '</s>', '<UNK>') GROUP BY k, word), "
     "s2 AS (SELECT k, 2 AS o, word, sum(cnt)::BIGINT AS cnt FROM (SELECT k, word, cnt FROM kc JOIN m ON o = 2 AND ctx = gb UNION ALL SELECT k, word, cnt FROM kc JOIN md ON o = 2 AND ctx = db) WHERE word NOT IN ('<s>', '</s>', '<UNK>') GROUP BY k, word), "
-    f"few AS (SELECT ctxs.k FROM ctxs LEFT JOIN (SELECT k, count(*) AS n FROM s3 GROUP BY k) USING (k) WHERE coalesce(n, 0) < {BOUNDARY}), "
+    f"few AS (SELECT ctxs.k FROM ctxs LEFT JOIN (SELECT k, count(*) AS n FROM s3 GROUP BY k) USING (k) WHERE coalesce(n, 0) < {O.BEAM}), "
     "suc AS (SELECT * FROM s3 UNION ALL SELECT s2.* FROM s2 JOIN few USING (k) WHERE NOT EXISTS (SELECT 1 FROM s3 WHERE s3.k = s2.k AND s3.word = s2.word)), "
     "w AS (SELECT suc.k, word, cnt, gap_len, coalesce(head, '') AS h, coalesce(tail, '') AS t FROM suc JOIN ht USING (k)), "
     f"e AS (SELECT *, {O.distance('left(word, length(h))', 'h')} AS dh, {O.distance('right(word, length(t))', 't')} AS dt, abs(length(word) - gap_len - length(h) - length(t)) AS dl FROM w)"
 )
-BEAM = f"{KNOWN_SUCCESSORS}, bm AS (SELECT * FROM (SELECT k, word, (dh + dt + dl)::DOUBLE AS score, row_number() OVER (PARTITION BY k ORDER BY dh + dt + dl, word) AS rank FROM e) WHERE rank <= {BOUNDARY})"
+BEAM = f"{KNOWN_SUCCESSORS}, bm AS (SELECT * FROM (SELECT k, word, (dh + dt + dl)::DOUBLE AS score, row_number() OVER (PARTITION BY k ORDER BY dh + dt + dl, word) AS rank FROM e) WHERE rank <= {O.BEAM})"
 #: The words that were masked, of supplements of one word.
 GOLD = f"{O.SUPPLEMENTS}, gold AS (SELECT DISTINCT c.id AS k, tokens[1] AS word FROM (SELECT id AS k, unnest(c) AS c, generate_subscripts(c, 1) AS i FROM each_) JOIN sup USING (k, i) WHERE len(tokens) = 1 AND tokens[1] <> '<UNK>')"
 FIRST_TEN = f"{BEAM}, ten AS (SELECT * FROM bm WHERE rank <= 10), {GOLD}"
@@ -418,7 +418,7 @@ def topk_accuracy(spark, d):
     return metrics.topk_accuracy(predicted(spark, d), gold(spark, d), 10)
 
 
-@query(f"WITH {FIRST_TEN} " + HITS.format(k=BOUNDARY, b="bm"))
+@query(f"WITH {FIRST_TEN} " + HITS.format(k=O.BEAM, b="bm"))
 def hit_in_beam(spark, d):
     own = gold(spark, d)
     whole = requested(spark, d, lambda r: candidates.beams(r, *models(spark, d), BOUNDARY, SIZE))

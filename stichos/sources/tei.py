@@ -304,18 +304,23 @@ def materials(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, "hgv string, hgv_material string").groupBy("hgv").agg(F.min("hgv_material").alias("hgv_material"))
 
 
+def with_material(own: DataFrame, hgv: DataFrame) -> DataFrame:
+    """own(hgv, material, ...) with a material for every row: its own, else that of hgv(hgv, hgv_material), else unknown.
+
+    Only rows that need a material and have a number are joined.
+    """
+    asks = F.coalesce(F.col("hgv").isNotNull() & F.col("material").isNull(), F.lit(False))
+    found = own.filter(asks).join(hgv, "hgv", "left").withColumn("material", F.col("hgv_material")).select(own.columns)
+    return found.unionByName(own.filter(~asks)).withColumn("material", F.coalesce("material", F.lit("unknown")))
+
+
 def blocks(raw: DataFrame, corpus: Column, hgv: DataFrame | None = None) -> DataFrame:
     """Anonymous blocks of parsed files: identifiers, material (the block's own, else by HGV number, else unknown) and masked cases."""
     own = raw.filter(F.col("training_text").isNotNull()).withColumn("corpus_id", corpus)
-    none = F.lit(None).cast("string")
-    if hgv is None:
-        own = own.withColumn("hgv_material", none)
-    else:  # only blocks that need a material and have a number are joined
-        asks = F.coalesce(F.col("hgv").isNotNull() & F.col("material").isNull(), F.lit(False))
-        own = own.filter(asks).join(hgv, "hgv", "left").unionByName(own.filter(~asks).withColumn("hgv_material", none))
+    own = own.withColumn("material", F.coalesce("material", F.lit("unknown"))) if hgv is None else with_material(own, hgv)
     id_ = F.concat_ws("/", "corpus_id", "file_id", F.col("block_index").cast("string"))
     cases = F.transform(mask_cases(F.col("training_text")), lambda c: F.struct(c["case_index"].alias("case_index"), F.concat_ws("/", F.col("id"), c["case_index"].cast("string")).alias("id"), c["test_case"].alias("test_case")))
-    own = own.withColumn("material", F.coalesce("material", "hgv_material", F.lit("unknown"))).withColumn("id", id_).withColumn("test_cases", cases)
+    own = own.withColumn("id", id_).withColumn("test_cases", cases)
     return own.select("corpus_id", "file_id", "block_index", "id", "title", "material", "language", "training_text", "test_cases")
 
 
