@@ -128,7 +128,8 @@ def losses(found: DataFrame, general: DataFrame, domain: DataFrame, n: int = N,
     """found with nll: the negative log score of word after the last n - 1 tokens of context."""
     asked = found.withColumn("ctx", last(F.col("context"), n - 1))
     unique = asked.select(F.lit(n).alias("order"), "ctx", "word").distinct()
-    both = scored(scored(unique, general, "p_general", lm_type, gamma), domain, "p_domain", lm_type, gamma)
+    unique = cut(unique)  # few n-grams, asked for four times
+    both = scored(scored(unique, general, "p_general", lm_type, gamma, n), domain, "p_domain", lm_type, gamma, n)
     nll = both.select("ctx", "word", (-log_score(F.col("p_domain"), F.col("p_general"), weight)).alias("nll"))
     return asked.join(nll, ["ctx", "word"]).drop("ctx")
 

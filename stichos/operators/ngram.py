@@ -95,16 +95,18 @@ def known(queries: DataFrame, model: DataFrame) -> DataFrame:
     return queries.join(ctx, "ctx").join(own, "word")
 
 
-def scored(queries: DataFrame, model: DataFrame, name: str, lm_type: str = LM_TYPE, gamma: float = GAMMA) -> DataFrame:
+def scored(queries: DataFrame, model: DataFrame, name: str, lm_type: str = LM_TYPE, gamma: float = GAMMA, only: int | None = None) -> DataFrame:
     """queries(order, ctx, word, ...) with the model's probability of word after ctx in a new column.
 
     N-grams of the model are met as they stand; only the others have their unknown words mapped and are looked up again.
+    only: the order of all queries, where it is one; then nothing else of the model is shuffled.
     """
-    rates = model.join(totals(model), ["order", "ctx"]).select("order", "ctx", "word", "cnt", "total")
+    own = model if only is None else model.filter(F.col("order") == only)
+    rates = own.join(totals(own), ["order", "ctx"]).select("order", "ctx", "word", "cnt", "total")
     met = queries.join(rates, ["order", "ctx", "word"], "left")
     asked = known(met.filter("cnt is null").drop("cnt", "total"), model)
     key = [F.col("ctx").alias("k_ctx"), F.col("word").alias("k_word")]
-    other = asked.join(model.select("order", *key, "cnt"), ["order", "k_ctx", "k_word"], "left").join(totals(model).select("order", key[0], "total"), ["order", "k_ctx"], "left")
+    other = asked.join(own.select("order", *key, "cnt"), ["order", "k_ctx", "k_word"], "left").join(totals(own).select("order", key[0], "total"), ["order", "k_ctx"], "left")
     found = met.filter("cnt is not null").unionByName(other.drop("k_ctx", "k_word"))
     if lm_type == "MLE":
         return found.withColumn(name, mle(F.col("cnt"), F.col("total"))).drop("cnt", "total")
@@ -118,9 +120,9 @@ def log_score(domain: Column, general: Column, weight: float = LAMBDA) -> Column
     return F.when(p > 0, F.log2(p)).otherwise(F.lit(NO_CHANCE))
 
 
-def interpolated(queries: DataFrame, general: DataFrame, domain: DataFrame, weight: float = LAMBDA, lm_type: str = LM_TYPE, gamma: float = GAMMA) -> DataFrame:
+def interpolated(queries: DataFrame, general: DataFrame, domain: DataFrame, weight: float = LAMBDA, lm_type: str = LM_TYPE, gamma: float = GAMMA, only: int | None = None) -> DataFrame:
     """queries with p_general, p_domain and log_score."""
-    both = scored(scored(queries, general, "p_general", lm_type, gamma), domain, "p_domain", lm_type, gamma)
+    both = scored(scored(queries, general, "p_general", lm_type, gamma, only), domain, "p_domain", lm_type, gamma, only)
     return both.withColumn("log_score", log_score(F.col("p_domain"), F.col("p_general"), weight))
 
 

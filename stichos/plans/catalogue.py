@@ -210,14 +210,14 @@ def context_totals(spark, d):
 def mle_score(spark, d):
     m = cut(model(spark, d))
     asked = m.filter("order = 3").select("order", "ctx", "word")
-    return ngram.scored(asked, m, "p", "MLE").select(spaced(), "word", F.round("p", 9).alias("p"))
+    return ngram.scored(asked, m, "p", "MLE", only=3).select(spaced(), "word", F.round("p", 9).alias("p"))
 
 
 @query(f"WITH {MODEL} SELECT m.ctx, word, round((cnt + {GAMMA}) / (total + v * {GAMMA}), 9) AS p FROM m JOIN tot USING (o, ctx), vs WHERE o = 3")
 def lidstone_score(spark, d):
     m = cut(model(spark, d))
     asked = m.filter("order = 3").select("order", "ctx", "word")
-    return ngram.scored(asked, m, "p", "LIDSTONE", GAMMA).select(spaced(), "word", F.round("p", 9).alias("p"))
+    return ngram.scored(asked, m, "p", "LIDSTONE", GAMMA, 3).select(spaced(), "word", F.round("p", 9).alias("p"))
 
 
 #: Interpolated scores of every n-gram of the domain's sentences.
@@ -231,7 +231,7 @@ INTERPOLATED = (
 
 def interpolated(spark: SparkSession, d: str) -> DataFrame:
     rows = ngram.ngram_rows(sentences_of(greek(spark, d, True)), SIZE, orders=[SIZE], keep=("k", "i"))
-    return ngram.interpolated(rows, *models(spark, d), WEIGHT, "LIDSTONE", GAMMA)
+    return ngram.interpolated(rows, *models(spark, d), WEIGHT, "LIDSTONE", GAMMA, SIZE)
 
 
 @query(f"WITH {INTERPOLATED} SELECT DISTINCT ctx, word, round(s, 6) AS s FROM ls")
