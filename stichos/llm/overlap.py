@@ -2,11 +2,18 @@
 
 A case and a text overlap where the longest common sequence of their words is at least four fifths of the word number of
 the longer one.  Short passages of the cases - three words in a row, and two pairs around one word - are the patterns of
-Aho-Corasick automata over words, one for each shard of the cases, whose size is bounded.  Several shards are broadcast together,
-each worker builds their automata once, and all texts are scanned once, in the failure-free form of the automaton: every word of a text starts a walk of its own, which ends where
-the trie has no way on, so the walks of a whole batch go in step.  The matched intervals of a case and a text are merged into a
-coverage of the case, pairs with too little of it for their lengths are dropped, and the longest common sequence decides - all
-within the task that reads the text, so that nothing but the overlaps is shuffled.
+Aho-Corasick automata over words, one for each shard of the cases, whose size is bounded.  A text is scanned only by the shards
+with a case that it may overlap (Keys), each of which is built once, in a task that takes the texts as a stream, in the failure-free form
+of the automaton: every word of a text starts a walk of its own, which ends where the trie has no way on, so the walks of a whole
+batch go in step.  The matched intervals of a case and a text are merged into a coverage of the case, pairs with too little of it
+for their lengths are dropped, and the longest common sequence decides.
+
+Where a text may overlap is found without reading it for every shard.  Of the words of a common sequence, take the two that are rarest
+in all cases.  At most n - 0.8 n words of a text of n words are not in the sequence, so both of the two stand among its n - 0.8 n + 2 rarest
+words, and among those of the case, in the same order: the pairs of these words are keys by which cases and texts are brought
+together.  A word that is in no case, or damaged, is not in the sequence and takes up room for others.  Where two keys meet, the places
+of their words bound the sequence from above, and so do the words known by the parities of 128 classes of words.  Pairs of which the
+longer one has more than LONG words meet by passages, whose number does not grow with the square of theirs.
 
 No pair is lost.  Let N be the longer of the word numbers n (case) and m (text), L >= 0.8 N the common sequence, lying in
 b + 1 runs of words that are neighbours in both.  T = L - 2 (b + 1) + o triples stay whole, o being the number of runs of
@@ -19,13 +26,13 @@ nothing, pairs of neighbours are patterns as well: at least 2.4 N - n - m - 1 of
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -36,8 +43,16 @@ U64 = np.uint64
 PART, WHOLE = 4, 5
 #: Word number up to which texts are also compared by pairs of neighbours.
 SHORT = 31
-#: Code points of the cases of a shard, about (some 35 MB of automaton), and shards that are broadcast together for one scan.
+#: Code points of the cases of a shard, about (some 35 MB of automaton), and shards that one task scans with, one after the other, about.
 SHARD_CHARS, SCAN_SHARDS = 3_000_000, 8
+#: Code points of the cases whose keys a task holds, about (some 10 MB of keys).
+KEY_CHARS = 1_000_000
+#: Word number up to which pairs of rare words are keys.
+LONG = 128
+#: Slots of the counts of words, by which words are rare, and of the texts to be scanned.
+WORD_SLOTS, TEXT_SLOTS = 1 << 20, 1 << 24
+#: Bytes of the texts' keys that are looked up at once, and meetings of keys that are judged at once.
+PIECE, MEETINGS = 4_000_000, 400_000
 #: Patterns by kind: places of their words in the case, and the words that the text has in a row.
 TRIPLE, AROUND, PAIR, SINGLE = (0, 1, 2), (0, 1, 3, 4), (0, 1), (0,)
 FOUND = "c long, t long, case_words int, text_words int, common int"
@@ -214,64 +229,318 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
-    """Pairs of strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common; once each.
+class Keys:
+    """Keys of a chunk of records, by which those that may overlap meet: pairs of rare words, as heads with their tails, and passages.
+
+    A head is the rarer word of its pairs, with all that is known of its record; the tails are the other words.
+    """
 
-    Equal cases are one; null and empty strings, and strings without an undamaged word, overlap with nothing. The driver passes on
-    one shard at a time, the workers hold the automata of SCAN_SHARDS of them, however many cases there are.
+    HEAD = np.dtype([("word", "<u4"), ("id", "<i8"), ("odd0", "<u8"), ("odd1", "<u8"), ("n", "u1"), ("lost", "u1"), ("rank", "u1"), ("place", "u1"), ("tails", "u1")])
+    TAIL = np.dtype([("word", "<u4"), ("place", "u1")])
+    PASSAGE = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("place", "<i4")])
+
+    def __init__(self, w: tv.Words, ids: np.ndarray, words: np.ndarray, near: np.ndarray, around: bool):
+        """words: how often words of a slot occur in the cases; near: lengths that meet any of the other side; around: whether passages skip a word, as those of cases do."""
+        n = np.diff(w.first)
+        asked = near[np.minimum(n, len(near) - 1)] & (n > 0)
+        self._pairs(w, ids, n, np.where(w.ok, words[_slot(w.hash)], 0), asked & (n <= LONG))
+        self._passages(w, ids, n, asked & (WHOLE * n > PART * LONG), around)
+
+    def _pairs(self, w: tv.Words, ids: np.ndarray, n: np.ndarray, count: np.ndarray, asked: np.ndarray) -> None:
+        lost = np.bincount(w.row[count == 0], minlength=len(n))
+        spare = n - _least(n) - lost
+        at = np.flatnonzero((count > 0) & (asked & (spare >= 0))[w.row])
+        # parities of the classes of a record's words
+        odd = np.zeros((len(n), 2), np.uint64)
+        np.bitwise_xor.at(odd, (w.row[at], (w.hash[at] >> U64(6) & U64(1)).astype(np.int64)), U64(1) << (w.hash[at] & U64(63)))
+        at = at[np.lexsort((at, w.hash[at], count[at], w.row[at]))]
+        row = w.row[at]
+        size = np.bincount(row, minlength=len(n))
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        short = rank < spare[row] + 2
+        at, row, rank = at[short], row[short], rank[short]
+        size = np.bincount(row, minlength=len(n))
+        tails = np.where(n[row] == 1, 1, size[row] - 1 - rank)
+        head = np.flatnonzero(tails > 0)
+        self.heads = np.empty(len(head), self.HEAD)
+        h, r = at[head], row[head]
+        for name, value in (("word", w.hash[h] >> U64(32)), ("id", ids[r]), ("odd0", odd[r, 0]), ("odd1", odd[r, 1]), ("n", n[r]), ("lost", lost[r]), ("rank", rank[head]), ("place", h - w.first[r]), ("tails", tails[head])):
+            self.heads[name] = value
+        tail = at[_runs(head + (n[r] > 1), tails[head])]
+        self.tails = np.empty(len(tail), self.TAIL)
+        self.tails["word"], self.tails["place"] = w.hash[tail] >> U64(32), tail - w.first[w.row[tail]]
+
+    def _passages(self, w: tv.Words, ids: np.ndarray, n: np.ndarray, asked: np.ndarray, around: bool) -> None:
+        parts = [np.zeros(0, self.PASSAGE)]
+        for places in (TRIPLE, AROUND if around else (0, 1, 2, 3)) if asked.any() else ():
+            last = max(0, len(w.row) - places[-1])
+            good = asked[w.row[:last]] & (w.row[:last] == w.row[places[-1] : places[-1] + last])
+            for k in places:
+                good = good & w.ok[k : k + last]
+            at = np.flatnonzero(good)
+            part = np.empty(len(at), self.PASSAGE)
+            with np.errstate(over="ignore"):
+                key = np.full(len(at), len(places), np.uint64)
+                for k in places:
+                    key = key * tv.P_WORD + w.hash[at + k]
+                part["key"] = tv.mix(key)
+            part["id"], part["n"], part["place"] = ids[w.row[at]], n[w.row[at]], at - w.first[w.row[at]]
+            parts.append(part)
+        self.passages = np.concatenate(parts)
+
+    @staticmethod
+    def by_part(own: list[Keys], parts: int) -> pd.DataFrame:
+        """(part, heads, tails, passages): a row of bytes for each part that has keys."""
+        heads, tails, passages = (np.concatenate([getattr(k, x) for k in own]) for x in ("heads", "tails", "passages"))
+        part = heads["word"].astype(np.int64) % parts
+        order = np.argsort(part, kind="stable")
+        first = np.cumsum(heads["tails"], dtype=np.int64) - heads["tails"]
+        heads, tails, part = heads[order], tails[_runs(first[order], heads["tails"][order])], part[order]
+        bound = np.searchsorted(part, np.arange(parts + 1))
+        at = np.r_[0, np.cumsum(heads["tails"], dtype=np.int64)][bound]
+        other = (passages["key"] % U64(parts)).astype(np.int64)
+        order = np.argsort(other, kind="stable")
+        passages, there = passages[order], np.searchsorted(other[order], np.arange(parts + 1))
+        some = np.flatnonzero((np.diff(bound) > 0) | (np.diff(there) > 0)).tolist()
+        return pd.DataFrame(
+            {
+                "part": np.array(some, np.int32),
+                "heads": [heads[bound[i] : bound[i + 1]].tobytes() for i in some],
+                "tails": [tails[at[i] : at[i + 1]].tobytes() for i in some],
+                "passages": [passages[there[i] : there[i + 1]].tobytes() for i in some],
+            }
+        )
+
+
+class Met:
+    """The keys of a part of the cases, and what meets them.
+
+    Keys are in order of their words, and of the word number, so that only those of lengths that an overlap allows meet.
     """
-    sc = texts.sparkSession.sparkContext
-    own = texts.filter(F.length(text) > 0).select(F.xxhash64(text).alias("t"), F.col(text).alias("y"))
-    asked = cases.filter(F.length(case_text) > 0).select(F.xxhash64(case_text).alias("c"), F.col(case_text).alias("x")).dropDuplicates(["c"])
-    size = asked.agg(F.sum(F.length("x").cast("long"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_CHARS))
-    asked = cut(asked.withColumn("shard", F.pmod("c", F.lit(shards)).cast("int"))) if shards > 1 else asked.withColumn("shard", F.lit(0))
-    found_ = []
-    for k in range(0, shards, SCAN_SHARDS):
-        shared = []
-        for i in range(k, min(k + SCAN_SHARDS, shards)):
-            rows = asked.filter(F.col("shard") == i).orderBy("c").toPandas()
-            shared.append(sc.broadcast((rows["c"].to_numpy(), rows["x"].tolist())))
-            del rows
-        part = own.mapInPandas(_scan(shared), FOUND)
-        if shards > SCAN_SHARDS:
-            part = cut(part)
-            for b in shared:
-                b.destroy()
-        found_.append(part)
-    return reduce(DataFrame.unionByName, found_).distinct()
-
-
-#: The automata of a worker by the cases that they are of, for all its tasks of a scan.
-_BUILT: dict[int, tuple[object, Automaton]] = {}
-
-
-def _built(cases: tuple[np.ndarray, list[str]]) -> Automaton:
-    if id(cases) not in _BUILT:
-        while len(_BUILT) >= SCAN_SHARDS:
-            del _BUILT[next(iter(_BUILT))]
-        _BUILT[id(cases)] = (cases, Automaton(*cases))
-    return _BUILT[id(cases)][1]
-
-
-def _scan(shared: list[Broadcast]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Overlaps of the texts of a batch with the cases of all shards."""
 
+    FIELDS = ("odd0", "odd1", "id", "n", "lost", "place")
+
+    def __init__(self, rows: pd.DataFrame):
+        self.heads, self.tails, self.passages = self._read(rows)
+        self.head, self.rank, self.key = self._expand(self.heads, self.tails)
+        self.key |= self.heads["n"][self.head]
+        order = np.argsort(self.key, kind="stable")
+        self.key, self.head, self.rank, self.place = self.key[order], self.head[order], self.rank[order], self.tails["place"][order]
+        self.own = {name: np.ascontiguousarray(self.heads[name]) for name in self.FIELDS}
+        self.passages = self.passages[np.argsort(self.passages["key"], kind="stable")]
+
+    @staticmethod
+    def _read(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.frombuffer(b"".join(rows[name]), kind) for name, kind in (("heads", Keys.HEAD), ("tails", Keys.TAIL), ("passages", Keys.PASSAGE)))
+
+    @staticmethod
+    def _expand(heads: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The head of each tail, how many rarer words the tail's record has, and the key: both words, which of them stands first, and room for a word number."""
+        head = np.repeat(np.arange(len(heads)), heads["tails"])
+        rank = _runs(heads["rank"].astype(np.int64) + 1, heads["tails"]).astype(np.int16)
+        after = (tails["place"] > heads["place"][head]).astype(np.uint64)
+        return head, rank, heads["word"][head].astype(np.uint64) << U64(32) | tails["word"].astype(np.uint64) & U64(0xFFFFFE00) | after << U64(8)
+
+    def pairs(self, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of cases and of texts that may overlap, by the keys of rows."""
+        heads, tails, passages = self._read(rows)
+        head, rank, key = self._expand(heads, tails)
+        order = np.argsort(key, kind="stable")
+        key, head, rank, place = key[order], head[order], rank[order], tails["place"][order]
+        n = heads["n"].astype(np.int64)
+        least, most = _least(n).astype(np.uint64)[head], np.minimum(n * WHOLE // PART, LONG).astype(np.uint64)[head]
+        other = {name: np.ascontiguousarray(heads[name]) for name in self.FIELDS}
+        for mine, its in _meetings(self.key, key | least, key | most):
+            yield self._possible(self.head[mine], self.rank[mine], self.place[mine], other, head[its], rank[its], place[its])
+        passages = passages[np.argsort(passages["key"], kind="stable")]
+        for mine, its in _meetings(self.passages["key"], passages["key"], passages["key"]):
+            a, b = self.passages[mine], passages[its]
+            n, m, p, q = (x.astype(np.int64) for x in (a["n"], b["n"], a["place"], b["place"]))
+            least = _least(np.maximum(n, m))
+            near = (np.maximum(n, m) > LONG) & (np.minimum(p, q) + np.minimum(n - p, m - q) >= least)
+            yield a["id"][near], b["id"][near]
+
+    def _possible(self, a: np.ndarray, a_rank: np.ndarray, a_place: np.ndarray, other: dict[str, np.ndarray], b: np.ndarray, b_rank: np.ndarray, b_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of those cases and texts whose sequence may be long enough, by heads, and ranks and places of tails."""
+        own = self.own
+        n, m = own["n"][a].astype(np.int16), other["n"][b].astype(np.int16)
+        least = _least(np.maximum(n, m))
+        # known words besides the sequence, at most: those of either side, and those that are rarer than the tail but the head
+        spare, room = n - least - own["lost"][a], m - least - other["lost"][b]
+        near = np.flatnonzero((a_rank - 1 <= spare) & (b_rank - 1 <= room))
+        a, b = a[near], b[near]
+        odd = np.bitwise_count(own["odd0"][a] ^ other["odd0"][b]).astype(np.int16) + np.bitwise_count(own["odd1"][a] ^ other["odd1"][b])
+        still = np.flatnonzero(odd <= (spare + room)[near])
+        a, b, near = a[still], b[still], near[still]
+        n, m, least = n[near], m[near], least[near]
+        p, r, q, s = (x.astype(np.int16) for x in (own["place"][a], a_place[near], other["place"][b], b_place[near]))
+        p, r, q, s = np.minimum(p, r), np.maximum(p, r), np.minimum(q, s), np.maximum(q, s)
+        near = np.minimum(p, q) + 1 + np.minimum(r - p, s - q) + np.minimum(n - 1 - r, m - 1 - s) >= least
+        return own["id"][a[near]], other["id"][b[near]]
+
+
+def _least(n: np.ndarray) -> np.ndarray:
+    """Words of the common sequence, at least, where the longer one has n words."""
+    return -(-PART * n // WHOLE)
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U64(8) & U64(WORD_SLOTS - 1)).astype(np.int64)
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of runs of consecutive ones, run by run."""
+    size = size.astype(np.int64)
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _meetings(values: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of sorted values and of the bounds, in order too, that they lie between, about MEETINGS at once."""
+    low, high = np.searchsorted(values, least, "left"), np.searchsorted(values, most, "right")
+    there = np.flatnonzero(high > low)
+    low, size = low[there], (high - low)[there]
+    end = np.cumsum(size)
+    done = 0
+    while done < len(there):
+        to = max(done + 1, int(np.searchsorted(end, (end[done - 1] if done else 0) + MEETINGS)))
+        yield _runs(low[done:to], size[done:to]), np.repeat(there[done:to], size[done:to])
+        done = to
+
+
+def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(slot, count): how often the words of a slot occur, and as -1 - n the records of n words, for n up to twice LONG."""
+    for batch in batches:
+        for _, part in tv.chunks(batch["y"].tolist()):
+            w = tv.words(part)
+            for slot in (_slot(w.hash[w.ok]), -1 - np.minimum(np.diff(w.first), 2 * LONG)):
+                yield pd.DataFrame(dict(zip(("slot", "count"), np.unique(slot, return_counts=True), strict=True)))
+
+
+def _lengths(there: np.ndarray) -> np.ndarray:
+    """Which word numbers meet those that are there: in four fifths of the longer one the shorter one has room; the last stands for all from there on."""
+    n = np.arange(len(there))
+    long_, short = np.maximum(n[:, None], n), np.minimum(n[:, None], n)
+    out = (there & (_least(long_) <= short)).any(1)
+    # the last one's may be longer, so those that are near it may be as well
+    return out | ((WHOLE * n >= PART * n[-1]) & there[PART * len(n) // WHOLE - 1 :].any())
+
+
+def _keyed(shared: Broadcast, parts: int, around: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata = [_built(b.value) for b in shared]
+        words, there = shared.value
+        near = there if around else _lengths(there)
         for batch in batches:
-            batch = batch.drop_duplicates("t")
-            keys = batch["t"].to_numpy()
+            batch = batch.drop_duplicates("id")
+            ids, own, size = batch["id"].to_numpy(), [], 0
             for first, part in tv.chunks(batch["y"].tolist()):
-                w = tv.words(part)
-                for a in automata:
-                    rows = [(a.c[case], keys[first + text], n, m, common) for text, case, n, m, common in a.overlaps(w)]
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["c", "t", "case_words", "text_words", "common"])
+                own.append(Keys(tv.words(part), ids[first : first + len(part)], words, near, around))
+                size += own[-1].tails.nbytes + own[-1].passages.nbytes
+                if size > 4 * PIECE:
+                    yield Keys.by_part(own, parts).assign(text=not around)
+                    own, size = [], 0
+            if own:
+                yield Keys.by_part(own, parts).assign(text=not around)
 
     return run
 
 
+def _streams(batches: Iterator[pd.DataFrame], part: str) -> Iterator[tuple[list[pd.DataFrame], Iterator[pd.DataFrame]]]:
+    """For each part of sorted rows all rows of the cases, and those of the texts as they come."""
+    rows = itertools.chain.from_iterable(batch.groupby([part, "text"]) for batch in batches)
+    for _, own in itertools.groupby(rows, lambda x: x[0][0]):
+        cases: list[pd.DataFrame] = []
+        texts: Iterator[pd.DataFrame] = iter(())
+        for (_, text), df in own:
+            if text:
+                texts = itertools.chain([df], (df for _, df in own))
+                break
+            cases.append(df)
+        yield cases, texts
+
+
+def _meet(shards: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(t, shard): texts and the shards of cases that they may overlap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cases, texts in _streams(batches, "part"):
+            if not cases:
+                continue
+            met = Met(pd.concat(cases))
+            del cases
+            for rows in texts:
+                size = sum(rows[name].str.len() for name in ("heads", "tails", "passages")).cumsum() // PIECE
+                for _, piece in rows.groupby(size):
+                    own = [pd.DataFrame({"t": t, "shard": (c % shards).astype(np.int32)}) for c, t in met.pairs(piece) if len(t)]
+                    if own:
+                        yield pd.concat(own).drop_duplicates()
+
+    return run
+
+
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Overlaps of the texts of each shard with its cases."""
+    for cases, texts in _streams(batches, "shard"):
+        automaton = None
+        for rows in texts:
+            if automaton is None:
+                own = pd.concat(cases)
+                automaton = Automaton(own["id"].to_numpy(), own["y"].tolist())
+                del own
+                cases.clear()
+            keys = rows["id"].to_numpy()
+            for first, part in tv.chunks(rows["y"].tolist()):
+                found_ = [(automaton.c[case], keys[first + text], n, m, common) for text, case, n, m, common in automaton.overlaps(tv.words(part))]
+                if found_:
+                    yield pd.DataFrame(found_, columns=["c", "t", "case_words", "text_words", "common"])
+
+
+def _among(routes: DataFrame) -> Callable[[Column], Column]:
+    """Whether a text's hash is one of those of routes, by a table of TEXT_SLOTS bits; a few others pass too."""
+    slots = routes.select(F.pmod("t", F.lit(TEXT_SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
+    table = np.zeros(TEXT_SLOTS, bool)
+    table[slots] = True
+    shared = routes.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    @F.pandas_udf("boolean")
+    def among(t: pd.Series) -> pd.Series:
+        slot = t.to_numpy() % TEXT_SLOTS
+        return pd.Series((shared.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool))
+
+    return among
+
+
+def overlaps(texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
+    """Pairs of strings that overlap: c and t (hashes of the case's and the text's string), case_words, text_words, common; once each.
+
+    Equal cases are one; null and empty strings, and strings without an undamaged word, overlap with nothing. The driver holds counts of
+    word slots and a bit for each slot of texts, a task the keys or the automaton of a bounded part of the cases, however many there are.
+    """
+    spark = texts.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    own = texts.filter(F.length(text) > 0).select(F.xxhash64(text).alias("id"), F.col(text).alias("y"))
+    asked = cut(cases.filter(F.length(case_text) > 0).select(F.xxhash64(case_text).alias("id"), F.col(case_text).alias("y")).dropDuplicates(["id"]))
+    size = asked.agg(F.sum(F.length("y").cast("long"))).first()[0] or 0
+    shards, parts = max(1, -(-size // SHARD_CHARS)), max(cores, -(-size // KEY_CHARS), own.rdd.getNumPartitions())
+
+    counts_ = asked.select("y").mapInPandas(_statistics, "slot int, count long").groupBy("slot").agg(F.sum("count").alias("count")).toPandas()
+    words, there = np.zeros(WORD_SLOTS, np.int64), np.zeros(2 * LONG + 1, bool)
+    slot, count = counts_["slot"].to_numpy(), counts_["count"].to_numpy()
+    words[slot[slot >= 0]] = count[slot >= 0]
+    there[-1 - slot[slot < 0]] = True
+    shared = spark.sparkContext.broadcast((words, there))
+
+    def keyed(df: DataFrame, around: bool) -> DataFrame:
+        return df.mapInPandas(_keyed(shared, parts, around), "part int, heads binary, tails binary, passages binary, text boolean")
+
+    keys = keyed(asked, True).unionByName(keyed(own, False)).repartition(parts, "part").sortWithinPartitions("part", "text")
+    routes = cut(keys.mapInPandas(_meet(shards), "t long, shard int").distinct())
+
+    scanned = own.filter(_among(routes)(F.col("id"))).dropDuplicates(["id"]).join(routes.withColumnRenamed("t", "id"), "id").select("shard", "id", "y", F.lit(True).alias("text"))
+    asked = asked.select(F.pmod("id", F.lit(shards)).cast("int").alias("shard"), "id", "y", F.lit(False).alias("text"))
+    both = asked.unionByName(scanned).repartition(max(cores, -(-shards // SCAN_SHARDS)), "shard").sortWithinPartitions("shard", "text")
+    return both.mapInPandas(_scan, FOUND)
+
+
 def members(overlaps_: DataFrame, texts: DataFrame, cases: DataFrame, text: str = "training_text", case_text: str = "x") -> DataFrame:
     """The overlapping records: case_id, id, split_name, case and text corpus, words, coverage; once each."""
     a = texts.filter(F.col("id").isNotNull() & (F.length(text) > 0)).select(F.xxhash64(text).alias("t"), "id", F.col("corpus_id").alias("text_corpus_id"))

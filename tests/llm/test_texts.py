@@ -1,5 +1,6 @@
 """Words, consistent form, languages, leaks, overlaps: held against plain versions of themselves."""
 
+import itertools
 import random
 import unicodedata
 
@@ -264,3 +265,50 @@ def test_overlaps_against_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in overlap.found(overlap.members(overlap.overlaps(ab, dev), ab, dev)).collect()} == want
     assert overlap.overlaps(ab.limit(0), dev).collect() == []
     assert overlap.overlaps(ab, dev.limit(0)).collect() == []
+
+
+def _overlapping(spark, cases, texts):
+    ab = spark.createDataFrame([(f"t{i}", t, "c") for i, t in enumerate(texts)], "id string, training_text string, corpus_id string")
+    dev = spark.createDataFrame([(i, x, "s", "c") for i, x in enumerate(cases)], "case_id long, x string, split_name string, corpus_id string")
+    return ab, dev
+
+
+def _edited(rng, x, rate, vocabulary):
+    y = []
+    for w in x:
+        r = rng.random()
+        y += [] if r < rate / 3 else [rng.choice(vocabulary)] if r < 2 * rate / 3 else [w, rng.choice(vocabulary)] if r < rate else [w]
+    return y
+
+
+@pytest.mark.parametrize(("size", "lengths", "most"), [(4, range(1, 13), 90), (400, (95, 103, 110, 126, 128, 129, 131, 150, 160, 200, 255, 257, 300, 320), 14)])
+def test_overlaps_of_few_words_and_of_long_texts(spark, size, lengths, most):
+    rng = random.Random(size)
+    vocabulary = [f"{a}{b}{c}" for a in "klmnpstvz" for b in "aeiou" for c in "klmnpstvz"][:size]
+    cases = [[rng.choice(vocabulary) for _ in range(n)] for n in itertools.islice(itertools.cycle(lengths), most)]
+    texts = [_edited(rng, x, rate, [*vocabulary, "qqq"]) for x in cases for rate in (0.0, 0.1, 0.2, 0.25)]
+    cases, texts = ([" ".join(x if rng.random() > 0.02 else "[..]" for x in own) for own in side] for side in (cases, texts))
+    ab, dev = _overlapping(spark, cases, texts)
+    read = [[[int(h) if ok else 0 for h, ok in zip(w.hash, w.ok, strict=True)] for w in (tv.words([t]) for t in side)] for side in (cases, texts)]
+    near = ((i, j, x, y) for i, x in enumerate(read[0]) for j, y in enumerate(read[1]) if 4 * max(len(x), len(y)) <= 5 * min(len(x), len(y)))
+    want = {(i, f"t{j}") for i, j, x, y in near if (k := lcs(x, y)) and 5 * k >= 4 * max(len(x), len(y))}
+    assert len(want) > 2 * most
+    assert {tuple(r) for r in overlap.found(overlap.members(overlap.overlaps(ab, dev), ab, dev)).collect()} == want
+
+
+def test_overlaps_read_texts_as_often_for_many_shards_as_for_few(spark, monkeypatch):
+    rng = random.Random(7)
+    vocabulary = [f"{a}{b}{c}" for a in "klmnp" for b in "aeiou" for c in "rst"]
+    cases = [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(60)]
+    ab, dev = _overlapping(spark, cases, cases[:30] + [" ".join(rng.choice(vocabulary) for _ in range(20)) for _ in range(70)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(overlap, "SHARD_CHARS", 200)
+    monkeypatch.setattr(overlap, "SCAN_SHARDS", 2)
+    assert overlap.overlaps(ab.mapInPandas(count, ab.schema), dev).count() == 30
+    assert seen.value <= 3 * 100
